@@ -81,7 +81,7 @@ def find_spans(blobs: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.array().cast(f"array<{SPAN}>"))
     spans = F.concat(assign, _spans(text, F.col("m1"), ACCESS, 1), _spans(text, F.col("m2"), HEX, 2))
-    return found.withColumn("spans", F.array_sort(spans)).drop("m0", "m1", "m2", "text")
+    return found.withColumn("spans", F.sort_array(spans)).drop("m0", "m1", "m2", "text")
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
