@@ -29,7 +29,7 @@ WINDOW = 8  # a power of two: window hashes come from doubling
 SYMBOLS = r"[#*$%&|<>]"
 SAMPLE = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-RATIOS = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "upper_ratio", "mark_ratio")
+RATIOS = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mark_ratio")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -80,7 +80,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        F.size(F.array_distinct("wh")).alias("n_distinct"),
         _count(F.col("t"), r"\p{Lu}").alias("n_upper"),
         _count(F.col("t"), r"[^\p{L}\p{M}\x20\x09-\x0D]").alias("n_marks"),
     )
@@ -92,7 +91,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         per("n_symbols", "n_words").alias("symbol_ratio"),
         per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         per("n_repeat_words", "n_words").alias("repeat_ratio"),
-        per("n_distinct", "n_words").alias("distinct_ratio"),
         per("n_upper", "word_chars").alias("upper_ratio"),
         per("n_marks", "word_chars").alias("mark_ratio"),
     )
@@ -225,15 +223,15 @@ def learn_list(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Deci
     rows = (
         with_statistics(met)
         .select(*BASE, *RATIOS, F.col("row.quality").alias("quality"), F.md5(F.col("row.doc_id").cast("string")).alias("key"))
-        .where(~base_failed())
-        .orderBy("key", *BASE)
-        .limit(sample)
         .collect()
     )
+    # Filtered here: Spark would push a filter below the statistics and spell each of them out in it again.
+    rows = [r for r in rows if r.n_words >= LEAST_WORDS and 100 * r.n_repeat_words <= MOST_REPEATED * r.n_words]
+    rows.sort(key=lambda r: (r.key, *[r[c] for c in BASE]))
     if not rows:
         return DecisionList()
-    names = ("n_words", *RATIOS)
-    data = {name: np.array([row[name] for row in rows], float) for name in names}
+    # Ratios that do not move with a text's length, so that long clean documents are judged like short ones.
+    data = {name: np.array([row[name] for row in rows], float) for name in RATIOS}
     bad = np.array([row["quality"] == 0 for row in rows])
     fold = np.array([int(row["key"][-4:], 16) % 3 == 0 for row in rows])
     return fit_list(data, bad, fold)
@@ -249,5 +247,9 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judged(docs, labels, sample).where("kept").select("row.*")
+    """The documents that pass, with their own columns.
+
+    The row number in the condition keeps the filter above the statistics: pushed below, it would compute them anew.
+    """
+    verdicts = judged(docs, labels, sample).withColumn("nth", F.monotonically_increasing_id())
+    return verdicts.where(F.col("kept") & (F.col("nth") >= 0)).select("row.*")
