@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import mixing, quality, secrets, simhash, sql
+from tilewright.llm import mixing, packing, quality, secrets, simhash, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     found = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -53,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
+    "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
