@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import mixing, packing, quality, secrets, simhash, sql
+from tilewright.llm import mixing, packing, quality, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(manifest, folder, with_blocks=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -64,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc_archive": op10_warc_archive,
 }
 
 SQL: dict[str, str] = {
     "op2_secret_scan": sql.OP2,
     "op3_source_mix": sql.OP3,
+    "op10_warc_archive": sql.OP10,
 }

@@ -58,3 +58,13 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (copies + CASE WHEN b.cut IS NOT NULL AND upto <= b.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source
 """
+
+OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM h)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
