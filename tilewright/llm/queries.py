@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import mixing, packing, quality, secrets, simhash, sql, warc
+from tilewright.llm import mixing, neighbours, packing, quality, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
     folder = warc.archive_folder(spark)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
+    "op6_learned_partitions": op6_learned_partitions,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_archive": op10_warc_archive,
