@@ -22,7 +22,7 @@ def d4_views(pixels: DataFrame, side: int) -> DataFrame:
             row, col = d4(F.col("row"), F.col("col"), n, turns, flip)
             views.append(F.struct(F.lit(turns).alias("quarter_turns"), F.lit(flip).alias("flipped"), row.alias("row"), col.alias("col")))
     rest = [c for c in pixels.columns if c not in ("row", "col")]
-    return pixels.select(*rest, F.explode(F.array(*views)).alias("v")).select(*rest, "v.*")
+    return pixels.select(*rest, F.explode(F.array(*views)).alias("_view")).select(*rest, "_view.*")
 
 
 def stretched_bytes(pixels: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -57,14 +57,13 @@ def top_k(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
         raise ValueError("k must be a positive integer")
     spark = gallery.sparkSession
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(few) <= QUERY_BLOCK else -(-asked.count() // (QUERY_BLOCK // 2))
     rows = gallery.select(F.col("tile_id").cast("string").alias("tile_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sign = 1.0 if metric == "euclidean" else -1.0
     found: DataFrame | None = None
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        held = part.collect()
+        held = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         ids = [r.query_id for r in held]
         matrix = np.array([r.embedding for r in held], float).reshape(len(held), -1)
 
