@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.rows import whole_row
 from tilewright.functions.text import word_count
 from tilewright.scratch import materialize
 
@@ -163,6 +164,6 @@ def mixed_documents(
     """
     sized = materialize(size_table(docs, seed), "mix-sizes")
     plan = mixing_plan(sized, weights, most)
-    inner = _placed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source"), seed)
+    inner = _placed(docs.select(whole_row(docs).alias("row"), "doc_id", "source"), seed)
     taken = with_copies(inner, plan).where("n_copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.rows import whole_row
 from tilewright.functions.text import SPACE_RUN, WORD, filled
 
 LEAST_WORDS = 20
@@ -44,7 +45,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     different sorts them, to find which positions repeat, and merges those positions into covered words.
     """
     text = filled(F.col(text_col))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("t"))
+    rows = docs.select(whole_row(docs).alias("row"), text.alias("t"))
     rows = rows.withColumn("w", F.array_remove(F.split("t", SPACE_RUN, -1), ""))
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
     rows = rows.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n", F.greatest(F.size("w"), F.lit(0)))

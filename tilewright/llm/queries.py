@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import extraction, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
+from tilewright.llm import extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
     "op4_context_mixing": op4_context_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_learned_partitions": op6_learned_partitions,
     "op7_main_text": op7_main_text,
     "op8_retrieval_packing": op8_retrieval_packing,

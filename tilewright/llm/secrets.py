@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.rows import whole_row
 from tilewright.functions.text import filled
 from tilewright.scratch import materialize
 
@@ -160,13 +161,13 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     dirty = findings.where(F.size("spans") > 0).dropDuplicates(["doc_id", "blob"])
     dirty = dirty.select(F.col("doc_id").alias("hit_id"), F.col("blob").alias("hit_blob"), "spans")
     dirty = materialize(dirty, "blob-hits")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", filled(F.col("text")).alias("whole"))
+    rows = docs.select(whole_row(docs).alias("row"), "doc_id", filled(F.col("text")).alias("whole"))
     rows = rows.withColumn("blob", F.sha2("whole", 256))
     met = rows.join(
         dirty, rows["doc_id"].eqNullSafe(dirty["hit_id"]) & (rows["blob"] == dirty["hit_blob"]), "left"
     )
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(redact(F.col("whole"), F.col("spans")))
-    fields = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    fields = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     met = met.withColumn("clean", text)
     fields["text"] = F.col("clean").alias("text")
     if "n_chars" in fields:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.rows import whole_row
 from tilewright.llm.components import components
 from tilewright.scratch import materialize
 
@@ -180,7 +181,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     chosen = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     chosen = materialize(chosen, "kept-ids")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of_id"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("of_id"))
     kept = rows.where("of_id IS NOT NULL").join(chosen, rows["of_id"] == chosen["keep_id"])
     kept = kept.groupBy("keep_id").agg(F.first("row").alias("row")).select("row")
     return kept.unionByName(rows.where("of_id IS NULL").select("row")).select("row.*")
