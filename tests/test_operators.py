@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import bootstrap, evaluation, raster, request, search, spectral, splits, statistics
-from tilewright.sources import catalog
+from tilewright.operators import bootstrap, embed, evaluation, raster, request, search, spectral, splits, statistics
+from tilewright.sources import catalog, readers
 
 
 def vectors(spark, rows):
@@ -234,3 +234,42 @@ def test_stac_and_assets(spark, tmp_path):
     with pytest.raises(ValueError):
         catalog.pair_items(tiles, tiles.limit(1), "tile_id")
     assert catalog.inventory(spark, f"file://{tmp_path}", "*.json").count() == 2
+
+
+def test_settings_and_folders():
+    good = "[split]\ntrain = 0.8\nvalidation = 0.1\ntest = 0.1\nseed = 17\n"
+    assert readers.load_settings(good).seed == 17
+    for bad in (good + "more = 1\n", good.replace("seed = 17\n", ""), good.replace("0.8", "0.9")):
+        with pytest.raises(ValueError):
+            readers.load_settings(bad)
+    assert readers.result_folder("q", "cosine", 5).endswith("_cosine_top5")
+
+
+def test_mask_labels(spark):
+    rows = [("t", "water", 1, 1, 1), ("t", "weed_cluster", 1, 0, 1), ("u", "drydown", 0, 1, 1)]
+    df = spark.createDataFrame(rows, "tile_id string, category string, mask int, field int, boundary int")
+    assert {r.tile_id: r.labels for r in readers.mask_labels(df, readers.ANOMALIES).collect()} == {"t": ["water"], "u": []}
+
+
+def test_runs_and_judgments(spark, tmp_path):
+    import json
+
+    for name, smoke in (("a", False), ("b", True)):
+        (tmp_path / "x" / name).mkdir(parents=True)
+        (tmp_path / "x" / name / "result.json").write_text(json.dumps({"architecture": "cnn", "seed": 1, "smoke": smoke}))
+    assert [r.run_id for r in readers.read_runs(spark, f"file://{tmp_path}").collect()] == ["x/a"]
+    line = json.dumps({"query_id": "q", "rank": 1, "tile_id": "t", "judgment": "relevant"}) + "\n"
+    (tmp_path / "one.jsonl").write_text(line)
+    (tmp_path / "two.jsonl").write_text(line * 2)
+    one = readers.read_judgments(spark, f"file://{tmp_path}/one.jsonl")
+    audit = spark.createDataFrame([("q", 1, "t"), ("q", 2, "u")], "query_id string, rank int, tile_id string")
+    assert [r.tile_id for r in readers.pending(audit, one).collect()] == ["u"]
+    with pytest.raises(ValueError):
+        readers.read_judgments(spark, f"file://{tmp_path}/two.jsonl")
+
+
+def test_embed(spark):
+    df = spark.createDataFrame([(f"t{k}", [float(k), 1.0, 2.0]) for k in range(5)], "tile_id string, values array<double>")
+    got = embed.embed(df, embed.BandMeans(4)).collect()
+    assert len(got) == 5 and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in got)
+    catalog.check_embeddings(spark.createDataFrame(got))

@@ -12,7 +12,7 @@ from tilewright.functions import vectors
 from tilewright.operators import bootstrap, evaluation, raster, request, search, spectral, splits, statistics
 from tilewright.plans import sql
 from tilewright.plans.tables import asked, documents, gallery, pixels, places, scenes, table
-from tilewright.sources import catalog
+from tilewright.sources import catalog, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 FRACTIONS = (0.8, 0.1, 0.1)
@@ -479,4 +479,34 @@ def json_metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("with_k"), F.sum(k).alias("total_k"), F.max(k).alias("most_k")))
 
 
+@query
+def multilabel_from_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as mask pixels: the class by line number, set where discounted, inside the field unless returned."""
+    names = F.array(*[F.lit(c) for c in readers.ANOMALIES])
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("tile_id"), F.element_at(names, (F.col("l_linenumber") % 9 + 1).cast("int")).alias("category"),
+        (F.col("l_discount") >= 0.05).cast("int").alias("mask"), (F.col("l_returnflag") != "R").cast("int").alias("field"),
+        (F.col("l_linestatus") == "O").cast("int").alias("boundary"),
+    )
+    return readers.mask_labels(rows, readers.ANOMALIES).select("tile_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def gazetteer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as shapes: every fifth without a code, alternatives split on bars and semicolons."""
+    rows = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("nth"), F.lit("admin1").alias("level"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("N"), (F.col("n_nationkey") % 7).cast("string"))).alias("code"),
+        F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("country"),
+        F.concat(F.col("n_name"), F.lit(" | x;"), F.col("n_name"), F.lit(";; y "), F.col("n_regionkey").cast("string")).alias("alternatives"),
+    )
+    return readers.gazetteer_rows(rows).select("place_id", "level", "name", "country", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query
+def asset_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as asset names, a map with one of them for each event."""
+    items = table(spark, sf_dir, "events").select(F.create_map(F.col("event_type"), F.col("props")).alias("assets"))
+    return rounded(readers.asset_counts(items))
+
+
 SQL = sql.SQL

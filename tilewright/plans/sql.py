@@ -219,6 +219,14 @@ l AS (SELECT a.i, b.i AS j, list_dot_product(a.z, b.z) / 0.1 AS s FROM z a, z b
 m AS (SELECT i, max(s) AS m, max(s) FILTER (j = CASE WHEN i % 2 = 0 THEN i + 1 ELSE i - 1 END) AS p FROM l GROUP BY i),
 r AS (SELECT l.i, any_value(m) + ln(sum(exp(s - m))) - any_value(p) AS loss, CAST(any_value(p) = any_value(m) AS INT) AS hit FROM l JOIN m ON m.i = l.i GROUP BY l.i)
 SELECT count(*) AS anchors, round(avg(loss), 6) AS loss, round(avg(hit), 6) AS accuracy FROM r""",
+    "multilabel_from_masks": """WITH c AS (SELECT ['double_plant', 'drydown', 'endrow', 'nutrient_deficiency', 'planter_skip', 'storm_damage', 'water', 'waterway', 'weed_cluster'] AS n),
+h AS (SELECT DISTINCT l_orderkey AS tile_id, l_linenumber % 9 AS k FROM lineitem WHERE l_discount >= 0.05 AND l_returnflag <> 'R' AND l_linestatus = 'O')
+SELECT t.tile_id, coalesce(string_agg(c.n[h.k + 1], ',' ORDER BY h.k), '') AS labels FROM (SELECT DISTINCT l_orderkey AS tile_id FROM lineitem) t LEFT JOIN h USING (tile_id), c GROUP BY t.tile_id""",
+    "gazetteer_build": """WITH f AS (SELECT n_nationkey AS nth, n_name AS name, CAST(n_regionkey AS VARCHAR) AS country,
+  'admin1:' || CASE WHEN n_nationkey % 5 <> 0 THEN 'n' || (n_nationkey % 7) ELSE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') END AS base FROM nation),
+g AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY nth) AS again FROM f)
+SELECT CASE WHEN again > 1 THEN base || ':feature-' || nth ELSE base END AS place_id, 'admin1' AS level, name, country, name || ',x,y ' || country AS aliases FROM g""",
+    "asset_key_counts": "SELECT event_type AS asset, count(*) AS items, regexp_matches(lower(event_type), 'cloud|shadow|scl|mask|quality|qa') AS speaks_of_quality FROM events GROUP BY event_type",
     "json_metadata_lookup": "WITH k AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS total_k, max(k) AS most_k FROM k GROUP BY event_type",
 }
 
