@@ -12,11 +12,13 @@ dealt by their text; ties in score go to the earlier document in the order of id
 
 from __future__ import annotations
 
+import gc
 import math
 import os
-import re
 import zlib
 from array import array
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,18 @@ WINDOW = 2048
 END_ID = 1
 SHARD_CHARS = 6_000_000
 K1, B = 1.2, 0.75
-_WHOLE_UNIT = re.compile(r"\n?\S+")
-_MOST_UNITS = 1_000_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which begins pre-tokens of its own
+_BARE = "\0"
+_MOST_UNITS = 1_500_000
 
 
 class UnitCache(dict):
-    """Ids of text units: a word with the space before it, or with the line feed before it.
+    """Ids of text units: a word with the space or the line feed before it, or the bare word that begins a text.
 
     Between two characters other than white space, a single space or line feed always begins a pre-token of the
     vocabulary's splitter, so a text is the concatenation of such units and each distinct unit is tokenized once.
-    Value: the unit's number, or -1 for a unit that holds other white space; its text is then tokenized whole.
+    Value: the unit's number, or -1 for a unit that holds other white space; its text is then tokenized whole. Number 0
+    is the end of a document.
     """
 
     def __init__(self, path: str):
@@ -46,41 +50,77 @@ class UnitCache(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.flat, self.ends = array("I"), array("q", [0])
+        self.flat, self.ends = array("I", [END_ID]), array("q", [0, 1])
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def __missing__(self, unit: str) -> int:
-        number = -1
-        if _WHOLE_UNIT.fullmatch(unit):
-            spelled = unit if unit[0] == "\n" else " " + unit
-            self.flat.extend(self.tokenizer.encode(spelled, add_special_tokens=False).ids)
-            self.ends.append(len(self.flat))
-            number = len(self.ends) - 2
-        self[unit] = number
-        return number
-
-    def units(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " \n").split(" ")
-        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-
-    def ids(self, text: str, units: np.ndarray) -> np.ndarray:
-        """The ids of ``text``; its first unit, which has no space before it, is tokenized by itself."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if (units < 0).any() or text[0] == "\n":
-            return self.whole(text)
-        cut = min(k for k in (text.find(" "), text.find("\n"), len(text)) if k > 0)
-        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32)
-        at, upto = ends[units[1:]], ends[units[1:] + 1]
-        long = upto - at
-        where = np.repeat(at - np.concatenate(([0], np.cumsum(long)[:-1])) if len(long) else at, long)
-        rest = flat[where + np.arange(len(where))]
-        return np.concatenate((self.whole(text[:cut]), rest))
+        """The ids of a text and its end, without units."""
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Enter the units that are not yet known.
+
+        A word of letters with marks after it is two pre-tokens, so each of the two is tokenized once for all units
+        that share it; what is new goes to the tokenizer in one call.
+        """
+        fresh = [u for u in units if u not in self]
+        plans = []
+        for unit in fresh:
+            first = unit[:1]
+            lead, word = ("\n", unit[1:]) if first == "\n" else ("", unit[1:]) if first == _BARE else (" ", unit)
+            if word.split() != [word]:
+                plans.append(None)
+                continue
+            head = word.rstrip(_MARKS)
+            plans.append((lead + head, word[len(head) :]) if head != word and head.isalpha() else (lead + word,))
+        need = list({part for plan in plans if plan for part in plan} - self.parts.keys())
+        parts, flat, ends = self.parts, self.flat, self.ends
+        for part, made in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
+            parts[part] = array("I", made.ids).tobytes()  # bytes, unlike lists, cost the garbage collector nothing
+        for unit, plan in zip(fresh, plans, strict=True):
+            if plan is None:
+                self[unit] = -1
+                continue
+            for part in plan:
+                flat.frombytes(parts[part])
+            self[unit] = len(ends) - 1
+            ends.append(len(flat))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of each text with its end, and the numbers of its units as terms for the index.
+
+        The shard's own units are numbered first, in a dictionary small enough to stay near the processor.
+        """
+        own: dict[str, int] = {}
+        pieces = [(_BARE + text.replace("\n", " \n")).split(" ") for text in texts]
+        for split in pieces:
+            own.update(dict.fromkeys(split))
+        self.learn(own)
+        numbers = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
+        for nth, unit in enumerate(own):
+            own[unit] = nth
+        long = np.array([len(p) for p in pieces])
+        local = np.fromiter(map(own.__getitem__, chain.from_iterable(pieces)), np.int64, int(long.sum()))
+        edges = np.concatenate(([0], np.cumsum(long)))
+        units = np.insert(numbers[local], edges[1:], 0)  # the end after each document
+        edges = edges + np.arange(len(edges))
+        ends, flat = np.array(self.ends), np.array(self.flat)
+        at = ends[units]
+        many = np.where(units < 0, 0, ends[units + 1] - at)
+        upto = np.cumsum(many)
+        tokens = flat[np.repeat(at - (upto - many), many) + np.arange(int(upto[-1]) if len(upto) else 0)].astype("<u4")
+        cuts = np.concatenate(([0], upto))[edges]
+        ids = [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        terms = [units[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k, text in enumerate(texts):
+            if (terms[k] < 0).any() or _BARE in text:
+                ids[k] = self.whole(text)
+                words = text.split()
+                self.learn(set(words))
+                terms[k] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ids, terms
 
 
 _CACHES: dict[str, UnitCache] = {}
@@ -98,11 +138,11 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
-        parts = [np.unique(terms[terms >= 0], return_counts=True) for terms in docs]
-        terms = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
-        counts = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]]).astype(float)
-        owner = np.repeat(np.arange(self.n), [len(p[0]) for p in parts])
         long = np.array([len(d) for d in docs], float)
+        every = np.concatenate([np.zeros(0, np.int64), *docs])
+        wide = int(every.max(initial=0)) + 1
+        keys, counts = np.unique((np.repeat(np.arange(self.n), long.astype(int)) * wide + every)[every >= 0], return_counts=True)
+        owner, terms = keys // wide, keys % wide
         _, compact, df = np.unique(terms, return_inverse=True, return_counts=True)
         idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))
         scale = K1 * (1 - B + B * long / max(1.0, long.mean() if self.n else 1.0))
@@ -111,7 +151,7 @@ class ShardIndex:
         order = np.argsort(compact, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.starts = np.concatenate(([0], np.cumsum(df)))
-        self.of_doc = np.split(compact, np.cumsum([len(p[0]) for p in parts])[:-1]) if self.n else []
+        self.of_doc = np.split(compact, np.searchsorted(owner, np.arange(1, self.n))) if self.n else []
         self.useful = useful
 
     def scores(self, seed: int) -> np.ndarray:
@@ -194,20 +234,18 @@ def pack_documents(
     dealt = texts.withColumn("shard", F.pmod(key, F.lit(shards)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
+        gc.disable()  # a shard makes millions of strings and no cycles; the collector would walk them again and again
+        try:
+            return pack_shard(key[0].as_py(), table)
+        finally:
+            gc.enable()
+
+    def pack_shard(shard: int, table: pa.Table) -> pa.Table:
         rows = sorted(
             zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True),
             key=lambda r: (r[0] is None, r[0] or 0, r[1]),
         )
-        cache = cache_for(vocabulary)
-        ids, terms = [], []
-        for _, text in rows:
-            units = cache.units(text)
-            ids.append(np.append(cache.ids(text, units), np.uint32(END_ID)).astype("<u4"))
-            if (units < 0).any():
-                words = text.split()
-                units = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-            terms.append(units)
+        ids, terms = cache_for(vocabulary).encode([text for _, text in rows])
         out = fill_windows([len(x) for x in ids], ShardIndex(terms), window)
         cuts = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in out]
         columns = {
