@@ -38,6 +38,7 @@ from tilewright.scratch import fresh_path, materialize
 SHARD_RECORDS = 4096
 ROLL_BYTES = 16 << 20
 LEAST_PAYLOAD = 100
+MOST_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 MANIFEST = "shard long, part long, name string, temporary string, records long, bytes long, sha256 string"
@@ -158,7 +159,7 @@ def write_archive(pages: DataFrame, folder: str, every: int = SHARD_RECORDS, rol
 
     rows = with_revisits(pages).withColumn("shard", shard_of("page_id"))
     order = ["shard", F.col("page_id").asc_nulls_last(), "digest", "record_type", "url"]
-    dealt = rows.repartition("shard").sortWithinPartitions(*order)
+    dealt = rows.repartition(min(len(borders) + 2, MOST_TASKS), "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
@@ -249,7 +250,8 @@ def read_archive(manifest: DataFrame, folder: str, with_blocks: bool = True) ->
                         out = []
                 yield _batch(out)
 
-    return manifest.repartition("name").mapInArrow(read, _READ)
+    # By number: left to itself Spark would merge these few small rows, and so the reading of all files, into one task.
+    return manifest.repartition(max(1, min(manifest.count(), MOST_TASKS)), "name").mapInArrow(read, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
