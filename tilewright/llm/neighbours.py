@@ -248,8 +248,10 @@ def search(
         .cogroup(routed.groupBy(*keys))
         .applyInArrow(answer, "query_id long, best array<struct<away:double,vec_id:long>>")
     )
-    merged = answers.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("best"))
-    top = F.slice(F.sort_array(F.array_distinct("best")), 1, k)
+    merged = answers.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
+    # Sorted, a repeated id stands beside its like; array_distinct would compare all with all.
+    once = F.filter("best", lambda x, i: F.coalesce(x["vec_id"] != F.get("best", i - 1)["vec_id"], F.lit(True)))
+    top = F.slice(once, 1, k)
     listed = merged.select("query_id", F.posexplode(top).alias("at", "one"))
     return listed.select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.away")).alias("score")
