@@ -225,6 +225,28 @@ def test_scoring(spark, docs, rows):
     assert scoring.score(docs.limit(0)).count() == 0
 
 
+def test_mixture_adapts_on_every_training_document(spark):
+    """Weights and refinement are those of a learner that reads every block, whatever the ids are."""
+    r = random.Random(11)
+    made = [(k, prose(r, 50)) for k in range(40)]
+    made = [(k, t) for k, t in made if zlib.crc32(str(k).encode()) // 7 % 8]  # never in a sample of one in eight by this hash
+    docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    vocabulary = scoring.build_vocabulary(scoring.token_counts(docs), len(made))
+    model = scoring.train(docs, vocabulary, tasks=1)
+    whole = scoring.Learner()
+    bits = 0
+    for events in scoring.blocks_of(vocabulary, [t.encode().split() for _, t in made]):
+        whole.adapt(events)
+        whole.count(events)
+        bits += len(events.bits)
+    assert whole.seen.sum() == bits
+    met = whole.seen > 0
+    assert np.allclose(model.weights[met], whole.weights[met], atol=1e-5)
+    level = 1 / (1 + np.exp(-(np.arange(scoring.RUNGS) - (scoring.RUNGS - 1) / 2) / 2))
+    want = (whole.turned[:, :, 1] + 16 * level) / (whole.turned.sum(axis=2) + 16)
+    assert np.allclose(model.refined, want, atol=1e-5)
+
+
 def test_code_is_complete():
     code = scoring.huffman([5, 1, 1, 3, 8, 1])
     words = ["".join(map(str, code.bits[s : s + n])) for s, n in zip(code.starts, code.lengths, strict=True)]

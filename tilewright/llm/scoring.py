@@ -6,11 +6,9 @@ counts under hashed contexts (the place in the code with none, one or two tokens
 the one to three bytes before it). The predictions are added in the logistic domain with weights chosen by a gate (how often the
 contexts were seen, and what is being spelled), and the sum is refined by adaptive tables of how such sums turned out.
 
-Learning is one pass over all training documents. Every document is counted. The mixture - a classifier of bits - is
-fitted online on a bounded sample: one document in ``MIX_SHARE`` by a hash of its id, at most ``MIX_BITS`` bits in each
-task; such a block is predicted from the counts before it, the weights and the refinement are corrected by the errors,
-and then it is counted too. Counts of all tasks are summed slot by slot where they meet, in a stream; weights are
-averaged by the bits they saw. The finished model has a fixed size (``SLOTS`` and ``SYMBOLS`` bound it), so
+Learning covers every training document in one pass. Each task predicts a block from the counts before it, corrects the
+weights and the refinement by the errors, then counts the block too. Counts of all tasks are summed slot by slot where
+they meet, in a stream; weights are averaged by the bits they saw. The finished model has a fixed size (``SLOTS`` and ``SYMBOLS`` bound it), so
 it is broadcast. Token counts have no such bound: only those of the model's own symbols travel with it, and rarer tokens
 of a text meet their counts in a join.
 
@@ -40,8 +38,6 @@ SLOTS = 1 << SLOT_BITS
 PREDICTORS = 3
 BLOCK_TOKENS = 16_000
 BATCH = 16_384
-MIX_SHARE = 8  # one training document in so many, by hash, fits the mixture ...
-MIX_BITS = 1 << 28  # ... up to so many bits in each task
 GATES = 2 * 4 * 4 * 3
 RUNGS = 33
 _FLUSH = 400_000
@@ -288,11 +284,6 @@ def _groups(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Ite
         yield ids, texts
 
 
-def _in_fit(doc_id: int | None) -> bool:
-    """Whether a training document belongs to the sample on which weights and refinement are fitted."""
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) // 7 % MIX_SHARE == 0
-
-
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -387,17 +378,11 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, any_row = Learner(), False
-        mixed = 0
-        for ids, texts in _groups(batches):
+        for _, texts in _groups(batches):
             any_row = True
-            tokens = [_tokens(t) for t in texts]
-            fitted = [_in_fit(i) for i in ids]
-            for chosen in (True, False):
-                for events in blocks_of(shared.value, [t for t, f in zip(tokens, fitted, strict=True) if f is chosen]):
-                    if chosen and mixed < MIX_BITS:
-                        mixed += len(events.bits)
-                        learner.adapt(events)
-                    learner.count(events)
+            for events in blocks_of(shared.value, [_tokens(t) for t in texts]):
+                learner.adapt(events)
+                learner.count(events)
         if not any_row:
             return
         names = ["chunk", "counts"]
