@@ -233,7 +233,7 @@ def test_mixture_adapts_on_every_training_document(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
     vocabulary = scoring.build_vocabulary(scoring.token_counts(docs), len(made))
     model = scoring.train(docs, vocabulary, tasks=1)
-    whole = scoring.Learner()
+    whole = scoring.Learner(vocabulary.slots)
     bits = 0
     for events in scoring.blocks_of(vocabulary, [t.encode().split() for _, t in made]):
         whole.adapt(events)
@@ -247,6 +247,18 @@ def test_mixture_adapts_on_every_training_document(spark):
     assert np.allclose(model.refined, want, atol=1e-5)
 
 
+def test_slots_grow_with_training_tokens(spark):
+    """A corpus of more tokens gets more slots, and few of its contexts meet in one."""
+    counts = spark.createDataFrame([(b"a", 1 << 20), (b"b", 2 << 20)], "token binary, n long")
+    small = scoring.build_vocabulary(counts.where("n < 2000000"), 1)
+    large = scoring.build_vocabulary(counts, 1)
+    assert small.slots >= small.total and large.slots >= large.total and large.slots > small.slots
+    wide = np.random.default_rng(3).integers(0, 1 << 32, 1 << 20, dtype=np.uint32)
+    code = scoring.huffman([1, 1])
+    got = scoring._events(code, np.zeros(len(wide), np.uint32), [wide], np.zeros(len(wide), int), 0, small.slot_bits)
+    assert len(np.unique(got.slots[0])) > 0.75 * len(np.unique(wide))
+
+
 def test_code_is_complete():
     code = scoring.huffman([5, 1, 1, 3, 8, 1])
     words = ["".join(map(str, code.bits[s : s + n])) for s, n in zip(code.starts, code.lengths, strict=True)]

@@ -2,14 +2,15 @@ r"""Language-model scores by online logistic context mixing.
 
 A text is a sequence of tokens and an end. The ``SYMBOLS`` most frequent tokens, the end and an escape are written in a
 Huffman code; a rarer token follows its escape byte by byte in a code of bytes. Each bit is predicted by several tables of
-counts under hashed contexts (the place in the code with none, one or two tokens before it; inside a spelled token, with
-the one to three bytes before it). The predictions are added in the logistic domain with weights chosen by a gate (how often the
+counts under hashed contexts (the place in the code with none, one or two tokens before it, or with the last but one alone; inside a spelled token,
+with the one to three bytes before it, or with the last byte and the token before). The predictions are added in the logistic domain with weights chosen by a gate (how often the
 contexts were seen, and what is being spelled), and the sum is refined by adaptive tables of how such sums turned out.
 
 Learning covers every training document in one pass. Each task predicts a block from the counts before it, corrects the
 weights and the refinement by the errors, then counts the block too. Counts of all tasks are summed slot by slot where
-they meet, in a stream; weights are averaged by the bits they saw. The finished model has a fixed size (``SLOTS`` and ``SYMBOLS`` bound it), so
-it is broadcast. Token counts have no such bound: only those of the model's own symbols travel with it, and rarer tokens
+they meet, in a stream; weights are averaged by the bits they saw. A predictor has as many slots as there are training tokens, in powers of two from
+``LEAST_SLOT_BITS`` to ``MOST_SLOT_BITS``; the upper end is what fits into a task's memory, and contexts of a larger corpus
+share slots. The finished model is thereby bounded (with ``SYMBOLS``), so it is broadcast. Token counts have no such bound: only those of the model's own symbols travel with it, and rarer tokens
 of a text meet their counts in a join.
 
 Defined cases: null text is empty and has the end alone; a null id counts as the empty text for the choice of training
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from tilewright.scratch import materialize
 
 SYMBOLS = 131_072
-SLOT_BITS = 19
-SLOTS = 1 << SLOT_BITS
-PREDICTORS = 3
+LEAST_SLOT_BITS = 21
+MOST_SLOT_BITS = 22  # 134 MB of counts in each task
+PREDICTORS = 4
 BLOCK_TOKENS = 16_000
 BATCH = 16_384
 GATES = 2 * 4 * 4 * 3
@@ -97,6 +98,16 @@ class Vocabulary:
     counts: np.ndarray  # by symbol; the escape has none
     total: int
     distinct: int
+    slot_bits: int = LEAST_SLOT_BITS  # of each predictor
+
+    @property
+    def slots(self) -> int:
+        return 1 << self.slot_bits
+
+
+def slot_bits(n_tokens: int) -> int:
+    """The power of two that gives every training token a slot of its own, within bounds."""
+    return min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, (n_tokens - 1).bit_length()))
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -126,13 +137,13 @@ class Events:
     kind: np.ndarray
 
 
-def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, kind: int) -> Events:
+def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, kind: int, slot_bits: int) -> Events:
     whose, node, bit, depth = code.spell(symbols)
     slots = []
     for nth, context in enumerate(contexts):
         key = (context[whose] ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0xC2B2AE35)
         key ^= key >> np.uint32(13)
-        slots.append(((key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64) + nth * SLOTS)
+        slots.append(((key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - slot_bits)).astype(np.int64) + (nth << slot_bits))
     gate = (kind * 3 + np.minimum(depth // 4, 2)) * 16
     return Events(slots, bit, owner[whose], gate)
 
@@ -169,10 +180,10 @@ def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np
     at_rare = np.concatenate(spelled_at)
     one, two = _before(symbol, 1, start), _before(symbol, 2, start)
     none = np.zeros(n, np.uint32)
-    contexts = [none, _mix(one), _mix(one, two)]
+    contexts = [none, _mix(one), _mix(one, two), _mix(none + np.uint32(7), two)]
     for at in range(0, n, BLOCK_TOKENS):
         cut = slice(at, at + BLOCK_TOKENS)
-        yield _events(vocabulary.words, symbol[cut], [c[cut] for c in contexts], doc[cut], 0)
+        yield _events(vocabulary.words, symbol[cut], [c[cut] for c in contexts], doc[cut], 0, vocabulary.slot_bits)
     size = 0
     batch: list[int] = []
     for k, word in enumerate(spelled):
@@ -186,9 +197,8 @@ def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np
             place = np.repeat(at_rare[batch[0] : batch[-1] + 1], long)
             b1, b2, b3 = (_before(letters, d, begin) for d in (1, 2, 3))
             mark = np.full(len(letters), 0xB17E, np.uint32)
-            yield _events(
-                vocabulary.letters, letters, [_mix(mark, b1), _mix(mark, b1, b2), _mix(mark, b1, b2, b3)], doc[place], 1
-            )
+            spelling = [_mix(mark, b1), _mix(mark, b1, b2), _mix(mark, b1, b2, b3), _mix(mark, b1, one[place])]
+            yield _events(vocabulary.letters, letters, spelling, doc[place], 1, vocabulary.slot_bits)
             batch, size = [], 0
 
 
@@ -208,8 +218,8 @@ def _rung(x: np.ndarray) -> np.ndarray:
 class Learner:
     """Counts, mixing weights and refinement of one task, adapted as it reads."""
 
-    def __init__(self) -> None:
-        self.counts = np.zeros(2 * PREDICTORS * SLOTS, "<i4")
+    def __init__(self, slots: int) -> None:
+        self.counts = np.zeros(2 * PREDICTORS * slots, "<i4")
         self.weights = np.full((GATES, PREDICTORS + 1), 0.3, np.float32)
         self.weights[:, -1] = 0
         self.turned = np.zeros((GATES, RUNGS, 2), np.int64)
@@ -246,20 +256,21 @@ class Learner:
 
 @dataclass(frozen=True)
 class Model:
-    """The finished mixture; of fixed size."""
+    """The finished mixture; of the size of the predictors' slots."""
 
-    stretched: np.ndarray
+    stretched: np.ndarray  # 16-bit, as it travels
     grades: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
 
     def log2(self, events: Events) -> np.ndarray:
         """The base-2 logarithm of each bit's probability."""
-        gate = events.kind + 4 * self.grades[events.slots[1] - SLOTS] + self.grades[events.slots[2] - SLOTS]
+        slots = len(self.stretched) // PREDICTORS
+        gate = events.kind + 4 * self.grades[events.slots[1] - slots] + self.grades[events.slots[2] - slots]
         weights = self.weights[gate]
         total = weights[:, -1].copy()
         for k, slot in enumerate(events.slots):
-            total += weights[:, k] * self.stretched[slot]
+            total += weights[:, k] * self.stretched[slot].astype(np.float32)
         p = 0.5 / (1 + np.exp(-total)) + 0.5 * self.refined[gate, _rung(total)]
         p = np.clip(p, 1e-5, 1 - 1e-5)
         return np.log2(np.where(events.bits == 1, p, 1 - p))
@@ -346,9 +357,20 @@ def build_vocabulary(counts: DataFrame, n_documents: int, most: int = SYMBOLS) -
         np.array(known, float),
         total + n_documents,
         distinct + (n_documents > 0),
+        slot_bits(total + n_documents),
     )
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """32-bit counts compressed byte plane by byte plane; the upper planes are nearly empty."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of equal chunks summed, in a stream sorted by chunk; each becomes its part of the model."""
     names = ["chunk", "stretched", "grades"]
@@ -365,7 +387,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     yield out(at, held)
                 at, held = chunk.as_py(), np.zeros(2 * _CHUNK, np.int64)
-            held += np.frombuffer(zlib.decompress(data.as_py()), np.int32)
+            held += _unpacked(data.as_py())
     if at is not None:
         yield out(at, held)
 
@@ -374,10 +396,11 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
     """Learn from every row of ``training`` in ``tasks`` tasks (twice the cluster's cores, or fewer)."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
+    slots = vocabulary.slots
     tasks = tasks or 2 * spark.sparkContext.defaultParallelism
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, any_row = Learner(), False
+        learner, any_row = Learner(slots), False
         for _, texts in _groups(batches):
             any_row = True
             for events in blocks_of(shared.value, [_tokens(t) for t in texts]):
@@ -386,17 +409,17 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
         if not any_row:
             return
         names = ["chunk", "counts"]
-        for k in range(0, PREDICTORS * SLOTS // _CHUNK):
+        for k in range(0, PREDICTORS * slots // _CHUNK):
             part = learner.counts[2 * k * _CHUNK : 2 * (k + 1) * _CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names)
         weighed = (learner.weights.astype(float) * learner.seen[:, None]).tobytes()
         rest = weighed + learner.seen.astype(float).tobytes() + learner.turned.astype(float).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rest], pa.binary())], names)
 
     learned = materialize(_plain(training).coalesce(tasks).mapInArrow(learn, "chunk int, counts binary"), "model-parts")
-    stretched = np.zeros(PREDICTORS * SLOTS, np.float32)
-    grades = np.zeros(PREDICTORS * SLOTS, np.uint8)
+    stretched = np.zeros(PREDICTORS * slots, np.float16)
+    grades = np.zeros(PREDICTORS * slots, np.uint8)
     parts = learned.where("chunk >= 0").repartition(64, "chunk").sortWithinPartitions("chunk")
     for row in parts.mapInArrow(_merged, "chunk int, stretched binary, grades binary").toLocalIterator():
         cut = slice(row.chunk * _CHUNK, (row.chunk + 1) * _CHUNK)
@@ -412,7 +435,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
     turned = sums[wide + GATES :].reshape(GATES, RUNGS, 2)
     level = 1 / (1 + np.exp(-(np.arange(RUNGS) - (RUNGS - 1) / 2) / 2))
     refined = (turned[:, :, 1] + 16 * level) / (turned.sum(axis=2) + 16)
-    return Model(stretched, grades[SLOTS : 3 * SLOTS], weights.astype(np.float32), refined.astype(np.float32))
+    return Model(stretched, grades[slots : 3 * slots], weights.astype(np.float32), refined.astype(np.float32))
 
 
 _SCORED = (
