@@ -16,7 +16,7 @@ not name it (a component of such rows alone has a null ``component_id``); an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,9 +152,13 @@ def print_links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, print, component_id``: one row for each document."""
-    marked = materialize(fingerprints(docs), "prints")
+    return named_components(materialize(fingerprints(docs), "prints"), print_links)
+
+
+def named_components(marked: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``doc_id, print, component_id`` of each row of ``marked(doc_id, print)``, given the ``links`` of ``(print)``."""
     prints = materialize(marked.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    found = materialize(components(print_links(prints.select("print"))), "print-components")
+    found = materialize(components(links(prints.select("print"))), "print-components")
     named = found.join(prints, found["node"] == prints["print"]).select("node", "root", "first_id")
     named = materialize(named, "print-roots")
     least = materialize(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root-ids")
@@ -174,12 +178,13 @@ def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (near_duplicates, if None), the one with the smallest id.
 
     Rows without an id are nobody's duplicates and stay; of rows that share the chosen id one stays.
     """
-    chosen = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    found = near_duplicates(docs) if found is None else found
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     chosen = materialize(chosen, "kept-ids")
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("of_id"))
     kept = rows.where("of_id IS NOT NULL").join(chosen, rows["of_id"] == chosen["keep_id"])
