@@ -175,7 +175,7 @@ def test_packing_round_trip(docs, rows):
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
     encode = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-    got = packing.pack_documents(docs, VOCABULARY, window=256, shard_chars=9000).collect()
+    got = packing.pack_documents(docs, VOCABULARY, window=256, shard_tokens=2000).collect()
     pieces, places = defaultdict(list), defaultdict(list)
     for p in got:
         assert p.ids_crc32 == zlib.crc32(p.ids) and len(p.ids) == 4 * p.length
@@ -197,18 +197,56 @@ def test_packing_round_trip(docs, rows):
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " a", "a  b", "a\n\nb", "it's 12,3!! x\ty", "\nfoo, bar.", "é ü don't", "<|endoftext|> x", "a " * 50 + "ß##"])
-def test_units_agree_with_tokenizer(text):
-    cache = packing.UnitCache(VOCABULARY)
-    want = lambda t: [*cache.tokenizer.encode(t, add_special_tokens=False).ids, 1]
-    got, _ = cache.encode(["x y, z", text, "", text + " end", "\0 a"])
-    assert [g.tolist() for g in got] == [want(t) for t in ("x y, z", text, "", text + " end", "\0 a")]
+@pytest.mark.parametrize("text", ["", " a", "a  b", "a\n\nb", "it's 12,3!! x\ty", "\nfoo, bar.", "é ü don't", "<|endoftext|> x", "a " * 50 + "ß##", "\0 a \x85 z\u3000日本", "a" * 1_100_000])
+def test_encoder_agrees_with_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    assert packing.encoder(VOCABULARY)[0](text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_scores_are_bm25():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(2, 40, rng.integers(0, 30)), 1) for _ in range(60)]
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50)
+    corpus = packing.Corpus(held, len(docs), float(np.mean([len(d) for d in docs])))
+    index = packing.ShardIndex(docs, corpus.idf, corpus.mean_length)
+    for seed in (0, 7, 59):
+        want = np.zeros(len(docs))
+        for d, other in enumerate(docs):
+            for t in set(docs[seed].tolist()):
+                f, n = int((other == t).sum()), held[t]
+                if 2 <= n <= packing.COMMON * len(docs):
+                    idf = np.log(1 + (len(docs) - n + 0.5) / (n + 0.5))
+                    want[d] += idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(other) / corpus.mean_length)) if f else 0
+        assert np.allclose(index.scores(seed), want)
+
+
+def test_packing_deals_near_copies_together():
+    """Near copies share a shard far more often than chance; a key that a third of all rows have is split evenly."""
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(2, 3000, 200) for _ in range(300)]
+    docs = [np.append(np.where(rng.random(200) < 0.03, rng.integers(2, 3000, 200), b), 1) for b in bases for _ in (0, 1)]
+    docs += [docs[0]] * 300
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=3000)
+    keys = packing.keys_of(docs, packing.Corpus(held, len(docs), 201.0).turns)
+    mass = np.bincount(keys, [len(d) for d in docs], 3000 * packing.PARTS).astype(int)
+    first, many = packing.shard_plan({k: int(mass[k]) for k in np.flatnonzero(mass)}, 3000 * packing.PARTS, 4000)
+    shard = first[keys] + np.arange(len(keys)) % many[keys]
+    met = np.mean([shard[2 * k] == shard[2 * k + 1] for k in range(1, 300)])
+    assert met > 0.7 and len(set(shard.tolist())) > 30
+    assert max(np.bincount(shard, [len(d) for d in docs])) <= 2 * 4000
 
 
 def test_packing_prefers_neighbours():
-    index = packing.ShardIndex([np.array(x) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 4], [5, 6], [10, 11], [12, 13])])
-    scores = index.scores(0)
+    docs = [np.array(x) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 4], [5, 6], [10, 11], [12, 13])]
+    idf = np.zeros(20)
+    idf[[1, 2]] = 1.0
+    scores = packing.ShardIndex(docs, idf, 2.5).scores(0)
     assert scores.argsort()[-2:].tolist() == [2, 0]
+    pieces = packing.fill_windows([3, 3, 3, 2, 2, 2], packing.ShardIndex(docs, idf, 2.5), 6)
+    assert [p[0] for p in pieces[:2]] == [0, 2]  # the neighbour fills the seed's window
 
 
 def test_scoring(spark, docs, rows):
