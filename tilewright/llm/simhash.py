@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.rows import whole_row
+from tilewright.functions.text import filled
 from tilewright.llm.components import components
-from tilewright.scratch import materialize
+from tilewright.llm.sized import checked
+from tilewright.scratch import materialize, temporary
 
 SHINGLE = 4
 SEED = 42
@@ -58,13 +60,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        columns = [batch.column("doc_id"), batch.column("digest"), pa.array(prints.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, print`` (the fingerprint as a signed long) of each document."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(_print_batches, "doc_id long, print long")
+    """``doc_id, digest, print`` (a hash of the text, the fingerprint as a signed long) of each document."""
+    text = filled(F.col("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    return plain.mapInArrow(_print_batches, "doc_id long, digest long, print long")
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,26 +155,28 @@ def print_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, print, component_id``: one row for each document."""
+    """``doc_id, digest, print, root, component_id``: one row for each document."""
     return named_components(materialize(fingerprints(docs), "prints"), print_links)
 
 
 def named_components(marked: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``doc_id, print, component_id`` of each row of ``marked(doc_id, print)``, given the ``links`` of ``(print)``."""
+    """``marked(doc_id, print, ...)`` with ``root``, the print that names its component, and ``component_id``, given the ``links`` of ``(print)``."""
     prints = materialize(marked.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     found = materialize(components(links(prints.select("print"))), "print-components")
     named = found.join(prints, found["node"] == prints["print"]).select("node", "root", "first_id")
     named = materialize(named, "print-roots")
     least = materialize(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root-ids")
     least = least.withColumnRenamed("root", "least_root")
-    of_node = named.join(least, named["root"] == least["least_root"]).select("node", "least_id")
+    of_node = named.join(least, named["root"] == least["least_root"]).select("node", "root", "least_id")
     of_print = materialize(
         prints.join(of_node, prints["print"] == of_node["node"], "left").select(
-            F.col("print").alias("of_print"), F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
+            F.col("print").alias("of_print"),
+            F.coalesce("root", "print").alias("root"),
+            F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
         ),
         "print-ids",
     )
-    return marked.join(of_print, marked["print"] == of_print["of_print"]).select("doc_id", "print", "component_id")
+    return marked.join(of_print, marked["print"] == of_print["of_print"]).select(*marked.columns, "root", "component_id")
 
 
 def hex_print(value: Column) -> Column:
@@ -178,15 +184,26 @@ def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one document of each component of ``found`` (near_duplicates, if None), the one with the smallest id.
+def one_of_each(docs: DataFrame, finder: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component that ``finder`` tells of: the one with the smallest id, then text digest.
 
-    Rows without an id are nobody's duplicates and stay; of rows that share the chosen id one stays.
+    Rows without an id are nobody's duplicates and stay. Unlike documents that share an id are judged each; of rows that
+    repeat the chosen id and text the first in the order of their JSON stays. Texts are moved only where such repeats are.
     """
-    found = near_duplicates(docs) if found is None else found
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    chosen = materialize(chosen, "kept-ids")
-    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("of_id"))
-    kept = rows.where("of_id IS NOT NULL").join(chosen, rows["of_id"] == chosen["keep_id"])
-    kept = kept.groupBy("keep_id").agg(F.first("row").alias("row")).select("row")
-    return kept.unionByName(rows.where("of_id IS NULL").select("row")).select("row.*")
+    with temporary() as tables:
+        known = finder(docs).where("doc_id IS NOT NULL").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+        known = materialize(known, "kept-known")
+        chosen = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+        chosen = materialize(chosen.select(F.col("root").alias("one_root"), "one"), "kept-ids")
+        met = known.join(chosen, known["root"] == chosen["one_root"])
+        stays = (F.col("doc_id") == F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))
+        odd = met.where(~stays | (F.col("n") > 1))
+        odd = tables.keep(odd.select(F.col("doc_id").alias("odd_id"), F.col("digest").alias("odd_digest"), stays.alias("stays")), "kept-odd")
+    few = checked(odd, 32)
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("of_id"), F.xxhash64(filled(F.col("text"))).alias("of_digest"))
+    same = (F.col("of_id") == F.col("odd_id")) & (F.col("of_digest") == F.col("odd_digest"))
+    kept = rows.join(few, same, "left_anti").select("row")
+    if odd.where("stays").count():
+        repeats = rows.join(few.where("stays"), same).groupBy("of_id", "of_digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.unionByName(repeats.select("row"))
+    return kept.select("row.*")
