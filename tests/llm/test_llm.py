@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tilewright.llm import boosting, extraction, html_tree, licenses, mixing, neighbours, packing, page_maker, quality, scoring, secrets, simhash, warc
+from tilewright.llm import boosting, extraction, html_tree, licenses, mixing, neighbours, packing, page_maker, quality, resemblance, scoring, secrets, simhash, warc
 from tilewright.llm.queries import VOCABULARY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,12 +115,70 @@ def test_secrets_against_re(docs, rows):
     assert any(s for _, s in got)
     again = secrets.scan_unseen(docs, secrets.paths_of(docs), ledger)
     assert again.count() == 0  # nothing is scanned twice
-    assert secrets.scan_unseen(docs, secrets.paths_of(docs), ledger, "other").count() == ledger.count()
+    renewed = secrets.scan_unseen(docs, secrets.paths_of(docs), ledger, secrets.RULES | {"hex": "hex-2"})
+    assert {r.rule for r in renewed.collect()} == {"hex-2"} and renewed.count() * 3 == ledger.count()
     clean = {r.doc_id: r.text for r in secrets.redacted_documents(docs).collect()}
     assert "AKIA" not in clean[62] and secrets.MARK in clean[62] and clean[62].startswith("x ")
     assert clean[50] is None and clean[60] == "tiny"
 
 
+def test_secrets_ledger_over_versions_of_a_text(spark, rows):
+    """Old blobs stay in the ledger; only a changed text is scanned again, and no text is shuffled for it."""
+    kind = "doc_id long, text string"
+    many = " ".join(f"AKIA{'A' * 14}{k}" for k in range(3000))
+    first = spark.createDataFrame([(k, f"token = {'a' * 12}{k}") for k in range(50)] + [(90, many)], kind)
+    _, ledger = secrets.scan_secrets(first)
+    second = first.withColumn("text", F.when(F.col("doc_id") == 7, F.lit("changed 0123456789abcdef")).otherwise(F.col("text")))
+    paths = secrets.paths_of(second)
+    fresh = secrets.scan_unseen(second, paths, ledger)
+    assert {(r.rule, len(r.spans)) for r in fresh.collect()} == {("assign-1", 0), ("access-1", 0), ("hex-1", 1)}
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning\((doc_id|blob)[^)]*\).*text", plan)
+    findings, after = secrets.scan_secrets(second, ledger)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in findings.collect()}
+    assert got[7] == [(8, 2, 24)] and got[90] == [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", many)]
+    assert after.count() == ledger.count() + 3
+    back, again = secrets.scan_secrets(first, after)  # the old version comes back: known
+    assert again.count() == after.count() and {r.doc_id: len(r.spans) for r in back.collect()}[7] == 1
+
+
+def test_mixing_draws_rows_of_one_id_apart(spark):
+    """Many rows without an id or of one id and text: still near the targets, the same whatever the layout."""
+    rows = [(None, f"w{k} " * 20, s) for s in ("a", "b") for k in range(50)] + [(5, "same text of five words", "c")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.size * r.n_copies
+        target[r.source] = r.target
+    assert len(got) == len(rows)
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 20
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    key = lambda x: sorted((r.source, r.size, r.n_copies) for r in x)
+    assert key(got) == key(again)
+    assert mixing.mixed_documents(df).count() == sum(r.n_copies for r in got)
+
+
+def test_mixing_odds_follow_weights(spark):
+    """Documents of twice the weight are drawn about twice as often, and weight 0 never."""
+    rows = [(k, "one two three", "a" if k % 2 else "b", [0.0, 1.0, 2.0, None][k // 2 % 4]) for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    plan = [r for r in mixing.mix_sources(df, weights=(1.0, 3.0), weight="w").collect() if r.source == "a"]
+    mean = {w: np.mean([r.n_copies for r in plan if r.doc_id // 2 % 4 == k]) for k, w in enumerate((0.0, 1.0, 2.0, None))}
+    assert mean[0.0] == 0 and mean[2.0] == pytest.approx(2 * mean[1.0], rel=0.12) and mean[None] == pytest.approx(mean[1.0], rel=0.12)
+    assert abs(sum(r.size * r.n_copies for r in plan) - plan[0].target) <= 3
+
+
+def test_one_of_each_keeps_unlike_documents_of_one_id(spark):
+    r = random.Random(77)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "x"), (1, a, "x"), (None, a, "n"), (None, a, "n")], "doc_id long, text string, row string")
+    for finder in (simhash.near_duplicates, resemblance.near_duplicates):
+        kept = sorted((x.doc_id or 0, x.text, x.row) for x in simhash.one_of_each(df, finder).collect())
+        assert kept == sorted([(1, a, "x"), (1, b, "y"), (2, c, "z"), (0, a, "n"), (0, a, "n")])
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)

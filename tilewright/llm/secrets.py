@@ -1,14 +1,18 @@
 r"""Secret scans over a ledger of blobs, with DataFrame functions only.
 
-Every version of a text is a blob, named by its SHA-256. The ledger has a row for each pair of blob and rule version
-that was ever scanned. A scan reads only blobs whose pair is missing, one document of each, and its findings are joined
-back to every document (path) that holds the blob. An unchanged corpus costs a hash of each text and no pattern.
+Every version of a text is a blob, named by its SHA-256. The ledger has a row for each pair of blob and rule version that
+was ever scanned, with the spans found, if any. A scan reads only blobs of which a pair is missing, one document of each,
+looks only for what is missing, and its findings are joined back to every document (path) that holds the blob. An
+unchanged corpus costs a hash of each text and no pattern; a new or changed rule costs that rule alone.
 
-Positions come from splitting a text at a pattern's matches: pieces and matches alternate, so their lengths add up to
-starts and ends, in code points, without code outside Spark.
+Which texts to read is settled on a table of ids and digests before any text moves: the shorter of the two lists, of what
+to scan or of what to leave out, is broadcast after a look at its size; beyond that it meets the texts in a shuffled join.
+
+Positions come from splitting a text at a pattern's matches: pieces and matches alternate, so their running lengths are
+starts and ends, in code points. Running sums come from doubling, so a text with any number of matches takes n log n steps.
 
 Defined cases: null text is the empty blob; equal texts share a blob, however many paths hold it; repeated rows each get
-their findings; a null id is a path like others; an empty table gives no rows.
+their findings; a null id is a path like others; a text may have thousands of matches; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.rows import whole_row
 from tilewright.functions.text import filled
-from tilewright.scratch import materialize
+from tilewright.llm.sized import checked
+from tilewright.scratch import materialize, temporary
 
-RULE_VERSION = "base-1"
 SPAN = "struct<start:int,kind:int,end:int>"
-LEDGER = f"blob string, rule_version string, spans array<{SPAN}>"
+SPANS = f"array<{SPAN}>"
+LEDGER = f"blob string, rule string, spans {SPANS}"
 
 # The patterns of the contract, in the order in which kinds are listed. Where a match that is too short can
 # only be followed by shorter ones of the same run, the least length stands in the pattern itself.
@@ -35,54 +40,37 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MARK = "[SECRET]"
 
-
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: Rule versions by kind; a rule that changes gets a new version, and every blob is unseen under it.
+RULES = {"assign": "assign-1", "access": "access-1", "hex": "hex-1"}
+_PATTERNS = (ASSIGN, ACCESS, HEX)
 
 
-def _spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
-    """Spans of ``found``, the matches of ``pattern``, from the pieces of text between them."""
-    none = F.array().cast(f"array<{SPAN}>")
-    gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
-    steps = F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found, lambda gap, hit: F.struct(gap.alias("gap"), F.length(hit).alias("long"))
-    )
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, by adding each element to those 1, 2, 4, ... places on."""
+    turns = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int")))
 
-    def step(state: Column, one: Column) -> Column:
-        begin = state["at"] + one["gap"]
-        end = begin + one["long"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def double(sums: Column, turn: Column) -> Column:
+        apart = F.pow(F.lit(2), turn).cast("int")
+        shifted = F.concat(F.array_repeat(F.lit(0), apart), sums)
+        return F.when(F.size(sums) > apart, F.zip_with(sums, F.slice(shifted, 1, F.size(sums)), lambda x, y: x + y)).otherwise(sums)
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda state: state["spans"])).otherwise(none)
+    return F.aggregate(turns, numbers, double)
 
 
-def find_spans(blobs: DataFrame) -> DataFrame:
-    """``blobs(text, ...)`` with ``spans`` in place of ``text``: by start, then kind as listed."""
-    text = F.col("text")
-    found = blobs.select(
-        "*",
-        _matches(text, ASSIGN).alias("m0"),
-        _matches(text, ACCESS).alias("m1"),
-        _matches(text, HEX).alias("m2"),
-    )
-    value = F.lit(ASSIGN)
-    long_enough = F.transform(
-        F.regexp_extract_all(text, value, F.lit(2)), lambda secret: F.length(secret) >= ASSIGN_LEAST
-    )
-    assign = F.when(
-        F.size("m0") > 0,
-        F.transform(
-            F.filter(
-                F.zip_with(_spans(text, F.col("m0"), ASSIGN, 0), long_enough, lambda s, ok: F.struct(s.alias("s"), ok.alias("ok"))),
-                lambda both: both["ok"],
-            ),
-            lambda both: both["s"],
-        ),
-    ).otherwise(F.array().cast(f"array<{SPAN}>"))
-    spans = F.concat(assign, _spans(text, F.col("m1"), ACCESS, 1), _spans(text, F.col("m2"), HEX, 2))
-    return found.withColumn("spans", F.sort_array(spans)).drop("m0", "m1", "m2", "text")
+def _spans(text: Column, kind: int) -> Column:
+    """Spans of a kind's matches, from the pieces of text between them."""
+    pattern = _PATTERNS[kind]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    long = F.transform(found, lambda hit: F.length(hit))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece)), 1, F.size(found))
+    ends = _running(F.zip_with(gaps, long, lambda gap, n: gap + n))
+    spans = F.zip_with(ends, long, lambda end, n: F.struct((end - n).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+    if KINDS[kind] == "assign":
+        secret = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x))
+        both = F.zip_with(spans, secret, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+        spans = F.transform(F.filter(both, lambda x: x["n"] >= ASSIGN_LEAST), lambda x: x["s"])
+    none = F.array().cast(SPANS)
+    return F.when(text.rlike(pattern), spans.cast(SPANS)).otherwise(none)
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
@@ -90,42 +78,56 @@ def paths_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(filled(F.col("text")), 256).alias("blob"))
 
 
-def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows for the blobs of ``docs`` that ``ledger`` lacks under ``rule_version``.
+def unseen(paths: DataFrame, ledger: DataFrame | None, rules: dict[str, str] = RULES) -> DataFrame:
+    """``blob, scan_id, missing``: one document for each blob of which ``ledger`` lacks pairs, and the rule versions they lack."""
+    versions = F.array(*[F.lit(v) for v in sorted(rules.values())])
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("scan_id"))
+    if ledger is None:
+        return blobs.withColumn("missing", versions)
+    known = ledger.where(F.col("rule").isin(*rules.values())).groupBy(F.col("blob").alias("known_blob")).agg(F.collect_set("rule").alias("known"))
+    met = blobs.join(known, F.col("blob") == F.col("known_blob"), "left")
+    missing = F.array_except(versions, F.coalesce("known", F.array().cast("array<string>")))
+    return met.select("blob", "scan_id", missing.alias("missing")).where(F.size("missing") > 0)
 
-    One document stands for each blob. Its text meets the list of blobs to scan on id and blob together, so copies of
-    one text, however many, stay spread out. When little is new that list is small and Spark broadcasts it, after its
-    own check of the size; else texts are dealt once and the list is the hashed side.
-    """
-    pending = paths.groupBy("blob").agg(F.min("doc_id").alias("scan_id"))
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        pending = pending.join(known, "blob", "left_anti")
-    pending = pending.withColumnRenamed("blob", "scan_blob").hint("shuffle_hash")
-    texts = docs.select("doc_id", filled(F.col("text")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    chosen = texts.join(
-        pending, (texts["blob"] == pending["scan_blob"]) & texts["doc_id"].eqNullSafe(pending["scan_id"])
-    ).select("blob", "text")
-    found = find_spans(chosen)
-    whole = found.groupBy("blob").agg(F.max("spans").alias("spans"))  # repeated rows scan the same blob
-    return whole.select("blob", F.lit(rule_version).alias("rule_version"), F.col("spans").cast(f"array<{SPAN}>"))
-
-
-def scan_secrets(
-    docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION
-) -> tuple[DataFrame, DataFrame]:
-    """Findings of every document and the ledger as it stands after the scan.
 
-    Findings: ``doc_id, blob, spans``. Keep the second frame and give it to the next call.
+def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None, rules: dict[str, str] = RULES) -> DataFrame:
+    """Ledger rows for the pairs of blobs of ``docs`` and ``rules`` that ``ledger`` lacks."""
+    pending = materialize(unseen(paths, ledger, rules), "blob-pending")
+    n_pending, n_paths = pending.count(), paths.count()
+    texts = docs.select("doc_id", filled(F.col("text")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    wanted = pending.select(F.col("blob").alias("w_blob"), "scan_id", "missing")
+    pair = lambda other: (F.col("blob") == F.col(f"{other}_blob")) & F.col("doc_id").eqNullSafe(F.col("scan_id"))
+    sets = [r.missing for r in pending.select("missing").distinct().collect()]  # at most one for each set of rules
+    if 2 * n_pending > n_paths and len(sets) == 1:  # all lack the same: leave out the other paths
+        others = paths.distinct().join(wanted, pair("w"), "left_anti").select(F.col("blob").alias("o_blob"), F.col("doc_id").alias("scan_id"))
+        chosen = texts.join(checked(materialize(others, "blob-others"), 120), pair("o"), "left_anti")
+        chosen = chosen.withColumn("missing", F.array(*[F.lit(v) for v in sets[0]]))
+    else:
+        chosen = texts.join(checked(wanted, 160), pair("w"))
+    none = F.array().cast(SPANS)
+    asked = sorted({v for x in sets for v in x})
+    kinds = [(KINDS.index(kind), version) for kind, version in rules.items() if version in asked]
+    each = lambda nth, version: F.when(F.array_contains("missing", version), _spans(F.col("text"), nth)).otherwise(none)
+    found = chosen.select("blob", F.array(*[F.struct(F.lit(v).alias("rule"), each(k, v).alias("spans")) for k, v in kinds], F.struct(F.lit(None).cast("string").alias("rule"), none.alias("spans"))).alias("all"), "missing")
+    apart = found.select("blob", F.explode(F.filter("all", lambda x: F.array_contains("missing", x["rule"]))).alias("one"))
+    whole = apart.select("blob", "one.rule", "one.spans").groupBy("blob", "rule").agg(F.max("spans").alias("spans"))  # repeated rows scan one blob
+    return whole.select("blob", "rule", F.col("spans").cast(SPANS).alias("spans"))
+
+
+def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, str] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Findings of every document under ``rules`` and the ledger as it stands after the scan.
+
+    Findings: ``doc_id, blob, spans``, spans by start, then kind as listed. Keep the second frame and give it to the next
+    call: it scans only pairs of blob and rule version that are not in it.
     """
     paths = materialize(paths_of(docs), "blob-paths")
-    fresh = materialize(scan_unseen(docs, paths, ledger, rule_version), "blob-ledger")
+    fresh = materialize(scan_unseen(docs, paths, ledger, rules), "blob-ledger")
     after = fresh if ledger is None else ledger.unionByName(fresh)
-    current = after.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    findings = paths.join(current, "blob", "left")
-    return findings.select(
-        "doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")
-    ), after
+    hits = after.where(F.col("rule").isin(*rules.values()) & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = hits.select(F.col("blob").alias("hit_blob"), F.sort_array("spans").alias("spans"))
+    hits = materialize(hits, "blob-hits")
+    findings = paths.join(hits, F.col("blob") == F.col("hit_blob"), "left")
+    return findings.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), after
 
 
 def named(spans: Column) -> Column:
@@ -152,20 +154,17 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
-def redacted_documents(docs: DataFrame) -> DataFrame:
+def redacted_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` (and ``n_chars`` to match, where there is such a column).
 
-    Documents without a finding pass as they are. Only documents with findings are on the joined side.
+    Documents without a finding pass as they are. Only blobs with findings are on the joined side.
     """
-    findings, _ = scan_secrets(docs)
-    dirty = findings.where(F.size("spans") > 0).dropDuplicates(["doc_id", "blob"])
-    dirty = dirty.select(F.col("doc_id").alias("hit_id"), F.col("blob").alias("hit_blob"), "spans")
-    dirty = materialize(dirty, "blob-hits")
-    rows = docs.select(whole_row(docs).alias("row"), "doc_id", filled(F.col("text")).alias("whole"))
-    rows = rows.withColumn("blob", F.sha2("whole", 256))
-    met = rows.join(
-        dirty, rows["doc_id"].eqNullSafe(dirty["hit_id"]) & (rows["blob"] == dirty["hit_blob"]), "left"
-    )
+    with temporary() as tables:
+        findings, _ = scan_secrets(docs, ledger)
+        dirty = findings.where(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), "spans").dropDuplicates(["hit_blob"])
+        dirty = tables.keep(dirty, "blob-dirty")
+    rows = docs.select(whole_row(docs).alias("row"), filled(F.col("text")).alias("whole")).withColumn("blob", F.sha2("whole", 256))
+    met = rows.join(checked(dirty, 200), rows["blob"] == dirty["hit_blob"], "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(redact(F.col("whole"), F.col("spans")))
     fields = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     met = met.withColumn("clean", text)

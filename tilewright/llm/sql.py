@@ -31,11 +31,15 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 
 OP3 = rf"""
 WITH RECURSIVE z AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
-           / CAST(4503599627370496 AS DOUBLE) AS u
-  FROM documents),
-q AS (SELECT doc_id, source, size, u / (1 - u) / (1 + u / (1 - u)) AS q FROM z),
+  SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h,
+         len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+y AS (
+  SELECT doc_id, source, size, CASE WHEN size < 32 OR size >= 8192 THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS pull,
+         '17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h || ':'
+           || row_number() OVER (PARTITION BY doc_id, h) AS k FROM z),
+q AS (
+  SELECT doc_id, source, size, pull, (CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM y),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM q GROUP BY source),
 n AS (
   SELECT source, source_size, CAST(3.0 AS DOUBLE) * source_size AS stop,
@@ -47,16 +51,27 @@ fill(turn, source, target, stop, w, source_size) AS (
            * (sum(source_size) OVER () - sum(CASE WHEN target >= stop THEN stop ELSE 0 END) OVER ())
            / sum(CASE WHEN target >= stop THEN 0 ELSE w END) OVER ()) END, stop, w, source_size
   FROM fill WHERE turn < 64),
-t AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END AS copies
-      FROM fill WHERE turn = 64),
-c AS (
-  SELECT q.doc_id, q.size, q.q, t.*, t.target - copies * t.source_size AS rest,
-         sum(q.size) OVER (PARTITION BY t.source ORDER BY q.q, q.doc_id NULLS FIRST) AS upto
-  FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT source, arg_min(upto, abs(upto - rest)) AS cut FROM c WHERE abs(upto - rest) < rest GROUP BY source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (copies + CASE WHEN b.cut IS NOT NULL AND upto <= b.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source
+t AS (SELECT source, source_size, target FROM fill WHERE turn = 64),
+g AS (SELECT source, sum(CASE WHEN pull = 1 THEN size ELSE 0 END) AS full_size, sum(CASE WHEN pull < 1 THEN size ELSE 0 END) AS half_size FROM q GROUP BY source),
+l AS (
+  SELECT t.*, CASE WHEN full_size + 0.5 * half_size > 0 AND target / (full_size + 0.5 * half_size) <= 3 THEN target / (full_size + 0.5 * half_size)
+                   WHEN half_size > 0 THEN (target - CAST(3 AS DOUBLE) * full_size) / (0.5 * half_size) ELSE 3 END AS level
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+x AS (
+  SELECT q.*, l.source_size, l.target, CASE WHEN l.source_size > 0 THEN least(CAST(3 AS DOUBLE), level * pull) ELSE 0 END AS e
+  FROM q JOIN l ON q.source IS NOT DISTINCT FROM l.source),
+r AS (SELECT *, floor(e) AS copies, e - floor(e) AS p FROM x),
+o AS (SELECT *, u / (1 - u) / (p / (1 - p)) AS rank FROM r WHERE p > 0),
+k AS (SELECT *, rank / (1 + rank) AS key FROM o),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM k),
+s AS (SELECT source, any_value(target) - sum(copies * size) AS rest FROM r GROUP BY source),
+b AS (
+  SELECT c.source, arg_min(key, abs(upto - rest)) AS cut FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source
+  WHERE abs(upto - rest) < rest GROUP BY c.source)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       CAST(r.size * (r.copies + CASE WHEN r.p > 0 AND b.cut IS NOT NULL
+         AND r.u / (1 - r.u) / (r.p / (1 - r.p)) / (1 + r.u / (1 - r.u) / (r.p / (1 - r.p))) <= b.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source
 """
 
 OP10 = """
