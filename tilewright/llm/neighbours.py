@@ -1,20 +1,22 @@
 r"""Approximate nearest neighbours by learned partitions.
 
 On a bounded sample (``SAMPLE`` distinct vectors, by a hash of their id) a neighbour graph is built and cut into parts of
-equal size with few edges between them. A softmax classifier learns from each sampled vector's share of neighbours in
-every part. It then deals every row of the table to its most probable part, and sends a query to several, the smallest
-number that finds at least ``AIM`` of the true neighbours of sampled queries; within those parts scores are exact.
+equal size with few edges between them: one for about ``PART_ROWS`` rows of the table, as far as the sample has
+``PART_SAMPLE`` vectors for each. A softmax classifier learns from each sampled vector's share of neighbours in every
+part. It then deals every row of the table to its most probable part, and sends a query to several; within those parts
+scores are exact. How many parts a query visits is settled on the table itself: ``HELD`` queries are answered by brute
+force in one pass, and the smallest number that finds at least ``AIM`` of their true neighbours is taken.
 
-Parts are searched in blocks: a part of any size is split by a hash into blocks of about ``BLOCK`` rows, and queries into
-blocks of ``QUERY_BLOCK``, so neither a common vector nor a long list of queries gathers in one task. A block answers
-with its best rows for each query; a query's answers are merged.
+A part of any size is split by a hash into blocks of about ``BLOCK`` rows, and the queries sent to a part into blocks of
+``QUERY_BLOCK``, so neither a common vector nor a long list of queries gathers in one task. Rows are copied only for
+parts with more queries than that. A block answers with its best rows for each query; a query's answers are merged.
 
 Scores are sums from the first component to the last in double precision, so equal vectors have equal scores and ties go
 to the smaller id on every layout. Block products by matrix multiplication only choose, with a margin for rounding.
 
-Defined cases: a vector that is null, zero, of another length than the sample's commonest, or holds a null or non-finite
-component takes no part, nor does a null id; rows that repeat an id are candidates of equal score and the id is listed
-once; an empty table gives no rows.
+Defined cases: a vector that is null, zero or holds a null or non-finite component takes no part, nor does a null id;
+vectors of another length than the sample's commonest are compared with those of their own length, exactly; an id that
+several rows have is listed once, with its best score; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,27 +27,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.llm.sized import checked
 from tilewright.scratch import materialize
 
 SAMPLE = 8192
-PARTS = 32
+PART_ROWS = 1024
+PART_SAMPLE = 16
 GRAPH_K = 10
-AIM = 0.97
-BLOCK = 1024
-QUERY_BLOCK = 4096
+AIM = 0.95
+HELD = 256
+BLOCK = 8192
+QUERY_BLOCK = 16_384
 _SLICE = 256
 
 
 @dataclass(frozen=True)
 class Router:
-    """Weights of the classifier, and how many parts a query visits."""
+    """Weights of the classifier: a column for each part."""
 
     weights: np.ndarray
     bias: np.ndarray
-    probes: int
 
     def order(self, vectors: np.ndarray) -> np.ndarray:
         """Parts from the most to the least probable, for each vector."""
@@ -99,14 +104,20 @@ def partition_graph(vectors: np.ndarray, graph: np.ndarray, parts: int, rounds:
     return label
 
 
-def fit_router(sample: np.ndarray, parts: int = PARTS, k: int = 20, aim: float = AIM, seed: int = 7) -> Router:
+def part_count(rows: int, sampled: int) -> int:
+    """A power of two: parts of about ``PART_ROWS`` rows, as far as the sample goes."""
+    parts = max(1, min(max(8, -(-rows // PART_ROWS)), sampled // PART_SAMPLE))
+    return 1 << (parts.bit_length() - 1)
+
+
+def fit_router(sample: np.ndarray, parts: int, seed: int = 7) -> Router:
     """Partition the sample's neighbour graph and fit the classifier; deterministic for a given sample."""
     vectors = np.unique(sample, axis=0)
     n = len(vectors)
     while parts > 1 and n < 8 * parts:
         parts //= 2
     if parts == 1:
-        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), 1)
+        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1))
     rng = np.random.default_rng(seed)
     vectors = vectors[rng.permutation(n)]
     graph = nearest(vectors, vectors, min(GRAPH_K, n - 1), np.arange(n))
@@ -132,14 +143,7 @@ def fit_router(sample: np.ndarray, parts: int = PARTS, k: int = 20, aim: float =
                 moments[m] = 0.9 * moments[m] + 0.1 * slope
                 moments[m + 1] = 0.99 * moments[m + 1] + 0.01 * slope**2
                 value -= 0.05 * (moments[m] / (1 - 0.9**step)) / (np.sqrt(moments[m + 1] / (1 - 0.99**step)) + 1e-8)
-    router = Router(weights, bias, parts)
-    asked = np.arange(min(n, 512))
-    true = nearest(vectors, vectors[asked], min(k, n - 1), asked)
-    home = router.order(vectors)[:, 0]
-    visit = np.argsort(router.order(vectors[asked]), axis=1)  # the turn at which a query comes to a part
-    turn = np.take_along_axis(visit, home[true], axis=1)
-    probes = next(p for p in range(1, parts + 1) if (turn < p).mean() >= aim or p == parts)
-    return Router(weights, bias, probes)
+    return Router(weights, bias)
 
 
 def usable(vector: Column) -> Column:
@@ -155,104 +159,141 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """For each query the ``k`` best rows of a block: ``query number, row number, score``, ordered."""
+    """For each query the ``k`` best ids of a block: ``query number, row number, score``, ordered."""
+    order = np.argsort(ids, kind="stable")
+    rows, ids = rows[order], ids[order]
+    first_row = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    repeated = len(first_row) < len(ids)
     for at in range(0, len(queries), _SLICE):
         part = queries[at : at + _SLICE]
         rough = part @ rows.T
         rough[query_ids[at : at + _SLICE, None] == ids[None, :]] = -np.inf
-        least = min(k, len(rows))
-        kth = np.partition(rough, -least, axis=1)[:, -least][:, None]
+        of_id = np.maximum.reduceat(rough, first_row, axis=1) if repeated else rough
+        least = min(k, of_id.shape[1])
+        kth = np.partition(of_id, -least, axis=1)[:, -least][:, None]
         with np.errstate(invalid="ignore"):
             margin = np.where(np.isfinite(kth), 1e-9 * np.linalg.norm(part, axis=1, keepdims=True) * np.linalg.norm(rows, axis=1).max(), 0)
             q, c = np.nonzero((rough >= kth - margin) & (rough > -np.inf))
         score = np.zeros(len(q))
         for d in range(part.shape[1]):
             score += part[q, d] * rows[c, d]
-        order = np.lexsort((ids[c], -score, q))
-        q, c, score = q[order], c[order], score[order]
+        best = np.lexsort((ids[c], -score, q))
+        q, c, score = q[best], c[best], score[best]
+        if repeated:  # of the rows of one id the best alone
+            pair = np.unique(np.stack((q, ids[c])), axis=1, return_index=True)[1]
+            pair.sort()
+            q, c, score = q[pair], c[pair], score[pair]
         first = np.searchsorted(q, np.arange(len(part)))
         keep = np.arange(len(q)) - first[q] < k
-        yield q[keep] + at, c[keep], score[keep]
+        yield q[keep] + at, order[c[keep]], score[keep]
+
+
+def _answers(asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query id, row number, score`` of the best rows of a block for all queries."""
+    found = list(best_of_block(asked, asked_ids, rows, ids, k))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    q, c, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return asked_ids[q], c, score
+
+
+def _top(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """The ``k`` best of ``found(query_id, vec_id, score, ...)`` for each query, an id once, with ``rank``."""
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in more])
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _probes(index: DataFrame, asked: DataFrame, router: Router, k: int, wide: int, aim: float) -> int:
+    """The smallest number of parts that finds ``aim`` of the true neighbours of ``HELD`` queries; all rows are looked at."""
+    parts = len(router.bias)
+    held = asked.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(HELD).collect() if parts > 1 else []
+    if not held:
+        return parts
+    vectors, ids = np.array([r.embedding for r in held], float), np.array([r.vec_id for r in held])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part, own = batch.column("part").to_numpy(), batch.column("vec_id").to_numpy()
+                query, row, score = _answers(vectors, ids, _matrix(batch.column("embedding")), own, k)
+                columns = [pa.array(query), pa.array(own[row]), pa.array(score), pa.array(part[row])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "part"])
 
+    rows = index.where((F.size("embedding") == wide) & (F.col("part") >= 0)).select("part", "vec_id", "embedding")
+    true = _top(rows.mapInArrow(scan, "query_id long, vec_id long, score double, part int"), k, "part").collect()
+    turn = np.argsort(router.order(vectors), axis=1)  # when a query comes to a part
+    row_of = {int(i): n for n, i in enumerate(ids)}
+    turns = np.array([turn[row_of[r.query_id], r.part] for r in true])
+    return next((p for p in range(1, parts) if len(turns) == 0 or (turns < p).mean() >= aim), parts)
 
-def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, parts: int = PARTS
-) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for ``queries(vec_id, embedding)`` against ``vectors(vec_id, embedding)``."""
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, parts: int | None = None, aim: float = AIM) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for ``queries(vec_id, embedding)`` against ``vectors(vec_id, embedding)``.
+
+    ``parts`` follows from the number of rows, if None.
+    """
     spark = vectors.sparkSession
-    plain = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).where(
+    numbers = F.col("embedding").cast("array<double>").alias("embedding")
+    plain = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), numbers).where(
         F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     )
     order = F.md5(F.col("vec_id").cast("string"))
     chosen = plain(vectors).orderBy(order, "vec_id", F.xxhash64("embedding")).limit(sample).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not chosen:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(r.embedding) for r in chosen]
     wide = max(set(lengths), key=lambda d: (lengths.count(d), d))
-    router = fit_router(np.array([r.embedding for r in chosen if len(r.embedding) == wide], float), parts, k)
-    numbers = F.col("embedding").cast("array<double>").alias("embedding")
+    fitted = np.array([r.embedding for r in chosen if len(r.embedding) == wide], float)
+    router = fit_router(fitted, parts or part_count(plain(vectors).count(), len(fitted)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its part; rows of another length have a part by length, below zero."""
         for batch in batches:
-            home = router.order(_matrix(batch.column("embedding")))[:, :1] if batch.num_rows else np.zeros((0, 1), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(home[:, 0].astype(np.int32)), *batch.columns], ["part", "vec_id", "embedding"]
-            )
+            long = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            part = -long.astype(np.int32)
+            usual = np.flatnonzero(long == wide)
+            if len(usual):
+                part[usual] = router.order(_matrix(batch.column("embedding").take(pa.array(usual))))[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", "vec_id", "embedding"])
+
+    index = materialize(plain(vectors).mapInArrow(deal, "part int, vec_id long, embedding array<double>"), "vector-index")
+    asked = plain(queries)
+    probes = _probes(index, asked.where(F.size("embedding") == wide), router, k, wide, aim)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ways = router.order(_matrix(batch.column("embedding")))[:, : router.probes] if batch.num_rows else np.zeros((0, 1))
-            lists = pa.array(ways.astype(np.int32).tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, *batch.columns], ["parts", "vec_id", "embedding"])
-
-    fits = F.size("embedding") == wide
-    index = materialize(
-        plain(vectors).where(fits).select("vec_id", numbers).mapInArrow(deal, "part int, vec_id long, embedding array<double>"),
-        "vector-index",
-    )
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
-    asked = plain(queries).where(fits).select("vec_id", numbers)
-    query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    splits = F.array(*[F.lit(max(1, math.ceil(sizes.get(p, 0) / BLOCK))) for p in range(parts)])
+            long = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            ways = [[-int(n)] for n in long]
+            usual = np.flatnonzero(long == wide)
+            if len(usual):
+                found = router.order(_matrix(batch.column("embedding").take(pa.array(usual))))[:, :probes].tolist()
+                for row, way in zip(usual.tolist(), found, strict=True):
+                    ways[row] = way
+            yield pa.RecordBatch.from_arrays([pa.array(ways, pa.list_(pa.int32())), *batch.columns], ["parts", "vec_id", "embedding"])
+
+    routed = materialize(asked.mapInArrow(route, "parts array<int>, vec_id long, embedding array<double>"), "vector-queries")
+    # A row for each part, of which there are at most SAMPLE / PART_SAMPLE, and one for each odd length.
+    rows_in = index.groupBy("part").agg(F.count("*").alias("n_rows"))
+    asked_in = routed.select(F.explode("parts").alias("asked_part")).groupBy("asked_part").agg(F.count("*").alias("n_asked"))
+    met = rows_in.join(asked_in, F.col("part") == F.col("asked_part"))
+    blocks = met.select(F.col("part").alias("of_part"), F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("row_blocks"), F.ceil(F.col("n_asked") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    blocks = checked(materialize(blocks, "vector-blocks"), 24)
     block_of = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rows = index.withColumn("block", block_of(F.element_at(splits, F.col("part") + 1))).withColumn(
-        "query_block", every(F.lit(query_blocks))
-    )
-    routed = (
-        asked.mapInArrow(route, "parts array<int>, vec_id long, embedding array<double>")
-        .withColumn("query_block", block_of(F.lit(query_blocks)))
-        .withColumn("part", F.explode("parts"))
-        .withColumn("block", every(F.element_at(splits, F.col("part") + 1)))
-        .select("part", "block", "query_block", "vec_id", "embedding")
+    rows = index.join(blocks, F.col("part") == F.col("of_part")).select(
+        "part", block_of(F.col("row_blocks")).alias("block"), every(F.col("query_blocks")).alias("query_block"), "vec_id", "embedding"
     )
+    sent = routed.select(F.explode("parts").alias("part"), "vec_id", "embedding").join(blocks, F.col("part") == F.col("of_part"))
+    sent = sent.select("part", every(F.col("row_blocks")).alias("block"), block_of(F.col("query_blocks")).alias("query_block"), "vec_id", "embedding")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "best": []}
-        kind = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
-        if left.num_rows and right.num_rows:
-            ids, asked_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            base, questions = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
-            for q, c, score in best_of_block(questions, asked_ids, base, ids, k):
-                cuts = np.flatnonzero(np.diff(q)) + 1
-                for numbers, near, away in zip(np.split(q, cuts), np.split(c, cuts), np.split(-score, cuts), strict=True):
-                    if len(numbers):
-                        found["query_id"].append(int(asked_ids[numbers[0]]))
-                        found["best"].append([{"away": a, "vec_id": i} for a, i in zip(away.tolist(), ids[near].tolist(), strict=True)])
-        return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "best": pa.array(found["best"], kind)})
+        ids, asked_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        query, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(ids) and len(asked_ids):
+            query, row, score = _answers(_matrix(right.column("embedding")), asked_ids, _matrix(left.column("embedding")), ids, k)
+        return pa.table({"query_id": pa.array(query), "vec_id": pa.array(ids[row]), "score": pa.array(score)})
 
     keys = ("part", "block", "query_block")
-    answers = (
-        rows.groupBy(*keys)
-        .cogroup(routed.groupBy(*keys))
-        .applyInArrow(answer, "query_id long, best array<struct<away:double,vec_id:long>>")
-    )
-    merged = answers.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
-    # Sorted, a repeated id stands beside its like; array_distinct would compare all with all.
-    once = F.filter("best", lambda x, i: F.coalesce(x["vec_id"] != F.get("best", i - 1)["vec_id"], F.lit(True)))
-    top = F.slice(once, 1, k)
-    listed = merged.select("query_id", F.posexplode(top).alias("at", "one"))
-    return listed.select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.away")).alias("score")
-    )
+    found = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
