@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.text import filled
+from tilewright.llm.sized import checked
 from tilewright.scratch import fresh_path, materialize
 
 SHARD_RECORDS = 4096
 ROLL_BYTES = 16 << 20
 LEAST_PAYLOAD = 100
 MOST_TASKS = 20_000
+_PIECE = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 MANIFEST = "shard long, part long, name string, temporary string, records long, bytes long, sha256 string"
@@ -60,7 +62,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     seen = materialize(
         seen.where("n > 1").select(F.col("digest").alias("of_digest"), "first_id"), "warc-repeats"
     )
-    met = rows.join(seen, rows["digest"] == seen["of_digest"], "left")
+    met = rows.join(checked(seen, 120), rows["digest"] == seen["of_digest"], "left")
     revisit = F.col("of_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return met.select(
         "page_id",
@@ -119,10 +121,17 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, kin
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        record = member.decompress(data) + member.flush()
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:  # piece by piece, so what follows a member is never copied with it
+            piece = view[at : at + _PIECE]
+            if not piece:
+                raise ValueError("the file ends inside a record")
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(_END)
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         long = int(fields["Content-Length"])
@@ -159,7 +168,8 @@ def write_archive(pages: DataFrame, folder: str, every: int = SHARD_RECORDS, rol
 
     rows = with_revisits(pages).withColumn("shard", shard_of("page_id"))
     order = ["shard", F.col("page_id").asc_nulls_last(), "digest", "record_type", "url"]
-    dealt = rows.repartition(min(len(borders) + 2, MOST_TASKS), "shard").sortWithinPartitions(*order)
+    tasks = min(len(borders) + 2, MOST_TASKS)
+    dealt = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions(*order)  # a shard a task
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
