@@ -387,6 +387,50 @@ def test_neighbours(spark):
     assert len(few) == 4
 
 
+def test_neighbours_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(300, 8))
+    query = data[0]
+    rows = [(k, data[k].tolist()) for k in range(300)]
+    rows += [(500, (query * (3 + k / 100)).tolist()) for k in range(40)] + [(501, (query * 2).tolist()), (502, (query * -9).tolist())]
+    rows += [(520 + k, rng.normal(size=5).tolist()) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit(1)).withColumn("score", F.lit(1))
+    got = defaultdict(list)
+    for r in neighbours.search(df, df.where("vec_id % 20 = 0"), 4, aim=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    product = lambda a, b: float(sum(x * y for x, y in zip(a, b, strict=True)))
+    for q in [k for k in range(300) if k % 20 == 0] + [520, 540]:
+        own = dict(rows)[q]
+        best = defaultdict(lambda: -np.inf)
+        for i, v in rows:
+            if i != q and len(v) == len(own):
+                best[i] = max(best[i], product(own, v))
+        assert [v for v, _ in got[q]] == sorted(best, key=lambda i: (-best[i], i))[:4]
+        assert all(x == pytest.approx(best[v]) for v, x in got[q])
+    assert [v for v, _ in got[0]][:2] == [500, 501]
+
+
+def test_neighbours_visit_few_rows_of_a_clustered_table(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 24))
+    data = (centres[np.arange(8000) % 400] + 0.1 * rng.normal(size=(8000, 24))).astype(np.float32).astype(float)
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    router = neighbours.fit_router(data[::2], 32)
+    home = router.order(data)[:, 0]
+    kind = "part int, vec_id long, embedding array<double>"
+    index = spark.createDataFrame([(int(p), k, v.tolist()) for k, (p, v) in enumerate(zip(home, data, strict=True))], kind)
+    probes = neighbours._probes(index, index.where("vec_id % 20 = 0"), router, 15, 24, 0.95)
+    asked = np.arange(0, 8000, 20)
+    sizes, hits = np.bincount(home, minlength=32), 0
+    ways = router.order(data[asked])[:, :probes]
+    for q, way in zip(asked, ways, strict=True):
+        score = data @ data[q]
+        score[q] = -np.inf
+        hits += np.isin(home[np.argpartition(-score, 15)[:15]], way).sum()
+    assert hits >= 0.9 * 15 * len(asked)
+    assert sizes[ways].sum(axis=1).mean() < 0.2 * len(data)
+
+
 def test_extraction_held_out():
     trees = extraction.fitted_trees()
     maker = page_maker.Maker(12345)
@@ -419,6 +463,26 @@ def test_boosting_learns():
     assert (trees.log_probabilities(x[600:]).argmax(axis=1) == y[600:]).mean() > 0.9
 
 
+def test_warc_reading_is_linear():
+    record = warc.record_bytes(1, "u", b"x" * 4000, "00" * 32, "response", None)
+    rng = np.random.default_rng(1)
+    one = [warc._gzip(record[:-4] + rng.bytes(0) + record[-4:]) for _ in range(2)]
+    data = b"".join(one) * 20_000
+    assert sum(1 for _ in warc.read_records(data)) == 40_000
+    with pytest.raises(ValueError):
+        list(warc.read_records(data[:-9]))
+
+
+def test_quality_rules_keep_clashing_columns_apart(spark):
+    r = random.Random(41)
+    rows = [(k, prose(r, 60) if k % 4 else " ### ".join(prose(r, 60).split(" ")), 5, 6) for k in range(200)] + [(None, prose(r, 60), 5, 6), (3, None, 5, 6), (4, "", 5, 6)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, quality int, label_id int")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(200)], "doc_id long, quality int")
+    kept = quality.kept_documents(df, labels)
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id or -1 for x in kept.collect()) == sorted([k for k in range(200) if k % 4] + [1, 2, -1])
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>" + "same " * 40 + "</p>"
     rows = [(k, f"http://x/{k}", body if k % 3 == 0 else f"<p>{'é' * k} {k}</p>" * 9) for k in range(1, 60)]

@@ -220,7 +220,7 @@ def learn_list(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Deci
         .limit(sample)
         .select(F.col("doc_id").alias("label_id"), "quality")
     )
-    met = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
     rows = (
         with_statistics(met)
         .select(*BASE, *RATIOS, F.col("row.quality").alias("quality"), F.md5(F.col("row.doc_id").cast("string")).alias("key"))
