@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +456,52 @@ def test_extraction_cases(spark):
     assert got[2].text == got[3].text == "" and got[2].n_chars == 0
 
 
+# Pages written by hand, not by the maker that trains the trees: source and main text.
+HAND_PAGES = [
+    ("<head><title>x</title><p>Hello world, this page has a paragraph and no more.", "Hello world, this page has a paragraph and no more."),
+    ("<html><head><title>x</title><article><p>Hello there, reader of pages.</p></article></html>", "Hello there, reader of pages."),
+    ("<body><article><p>One two three.<object><p>Four five six.</p><p>Seven eight.</p></article>", "One two three.\n\nFour five six.\n\nSeven eight."),
+    ("<body><main><h1>Forms</h1><p>A formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands here.</p><select><option>never closed<p>After it the text goes on, as it should.</p></main>", "Forms\n\nA formula x=2 stands here.\n\nAfter it the text goes on, as it should."),
+    (
+        "<!doctype html><html><body><ul class=menu><li><a href=/>Start</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul><div id=main><h2>The bridge reopens</h2>"
+        "<p>After two years of work the old bridge over the river was opened to traffic on Monday.<p>The mayor said that the cost, 3.4 million, had stayed within the plan.</div>"
+        "<div id=footer>Copyright 2019 The Daily Post. <a href=/i>Imprint</a></div>",
+        "The bridge reopens\n\nAfter two years of work the old bridge over the river was opened to traffic on Monday.\n\nThe mayor said that the cost, 3.4 million, had stayed within the plan.",
+    ),
+    (
+        "<html><body><nav><a href=a>Home</a> <a href=b>About</a></nav><article class='blog-post'><h1>Bread</h1><p>Mix flour, water, salt and yeast in a large bowl.</p><pre>500 g flour\n350 g water</pre>"
+        "<ol><li>Knead for ten minutes.</li><li>Let it rest for an hour.</li></ol><script>track('<p>no</p>')</script></article><section class='comments'><h3>2 comments</h3><div class='comment'><b>Ann</b> Lovely, thanks!</div>"
+        "<div class='comment'><b>Bo</b> Mine did not rise at all, what a pity.</div></section><footer>&copy; Bread site</footer></body></html>",
+        "Bread\n\nMix flour, water, salt and yeast in a large bowl.\n\n500 g flour 350 g water\n\nKnead for ten minutes.\n\nLet it rest for an hour.",
+    ),
+    (
+        "<body><div class='cookie-consent'><p>We use cookies to make this site better for you.</p><button>OK</button></div><div class=wrapper><div class=content><p>Snow fell on the hills through the night, and by morning the roads were closed.</p>"
+        "<div class='ad-slot'><a href=x>Buy tyres now</a></div><p>Schools will stay shut until Thursday, the council said.</p></div><aside class=sidebar><h4>Popular</h4><ul><li><a href=1>Ten best sledges</a></li><li><a href=2>Winter tales</a></li></ul></aside></div>",
+        "Snow fell on the hills through the night, and by morning the roads were closed.\n\nSchools will stay shut until Thursday, the council said.",
+    ),
+]
+
+
+def test_extraction_of_pages_written_by_hand():
+    texts = extraction.extract_texts([h for h, _ in HAND_PAGES], extraction.fitted_trees())
+    assert sum(got == want for got, (_, want) in zip(texts, HAND_PAGES, strict=True)) >= len(HAND_PAGES) - 1
+    for got, (_, want) in zip(texts, HAND_PAGES, strict=True):
+        got, want = Counter(got.split("\n\n")), Counter(want.split("\n\n"))
+        assert sum((got & want).values()) >= 0.6 * max(sum(got.values()), sum(want.values()))
+
+
+def test_extraction_reads_to_the_end_in_linear_time():
+    text = lambda h: [n.text for n in html_tree.nodes_of(html_tree.parse(h)) if n.text]
+    assert text("<html><head><script>'</head>'</script><title>t</title></head><body><p>hi there</p>") == ["hi there"]
+    assert text("<p>a<title>never closed <p>b") == ["a", "b"] and text("<p>a<svg><text>z</text></svg> b") == ["a b"]
+    assert text("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+    assert text("<b>x<p>y</b>z</p><br/>w") == ["x", "yz", "w"]
+    began = time.perf_counter()
+    for piece in ("<b>x", "<div>x", "<span>y<p>z", "<title>q", "<script>q", "<a>x</i>", "<li>x", "<object>o"):
+        assert len(html_tree.nodes_of(html_tree.parse(piece * 50_000))) > 0
+    assert time.perf_counter() - began < 30
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 3))

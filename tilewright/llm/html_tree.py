@@ -10,8 +10,8 @@ import numpy as np
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript iframe svg math canvas object title textarea select head".split())
-RAW = frozenset("script style title textarea noscript iframe template".split())
+SKIPPED = frozenset("script style template noscript iframe svg title textarea select".split())
+HEAD = frozenset("html head title base link meta script style noscript template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -59,6 +59,7 @@ _MARKUP = re.compile(
     re.DOTALL,
 )
 _MARKS = re.compile(r"[.,;:!?]")
+_DIGIT = re.compile(r"\d")
 LABEL = "data-y"
 
 
@@ -89,15 +90,59 @@ def _groups(attributes: str) -> tuple[int, str | None]:
     return bits, label
 
 
+class _Open:
+    """The open elements, with the places of each tag and of all blocks, so that no look-up walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("#root", root)]  # inline elements carry the block they stand in
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    @property
+    def block(self) -> Node:
+        return self.stack[-1][1]
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, or 0."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, tag: str, node: Node, is_block: bool) -> None:
+        if is_block:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def close_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.places[self.stack.pop()[0]].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+
+def _skip(source: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Where a skipped element that begins before ``at`` ends; one that is never closed ends at the next block element."""
+    if tag not in unclosed:
+        stop = _END_OF[tag].search(source, at)
+        if stop:
+            return source.find(">", stop.start()) + 1 or len(source)
+        unclosed.add(tag)  # nor is any that begins later
+    stop = _BLOCK_TAG.search(source, at)
+    return stop.start() if stop else len(source)
+
+
 def parse(source: str) -> Node:
-    """The tree of block elements; each run of text, white space collapsed, is a ``#text`` child of its block."""
+    """The tree of block elements; each run of text, white space collapsed, is a ``#text`` child of its block.
+
+    The head ends at its end tag or, without one, at the first element or text that no head holds.
+    """
     root = Node("#root", None)
-    stack: list[tuple[str, Node]] = [("#root", root)]  # open elements, inline ones with the block they stand in
+    open_ = _Open(root)
     buffer: list[str] = []
     links: list[str] = []
-    in_link = 0
+    unclosed: set[str] = set()
     at, end = 0, len(source)
-    skip: str | None = None
+    in_head = False
 
     def flush() -> None:
         nonlocal buffer, links
@@ -105,25 +150,20 @@ def parse(source: str) -> Node:
             whole = "".join(buffer)
             text = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if text:
-                run = Node("#text", stack[-1][1])
+                run = Node("#text", open_.block)
                 run.text = text
                 run.linked = min(len(text), len(" ".join("".join(links).split())))
                 run.label = run.parent.label
                 run.parent.children.append(run)
             buffer, links = [], []
 
-    def close_to(depth: int) -> None:
-        nonlocal in_link
-        for tag, _ in stack[depth:]:
-            in_link -= tag == "a"
-        del stack[depth:]
-
     while at < end:
         m = _MARKUP.search(source, at)
         upto = m.start() if m else end
         if upto > at:
             buffer.append(source[at:upto])
-            if in_link > 0:
+            in_head = in_head and source[at:upto].isspace()
+            if open_.last("a"):
                 links.append(source[at:upto])
         if not m:
             break
@@ -132,78 +172,56 @@ def parse(source: str) -> Node:
         if not name:
             continue
         tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag == "head":
+            in_head = not closing
+            continue
+        if in_head and tag not in HEAD:
+            in_head = False
         if closing:
+            place = open_.last(tag)
             if tag in BLOCK:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
                 flush()
-                if depth:
-                    close_to(depth)
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close_to(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-                if tag == "br":
-                    buffer.append(" ")
+                if place:
+                    open_.close_to(place)
+            elif place > open_.blocks[-1]:
+                open_.close_to(place)
+            elif tag == "br":
+                buffer.append(" ")
             continue
         if tag in SKIPPED and not attributes.rstrip().endswith("/"):
-            skip = tag
-            pattern = re.compile(rf"</{skip}\s*>|<body\b" if skip == "head" else rf"</{skip}[\s>/]", re.IGNORECASE)
-            if skip == "head":
-                # Scripts in the head may hold text that looks like its end.
-                pattern = _HEAD_END
-                position = at
-                while True:
-                    stop = pattern.search(source, position)
-                    if not stop or stop[1] is None:
-                        break
-                    inner = re.compile(rf"</{stop[1]}[\s>/]", re.IGNORECASE).search(source, stop.end())
-                    position = inner.end() if inner else end
-                at = end if not stop else (stop.end() if stop[0].startswith("</") else stop.start())
-                continue
-            stop = pattern.search(source, at)
-            at = end if not stop else source.find(">", stop.start()) + 1 or end
+            at = _skip(source, tag, at, unclosed)
             continue
         if tag in VOID:
-            if tag in ("br", "wbr", "img", "input"):
-                buffer.append(" " if tag != "wbr" else "")
+            if tag in ("br", "img", "input"):
+                buffer.append(" ")
             elif tag == "hr":
                 flush()
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    close_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if open_.stack[open_.blocks[-1]][0] == "p":  # a block ends an open paragraph
+                open_.close_to(open_.blocks[-1])
             if tag in CLOSES:
                 ends, within = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in ends:
-                        close_to(k)
-                        if tag != "tr":
-                            break
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+                bound = max(open_.last(t) for t in within)
+                places = [p for p in (open_.last(t) for t in ends) if p > bound]
+                if places:
+                    open_.close_to(min(places) if tag == "tr" else max(places))
+            if tag in ("html", "body") and open_.last(tag):
                 continue
-            node = Node(tag, stack[-1][1])
+            node = Node(tag, open_.block)
             node.groups, node.label = _groups(attributes)
             node.label = node.label or node.parent.label
             node.parent.children.append(node)
-            stack.append((tag, node))
+            open_.push(tag, node, True)
         elif not attributes.rstrip().endswith("/"):
-            stack.append((tag, stack[-1][1]))
-            in_link += tag == "a"
+            open_.push(tag, open_.block, False)
     flush()
     return root
 
 
-_HEAD_END = re.compile(r"</head\s*>|<body\b|<(script|style|title|noscript|template)\b", re.IGNORECASE)
+_END_OF = {tag: re.compile(rf"</{tag}(?=[\s>/])", re.IGNORECASE) for tag in SKIPPED}
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s>/])", re.IGNORECASE)
 
 N_GROUPS = len(GROUPS)
 _ANCESTOR_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form")
@@ -277,7 +295,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         if node.text:
             row[8] = node.text[-1] in ".!?\"'»”:"
             row[9] = "©" in node.text or "(c)" in node.text
-            row[10] = sum(map(str.isdigit, node.text[:200])) / min(200, len(node.text))
+            row[10] = len(_DIGIT.findall(node.text)) / len(node.text)
         row[16], row[17] = before[k] / total, chars[k] / total
         row[at_tags + _TAG_NUMBER.get(_KIND.get(node.tag, node.tag), 3)] = 1
         _spread(row, at_groups, node.groups, N_GROUPS)

@@ -159,8 +159,24 @@ class Maker:
             return self.element("article", r.choice(("", "", "post", "story")), inside, "c")
         return self.element(r.choice(("div", "div", "main", "section")), r.choice(("content", "article-body", "post", "entry-content", "story", "main-content", "text", "", "c12")), inside, "c")
 
+    def bare(self) -> str:
+        """A page whose text stands in its body, without an element around it: much, little, or plain text alone."""
+        r = self.r
+        inside = r.choice((
+            lambda: "".join(self.piece() for _ in range(r.choice((1, 1, 2, 4, 9)))),
+            lambda: f"<h1>{self.words(1, 9)}</h1>" + "".join(self.paragraph() for _ in range(r.choice((1, 2, 5)))),
+            lambda: self.sentence_text(2, 60),
+            lambda: f"<div>{self.sentence_text(2, 60)}</div>" + self.paragraph(),
+        ))()
+        before = self.menu() if r.random() < 0.25 else ""
+        after = self.bottom() if r.random() < 0.25 else ""
+        head = r.choice(("", f"<head><title>{self.words(1, 6)}</title></head>", f"<head><title>{self.words(1, 6)}</title>"))
+        return f'<html>{head}<body data-y="c">{before}{inside}{after}'
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.12:
+            return self.bare()
         before = [f() for f, p in ((self.notice, 0.2), (self.top, 0.5), (self.menu, 0.7), (self.advert, 0.4), (self.side, 0.15), (self.form, 0.1)) if r.random() < p]
         after = [f() for f, p in ((self.share, 0.15), (self.comments, 0.3), (self.side, 0.35), (self.advert, 0.2), (self.form, 0.2), (self.bottom, 0.85), (self.notice, 0.15)) if r.random() < p]
         if r.random() < 0.2:
