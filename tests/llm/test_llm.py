@@ -328,7 +328,7 @@ def test_mixture_adapts_on_every_training_document(spark):
     made = [(k, prose(r, 50)) for k in range(40)]
     made = [(k, t) for k, t in made if zlib.crc32(str(k).encode()) // 7 % 8]  # never in a sample of one in eight by this hash
     docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
-    vocabulary = scoring.build_vocabulary(scoring.token_counts(docs), len(made))
+    vocabulary = scoring.build_vocabulary(scoring.corpus_counts(docs)[0], len(made))
     model = scoring.train(docs, vocabulary, tasks=1)
     whole = scoring.Learner(vocabulary.slots)
     bits = 0
@@ -344,6 +344,86 @@ def test_mixture_adapts_on_every_training_document(spark):
     assert np.allclose(model.refined, want, atol=1e-5)
 
 
+def slow_bits(vocabulary, model, text):
+    """The cost of each token and of the end, bit by bit, straight from the definition."""
+    slots = vocabulary.slots
+    grades, out = model.grades, []
+    symbols = [vocabulary.number.get(t, 1) for t in text] + [0]
+
+    def one(code, symbol, contexts, kind):
+        total = 0.0
+        for depth, (node, bit) in enumerate(zip(code.nodes[code.starts[symbol] :][: code.lengths[symbol]], code.bits[code.starts[symbol] :], strict=False)):
+            where = []
+            for nth, context in enumerate(contexts):
+                key = (int(context) ^ (int(node) * 0x9E3779B1 & 0xFFFFFFFF)) * 0xC2B2AE35 & 0xFFFFFFFF
+                key ^= key >> 13
+                where.append(((key * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - vocabulary.slot_bits)) + nth * slots)
+            gate = (kind * 3 + min(depth // 4, 2)) * 16 + 4 * int(grades[where[1] - slots]) + int(grades[where[2] - slots])
+            x = float(model.weights[gate, -1]) + sum(float(model.weights[gate, k]) * float(model.stretched[w]) for k, w in enumerate(where))
+            rung = int(min(max(np.rint(x * 2 + 16), 0), 32))
+            p = min(max(0.5 / (1 + math.exp(-x)) + 0.5 * float(model.refined[gate, rung]), 1e-5), 1 - 1e-5)
+            total -= math.log2(p if bit else 1 - p)
+        return total
+
+    mix = lambda *parts: int(scoring._mix(*[np.array([p], np.uint32) for p in parts])[0])
+    start = 0xFFFFFFFF
+    for k, symbol in enumerate(symbols):
+        b1 = symbols[k - 1] if k else start
+        b2 = symbols[k - 2] if k > 1 else start
+        bits = one(vocabulary.words, symbol, [0, mix(b1), mix(b1, b2), mix(7, b2)], 0)
+        if symbol == 1:
+            word = text[k] + b" "
+            for j, letter in enumerate(word):
+                past = [word[j - d] if j >= d else start for d in (1, 2, 3)]
+                mark = 0xB17E
+                bits += one(vocabulary.letters, letter, [mix(mark, past[0]), mix(mark, *past[:2]), mix(mark, *past), mix(mark, past[0], b1)], 1)
+        out.append(bits)
+    return out
+
+
+def test_scores_against_the_definition(spark):
+    """Scores of a small table, worked out bit by bit and run by run; a document that occurs twice scores far apart."""
+    r = random.Random(13)
+    words = [prose(r, 1) for _ in range(60)]
+    made = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 120)))) for k in range(60)]
+    made += [(100, made[5][1]), (101, None), (102, "never seen words zzzz yyyy")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x for x in scoring.score(docs).collect()}
+    training = docs.where(~scoring.held_out(F.col("doc_id")))
+    counts, _ = scoring.corpus_counts(training)
+    vocabulary = scoring.build_vocabulary(counts, training.count())
+    model = scoring.train(training, vocabulary)
+    runs = Counter()
+    texts = {k: scoring._tokens((t or "").encode()) for k, t in made}
+    for k, t in texts.items():
+        if not scoring.held_out_id(k):
+            runs.update(scoring.runs_of(t)[1].tolist())
+    n = sum(runs.values())
+    share = (sum(c for c in runs.values() if c > 1) + 0.5) / (n + 1)
+    for k in list(texts)[:12] + [100, 101, 102]:
+        bits = slow_bits(vocabulary, model, texts[k])
+        starts, hashes = scoring.runs_of(texts[k])
+        own = Counter() if scoring.held_out_id(k) else Counter(hashes.tolist())
+        want = 0.0
+        for a, b, h in zip(starts, [*starts[1:], len(bits)], hashes.tolist(), strict=True):
+            want -= math.log2(share * (runs[h] - own[h]) / n + (1 - share) * 2 ** -sum(bits[a:b]))
+        assert got[k].score == pytest.approx(-want * math.log10(2), rel=2e-3)
+    once = [x.bits_per_byte for i, x in got.items() if i not in (5, 100, 101) and x.n_tokens > 40]
+    assert got[5].n_tokens < 20 or got[100].bits_per_byte < 0.6 * min(once)
+
+
+def test_runs_follow_content():
+    r = random.Random(3)
+    text = [w.encode() for w in prose(r, 2000).split(" ")]
+    starts, hashes = scoring.runs_of(text)
+    assert 30 < len(starts) < 130 and starts[0] == 0
+    later = scoring.runs_of([b"some", b"words", b"before", *text])[1]
+    assert set(hashes[1:]) <= set(later)  # the same cuts wherever the text stands
+    swapped = text[:1000] + [text[1001], text[1000]] + text[1002:]
+    assert len(set(hashes) - set(scoring.runs_of(swapped)[1])) in (1, 2, 3)
+    assert len(scoring.runs_of([])[0]) == 1
+
+
 def test_slots_grow_with_training_tokens(spark):
     """A corpus of more tokens gets more slots, and few of its contexts meet in one."""
     counts = spark.createDataFrame([(b"a", 1 << 20), (b"b", 2 << 20)], "token binary, n long")

@@ -2,16 +2,22 @@ r"""Language-model scores by online logistic context mixing.
 
 A text is a sequence of tokens and an end. The ``SYMBOLS`` most frequent tokens, the end and an escape are written in a
 Huffman code; a rarer token follows its escape byte by byte in a code of bytes. Each bit is predicted by several tables of
-counts under hashed contexts (the place in the code with none, one or two tokens before it, or with the last but one alone; inside a spelled token,
-with the one to three bytes before it, or with the last byte and the token before). The predictions are added in the logistic domain with weights chosen by a gate (how often the
+counts under hashed contexts (the place in the code with none, one or two tokens
+before it, or with the last but one alone; inside a spelled token, with the one to three bytes before it, or with the last
+byte and the token before). The predictions are added in the logistic domain with weights chosen by a gate (how often the
 contexts were seen, and what is being spelled), and the sum is refined by adaptive tables of how such sums turned out.
 
 Learning covers every training document in one pass. Each task predicts a block from the counts before it, corrects the
-weights and the refinement by the errors, then counts the block too. Counts of all tasks are summed slot by slot where
-they meet, in a stream; weights are averaged by the bits they saw. A predictor has as many slots as there are training tokens, in powers of two from
-``LEAST_SLOT_BITS`` to ``MOST_SLOT_BITS``; the upper end is what fits into a task's memory, and contexts of a larger corpus
-share slots. The finished model is thereby bounded (with ``SYMBOLS``), so it is broadcast. Token counts have no such bound: only those of the model's own symbols travel with it, and rarer tokens
-of a text meet their counts in a join.
+weights and the refinement by the errors, then counts the block too. Tasks follow from the size of the input. Counts of
+all tasks are summed slot by slot where they meet, in a stream; weights are averaged by the bits they saw. A predictor has
+as many slots as there are training tokens, in powers of two from ``LEAST_SLOT_BITS`` to ``MOST_SLOT_BITS``; the upper
+end is what fits into a task's memory, and contexts of a larger corpus share slots. The finished model is thereby bounded
+(with ``SYMBOLS``), so it is broadcast.
+
+What has no bound stays in tables that scoring joins. Token counts: only those of the model's own symbols travel with it.
+Runs: a text is cut where a hash of three tokens says so, in runs of about ``RUN`` tokens, and the runs of all training
+documents are counted. One more predictor says that a run of the corpus follows, in proportion to its count without the
+document's own; it is mixed with the bits' product by the share of runs that occur elsewhere, as learned from training.
 
 Defined cases: null text is empty and has the end alone; a null id counts as the empty text for the choice of training
 documents; repeated rows are learned from and scored each; without training documents every bit has probability a half;
@@ -21,6 +27,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +44,8 @@ SYMBOLS = 131_072
 LEAST_SLOT_BITS = 21
 MOST_SLOT_BITS = 22  # 134 MB of counts in each task
 PREDICTORS = 4
+RUN = 32
+TASK_BYTES = 64 << 20  # of training text in a task
 BLOCK_TOKENS = 16_000
 BATCH = 16_384
 GATES = 2 * 4 * 4 * 3
@@ -129,7 +138,7 @@ def _before(values: np.ndarray, apart: int, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Events:
-    """Bits to predict: slots of each predictor, the bit, the document it belongs to, and part of its gate."""
+    """Bits to predict: slots of each predictor, the bit, the token (by its place in the group) it belongs to, and part of its gate."""
 
     slots: list[np.ndarray]
     bits: np.ndarray
@@ -148,13 +157,6 @@ def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], owner:
     return Events(slots, bit, owner[whose], gate)
 
 
-def _joined(parts: list[Events]) -> Events:
-    return Events(
-        [np.concatenate([p.slots[k] for p in parts]) for k in range(PREDICTORS)],
-        *(np.concatenate([getattr(p, name) for p in parts]) for name in ("bits", "owner", "kind")),
-    )
-
-
 def numbered(vocabulary: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     """The symbol of each token."""
     get = vocabulary.number.get
@@ -163,7 +165,7 @@ def numbered(vocabulary: Vocabulary, tokens: list[bytes]) -> np.ndarray:
 
 def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np.ndarray] | None = None) -> Iterator[Events]:
     """Events of the documents in ``texts`` (lists of tokens), a bounded number of tokens at a time."""
-    symbols, first, owner, spelled, spelled_at = [], [], [], [], []
+    symbols, first, spelled, spelled_at = [], [], [], []
     n = 0
     for doc, tokens in enumerate(texts):
         own = numbered(vocabulary, tokens) if numbers is None else numbers[doc]
@@ -172,18 +174,17 @@ def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np
         spelled_at.append(rare + n)
         symbols.append(np.append(own, np.uint32(_END)))
         first.append(np.full(len(own) + 1, n))
-        owner.append(np.full(len(own) + 1, doc))
         n += len(own) + 1
     if not n:
         return
-    symbol, start, doc = np.concatenate(symbols), np.concatenate(first), np.concatenate(owner)
+    symbol, start, place_of = np.concatenate(symbols), np.concatenate(first), np.arange(n)
     at_rare = np.concatenate(spelled_at)
     one, two = _before(symbol, 1, start), _before(symbol, 2, start)
     none = np.zeros(n, np.uint32)
     contexts = [none, _mix(one), _mix(one, two), _mix(none + np.uint32(7), two)]
     for at in range(0, n, BLOCK_TOKENS):
         cut = slice(at, at + BLOCK_TOKENS)
-        yield _events(vocabulary.words, symbol[cut], [c[cut] for c in contexts], doc[cut], 0, vocabulary.slot_bits)
+        yield _events(vocabulary.words, symbol[cut], [c[cut] for c in contexts], place_of[cut], 0, vocabulary.slot_bits)
     size = 0
     batch: list[int] = []
     for k, word in enumerate(spelled):
@@ -198,11 +199,16 @@ def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np
             b1, b2, b3 = (_before(letters, d, begin) for d in (1, 2, 3))
             mark = np.full(len(letters), 0xB17E, np.uint32)
             spelling = [_mix(mark, b1), _mix(mark, b1, b2), _mix(mark, b1, b2, b3), _mix(mark, b1, one[place])]
-            yield _events(vocabulary.letters, letters, spelling, doc[place], 1, vocabulary.slot_bits)
+            yield _events(vocabulary.letters, letters, spelling, place, 1, vocabulary.slot_bits)
             batch, size = [], 0
 
 
+_LOGS = np.log(np.arange(4096) + 0.4).astype(np.float32)
+
+
 def _stretched(none: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if len(none) and none.max() < 4096 and some.max() < 4096:
+        return _LOGS[some] - _LOGS[none]
     return np.log((some.astype(np.float32) + np.float32(0.4)) / (none.astype(np.float32) + np.float32(0.4)))
 
 
@@ -235,7 +241,7 @@ class Learner:
         pairs = self.counts.view(np.int64)
         inputs, grades = np.ones((len(events.bits), PREDICTORS + 1), np.float32), []
         for k, slot in enumerate(events.slots):
-            both = pairs[slot]  # two 32-bit counts fetched as one
+            both = np.take(pairs, slot)  # two 32-bit counts fetched as one
             none, some = both & 0xFFFFFFFF, both >> 32
             inputs[:, k] = _stretched(none, some)
             if k in (1, 2):
@@ -295,20 +301,60 @@ def _groups(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Ite
         yield ids, texts
 
 
+def runs_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of a text (with its end) begin, and a hash of each.
+
+    A run begins with the text and after every three tokens whose hash is a multiple of ``RUN``.
+    """
+    n = len(tokens)
+    one = np.fromiter(map(zlib.crc32, tokens), np.uint64, n)
+    with np.errstate(over="ignore"):
+        one = (one + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        one ^= one >> np.uint64(29)
+        three = one.copy()
+        three[1:] += one[:-1] * np.uint64(0x632BE59BD9B4E019)
+        three[2:] += one[:-2] * np.uint64(0xD6E8FEB86659FD93)
+        cut = (three ^ (three >> np.uint64(32))) % np.uint64(RUN) == 0
+        cut[:2] = False
+        starts = np.concatenate(([0], np.flatnonzero(cut) + 1))
+        place = np.arange(n + 1) - np.repeat(starts, np.diff(np.append(starts, n + 1)))
+        # Each place of a run has a factor of its own, so the sum tells orders apart.
+        factor = (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        factor ^= factor >> np.uint64(31)
+        hashes = np.add.reduceat(np.append(one, np.uint64(0)) * (factor | np.uint64(1)), starts)
+    hashes[-1] += np.uint64(1)  # the end is part of the last run
+    return starts, hashes.view(np.int64)
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens with their counts, and runs with theirs (``token`` is null there)."""
     counts: Counter[bytes] = Counter()
+    runs: list[np.ndarray] = []
+    names, held = ["token", "run", "n"], 0
 
     def out() -> pa.RecordBatch:
-        columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["token", "n"])
+        columns = [pa.array(list(counts), pa.binary()), pa.nulls(len(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def out_runs() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *runs]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(n.astype(np.int64))], names)
 
     for batch in batches:
         for text in batch.column("text"):
-            counts.update(_tokens(text.as_py()))
+            tokens = _tokens(text.as_py())
+            counts.update(tokens)
+            runs.append(runs_of(tokens)[1])
+            held += len(runs[-1])
             if len(counts) > _FLUSH:
                 yield out()
                 counts.clear()
+            if held > _FLUSH:
+                yield out_runs()
+                runs.clear()
+                held = 0
     yield out()
+    yield out_runs()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -316,14 +362,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def held_out_id(doc_id: int | None) -> bool:
+    """``held_out`` of one id."""
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """``token, n`` over all training texts, written once."""
-    partial = _plain(training).mapInArrow(_count_tokens, "token binary, n long")
-    return materialize(partial.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
+def corpus_counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token, n`` and ``run, n_runs`` over all training texts, written once."""
+    partial = _plain(training).mapInArrow(_count_tokens, "token binary, run long, n long")
+    summed = materialize(partial.groupBy("token", "run").agg(F.sum("n").alias("n")), "corpus-counts")
+    runs = summed.where("run IS NOT NULL").select("run", F.col("n").alias("n_runs"))
+    return summed.where("token IS NOT NULL").select("token", "n"), runs
 
 
 def build_vocabulary(counts: DataFrame, n_documents: int, most: int = SYMBOLS) -> Vocabulary:
@@ -393,11 +446,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None) -> Model:
-    """Learn from every row of ``training`` in ``tasks`` tasks (twice the cluster's cores, or fewer)."""
+    """Learn from every row of ``training`` in ``tasks`` tasks (one for about ``TASK_BYTES`` of text)."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     slots = vocabulary.slots
-    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
+    if tasks is None:
+        tasks = math.ceil((training.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / TASK_BYTES)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, any_row = Learner(slots), False
@@ -439,7 +493,8 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
 
 
 _SCORED = (
-    "doc_id long, n_tokens long, n_bytes long, known long, base double, bits double, rare array<struct<token:binary,n:long>>"
+    "doc_id long, n_tokens long, n_bytes long, known long, base double, rare array<struct<token:binary,n:long>>, "
+    "runs array<struct<run:long,bits:double,own:long>>"
 )
 
 
@@ -450,34 +505,44 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
-    counts = token_counts(training)
+    counts, runs = corpus_counts(training)
     vocabulary = build_vocabulary(counts, training.count())
     model = train(training, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, model))
     smooth = np.log10(vocabulary.total + vocabulary.distinct + 1.0)
     n_end = int(vocabulary.counts[_END] > 0)
+    told = runs.agg(F.sum("n_runs").alias("all"), F.sum(F.when(F.col("n_runs") > 1, F.col("n_runs"))).alias("again")).first()
+    n_runs = told["all"] or 0
+    share = ((told["again"] or 0) + 0.5) / (n_runs + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model = shared.value
         spelled = np.log10(vocabulary.counts + 1) - smooth
         kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
+        run_kind = pa.list_(pa.struct([("run", pa.int64()), ("bits", pa.float64()), ("own", pa.int64())]))
         for ids, texts in _groups(batches):
             tokens = [_tokens(t) for t in texts]
-            bits = np.zeros(len(ids))
             numbers = [numbered(vocabulary, t) for t in tokens]
+            bits = np.zeros(sum(map(len, numbers)) + len(numbers))  # by token and end
             for events in blocks_of(vocabulary, tokens, numbers):
-                bits += np.bincount(events.owner, model.log2(events), len(ids))
-            known, base, rare = [], [], []
-            for words, own in zip(tokens, numbers, strict=True):
+                bits -= np.bincount(events.owner, model.log2(events), len(bits))
+            known, base, rare, cuts, at = [], [], [], [], 0
+            for words, own, held in zip(tokens, numbers, map(held_out_id, ids), strict=True):
                 listed = own != _ESCAPE
                 known.append(int(listed.sum()) + n_end)
                 base.append(float(spelled[own[listed]].sum() + spelled[_END]))
                 rare.append([{"token": w, "n": n} for w, n in Counter([words[k] for k in np.flatnonzero(~listed)]).items()])
+                starts, hashes = runs_of(words)
+                sums = np.add.reduceat(bits[at : at + len(words) + 1], starts)
+                at += len(words) + 1
+                _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                times = np.zeros(len(hashes), np.int64) if held else times[back]  # a training document's own runs are left out
+                cuts.append([{"run": h, "bits": b, "own": o} for h, b, o in zip(hashes.tolist(), sums.tolist(), times.tolist(), strict=True)])
             columns = [
                 pa.array(ids, pa.int64()), pa.array([len(w) + 1 for w in tokens], pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()),
-                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits, pa.float64()), pa.array(rare, kind),
+                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, kind), pa.array(cuts, run_kind),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_bytes", "known", "base", "bits", "rare"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_bytes", "known", "base", "rare", "runs"])
 
     scored = _plain(docs).mapInArrow(run, _SCORED).withColumn("nth", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
@@ -488,14 +553,22 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(float(smooth)))).alias("rare_base"),
     )
     found = found.withColumnRenamed("nth", "of")
+    cut = scored.select("nth", F.explode("runs").alias("one")).select("nth", F.col("one.run").alias("sought"), "one.bits", "one.own")
+    elsewhere = F.coalesce("n_runs", F.lit(0)) - F.col("own")
+    spelt = F.log2(F.lit(1 - share)) - F.col("bits")
+    copied = F.log2(F.lit(float(share)) * elsewhere / F.lit(float(max(1, n_runs))))
+    high, low = F.greatest(spelt, copied), F.least(spelt, copied)
+    cost = F.when(elsewhere > 0, -high - F.log2(F.lit(1.0) + F.pow(F.lit(2.0), low - high))).otherwise(-spelt)
+    costs = cut.join(runs, F.col("sought") == F.col("run"), "left").groupBy(F.col("nth").alias("costs_of")).agg(F.sum(cost).alias("bits"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare").join(found, F.col("nth") == F.col("of"), "left").select(
+    whole = scored.drop("rare", "runs").join(found, F.col("nth") == F.col("of"), "left").join(costs, F.col("nth") == F.col("costs_of"), "left")
+    return whole.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
         (F.col("known") + zero("rare_known")).alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("rare_base")).alias("base_score"),
-        (F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
-        (-F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (-zero("bits") * F.lit(float(np.log10(2)))).alias("score"),
+        (zero("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
