@@ -184,8 +184,6 @@ def test_boxes_over_the_dateline(spark):
     df = spark.createDataFrame([("in", 175.0, 0.0, 179.0, 1.0), ("out", 0.0, 0.0, 5.0, 1.0), ("null", None, 0.0, 5.0, 1.0)], "id string, w double, s double, e double, n double")
     got = df.where(request.boxes_meet(F.col("w"), F.col("s"), F.col("e"), F.col("n"), (170.0, -5.0, -170.0, 5.0))).collect()
     assert [r.id for r in got] == ["in"]
-    assert request.ring_meets_box([(0, 0), (4, 0), (4, 4), (0, 4)], (1, 1, 2, 2))
-    assert not request.ring_meets_box([(0, 0), (4, 0), (0, 4)], (3, 3, 5, 5))
 
 
 def test_places(spark):
@@ -199,12 +197,12 @@ def test_places(spark):
 
 def test_query_contract():
     with pytest.raises(ValueError):
-        request.Query("x", "flood", start_date=dt.date(2024, 2, 1), end_date=dt.date(2024, 1, 1))
+        request.Query("flood", "x", start_date=dt.date(2024, 2, 1), end_date=dt.date(2024, 1, 1))
     with pytest.raises(ValueError):
         request.Query.of({"original_query": "x", "intent": "flood", "extra": 1})
     with pytest.raises(ValueError):
-        request.Query("x", "visual_similarity").require_supported()
-    request.Query("x", "flood", place_name="Georgia", place_level="admin1", country="USA").require_supported()
+        request.Query("visual_similarity", "x").require_supported()
+    request.Query("flood", "x", place_name="Georgia", place_level="admin1", place_country="USA", resolved_place_id="us:ga").require_supported()
 
 
 def test_artifacts(spark, tmp_path):

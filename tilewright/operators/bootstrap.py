@@ -7,11 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DRAWS_AT_ONCE = 1 << 20
+
 
 def resampled(sums: np.ndarray, counts: np.ndarray, samples: int, seed: int) -> np.ndarray:
-    """``samples`` ratios of sums to counts over fields drawn with replacement."""
-    drawn = np.random.default_rng(seed).integers(0, len(counts), size=(samples, len(counts)))
-    return sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1)[:, None]
+    """``samples`` ratios of sums to counts over fields drawn with replacement, a bounded number of draws at a time."""
+    rng, out = np.random.default_rng(seed), []
+    step = max(1, DRAWS_AT_ONCE // max(1, len(counts)))
+    for at in range(0, samples, step):
+        drawn = rng.integers(0, len(counts), size=(min(step, samples - at), len(counts)))
+        out.append(sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1)[:, None])
+    return np.concatenate(out)
 
 
 def field_intervals(deltas: DataFrame, samples: int = 1000, seed: int = 17) -> DataFrame:

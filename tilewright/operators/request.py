@@ -12,59 +12,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# The intents, place levels and modalities a query may name.
+# The intents, place levels and modalities a query may name, and how long its texts may be.
 INTENTS = (
-    "flood", "no_flood", "visual_similarity", "spectral_water_signal", "spectral_scene_similarity", "spectral_water_increase",
-    "spectral_water_decrease", "spectral_change_similarity", "unsupported",
+    "flood", "no_flood", "visual_similarity",
+    "spectral_water_signal", "spectral_water_increase", "spectral_water_decrease",
+    "spectral_scene_similarity", "spectral_change_similarity", "unsupported",
 )
 LEVELS = ("country", "admin1")
-MODALITIES = ("any", "rgb", "s2_12band")
+MODALITIES = ("rgb", "s2_12band", "unspecified")
+MOST = {"place_name": 120, "place_country": 120, "example_tile_id": 200, "unsupported_conditions": 8, "interpretation": 400, "original_query": 1000}
 
 
 @dataclass(frozen=True)
 class Query:
     """What is asked for; checked when made."""
 
-    original_query: str
     intent: str
-    modality: str = "any"
+    interpretation: str
     start_date: dt.date | None = None
     end_date: dt.date | None = None
     place_name: str | None = None
     place_level: str | None = None
-    country: str | None = None
-    resolved_place_id: str | None = None
+    place_country: str | None = None
+    requested_modality: str = "unspecified"
     example_tile_id: str | None = None
     unsupported_conditions: tuple[str, ...] = ()
+    original_query: str = ""
+    resolved_place_id: str | None = None
 
     def __post_init__(self) -> None:
         for ok, said in (
-            (1 <= len(self.original_query) <= 1000, "original_query must have 1 to 1000 characters"),
             (self.intent in INTENTS, f"intent must be one of {INTENTS}"),
-            (self.modality in MODALITIES, f"modality must be one of {MODALITIES}"),
+            (self.requested_modality in MODALITIES, f"requested_modality must be one of {MODALITIES}"),
             (self.place_level in (None, *LEVELS), f"place_level must be one of {LEVELS}"),
-            (not (self.start_date and self.end_date and self.end_date < self.start_date), "end_date lies before start_date"),
-            ((self.place_name is None) == (self.place_level is None), "place_name and place_level go together"),
-            (self.country is None or self.place_level == "admin1", "country goes with an admin1 place"),
-            (self.resolved_place_id is None or self.place_name is not None, "a resolved place needs a place_name"),
+            (not (self.start_date and self.end_date and self.end_date < self.start_date), "end_date must be on or after start_date"),
+            ((self.place_name is None) == (self.place_level is None), "place_name and place_level must be supplied together"),
+            (not self.place_country or self.place_level == "admin1", "place_country is a disambiguator for admin1 places"),
+            (not self.resolved_place_id or self.place_name, "resolved_place_id requires a place_name"),
         ):
             if not ok:
                 raise ValueError(said)
+        for name, most in MOST.items():
+            if len(getattr(self, name) or "") > most:
+                raise ValueError(f"{name} must not be longer than {most}")
 
     @classmethod
     def of(cls, values: dict) -> Query:
-        """From a mapping; unknown keys are an error."""
+        """From a mapping, dates as dates or ISO text; unknown and missing keys are errors."""
         unknown = set(values) - {f.name for f in fields(cls)}
-        if unknown:
-            raise ValueError(f"unknown fields: {sorted(unknown)}")
-        return cls(**values)
+        lacking = {"intent", "interpretation"} - set(values)
+        if unknown or lacking:
+            raise ValueError(f"unknown fields {sorted(unknown)}, missing fields {sorted(lacking)}")
+        given = dict(values)
+        for name in ("start_date", "end_date"):
+            if isinstance(given.get(name), str):
+                given[name] = dt.date.fromisoformat(given[name])
+        given["unsupported_conditions"] = tuple(given.get("unsupported_conditions") or ())
+        return cls(**given)
 
     def require_supported(self) -> None:
         """Raise for what no retrieval path answers."""
         if self.intent == "unsupported" or self.unsupported_conditions:
-            raise ValueError("the query holds conditions that are not supported")
+            raise ValueError("the query includes unsupported conditions: " + ", ".join(self.unsupported_conditions))
         if self.intent == "visual_similarity" and not self.example_tile_id:
             raise ValueError("visual_similarity needs an example tile")
+        if self.place_name and not self.resolved_place_id:
+            raise ValueError("the place has not been resolved")
+
+    def require_modality(self, modality: str) -> None:
+        """Raise if another modality than a run's is asked for."""
+        if self.requested_modality not in ("unspecified", modality):
+            raise ValueError(f"the query asks for {self.requested_modality}, the run has {modality}")
+
+
+@dataclass(frozen=True)
+class Request:
+    """A query with a run and a depth; ``run_id`` may be absent on the spectral path."""
+
+    query: Query
+    run_id: str | None = None
+    k: int = 10
+    before_example_tile_id: str | None = None
+    after_example_tile_id: str | None = None
+
+    def __post_init__(self) -> None:
+        if isinstance(self.k, bool) or not 1 <= self.k <= 30:
+            raise ValueError("k must lie between 1 and 30")
+        if self.run_id is not None and not 1 <= len(self.run_id) <= 160:
+            raise ValueError("run_id must have 1 to 160 characters")
+        for name in (self.before_example_tile_id, self.after_example_tile_id):
+            if len(name or "") > 200:
+                raise ValueError("example ids must not be longer than 200")
+
+
+def parse_text(text: str) -> str:
+    """The text of a request to be parsed: 4 to 1000 characters."""
+    if not 4 <= len(text) <= 1000:
+        raise ValueError("a query has 4 to 1000 characters")
+    return text
 
 
 def within_dates(ts: Column, start: dt.date | None, end: dt.date | None, null_passes: bool) -> Column:
@@ -94,22 +139,39 @@ def boxes_meet(west: Column, south: Column, east: Column, north: Column, box: Se
     return F.coalesce(across & overlap(south, north, s, n), F.lit(False))
 
 
-def ring_meets_box(ring: Sequence[tuple[float, float]], box: tuple[float, float, float, float]) -> bool:
-    """Whether a closed ring and a box share a point."""
-    west, south, east, north = box
-    if any(west <= x <= east and south <= y <= north for x, y in ring):
-        return True
-    corners = [(west, south), (east, south), (east, north), (west, north)]
-    edges = list(zip(ring, [*ring[1:], ring[0]], strict=True))
-    for px, py in corners[:1]:
-        if sum((y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in edges) % 2:
-            return True
-    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    for a, b in edges:
-        for c, d in zip(corners, [*corners[1:], corners[0]], strict=True):
-            if side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0:
-                return True
-    return False
+def ring_meets_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether the closed ``ring(x, y)`` and a plain box share a point: a vertex in the box, a corner in the ring, or edges that cross."""
+    edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    inside = F.exists(ring, lambda p: p["x"].between(west, east) & p["y"].between(south, north))
+
+    def passes(e: Column) -> Column:
+        """Whether an edge crosses the ray that leaves the box's first corner to the east."""
+        spans = (e["a"]["y"] > south) != (e["b"]["y"] > south)
+        at = (e["b"]["x"] - e["a"]["x"]) * (south - e["a"]["y"]) / F.when(spans, e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
+        return F.coalesce(spans & (west < at), F.lit(False))
+
+    around = F.size(F.filter(edges, passes)) % 2 == 1
+
+    def meets(e: Column) -> Column:
+        """Whether an edge has a point in the box, by clipping its parameter to both slabs."""
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+
+        def slab(start: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+            none = F.when(start.between(low, high), F.lit(0.0))  # a still coordinate lies in the slab or never
+            one, two = (low - start) / F.nullif(step, F.lit(0.0)), (high - start) / F.nullif(step, F.lit(0.0))
+            return F.when(step == 0, none).otherwise(F.least(one, two)), F.when(step == 0, none + 1).otherwise(F.greatest(one, two))
+
+        (x0, x1), (y0, y1) = slab(e["a"]["x"], dx, west, east), slab(e["a"]["y"], dy, south, north)
+        still = x0.isNull() | y0.isNull()
+        return ~still & (F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0)))
+
+    return F.coalesce(inside | around | F.exists(edges, meets), F.lit(False))
+
+
+def ring_meets_bounds(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """``ring_meets_box`` for bounds that may cross the antimeridian (west beyond east): two boxes then."""
+    split = ring_meets_box(ring, west, south, F.lit(180.0), north) | ring_meets_box(ring, F.lit(-180.0), south, east, north)
+    return F.when(west > east, split).otherwise(ring_meets_box(ring, west, south, east, north))
 
 
 def normalized_name(value: str | None) -> str:
@@ -146,5 +208,6 @@ def find_places(places: DataFrame, name: str, level: str | None = None, country:
 
 
 def find_tiles(tiles: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Tiles whose id holds ``text`` in any case, in order of id; ``limit`` lies between 1 and 200."""
-    return tiles.where(F.lower("tile_id").contains(text.lower().strip())).orderBy("tile_id").limit(max(1, min(limit, 200)))
+    """Tiles whose normalized id holds the normalized ``text``, in order of id; ``limit`` lies between 1 and 200."""
+    name = F.element_at(normalized_names(F.array("tile_id")), 1)
+    return tiles.where(name.contains(normalized_name(text))).orderBy("tile_id").limit(max(1, min(limit, 200)))

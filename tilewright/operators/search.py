@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "inner_product", "euclidean")
 QUERY_BLOCK = 4096
+QUERY_SLICE = 256
 
 
 def check_vectors(gallery: DataFrame) -> None:
@@ -32,19 +34,45 @@ def check_vectors(gallery: DataFrame) -> None:
         raise ValueError(f"gallery has {found.rows} rows, {found.ids} ids, {found.lengths} lengths, {found.unusable} unusable vectors")
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    total = np.zeros((len(queries), len(rows)))
-    for d in range(queries.shape[1]):  # one order of summation, so equal vectors have equal scores
-        a, b = queries[:, d, None], rows[None, :, d]
+def _exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of row numbers, summed from the first component to the last, so equal vectors have equal scores."""
+    total, one, two = np.zeros(len(q)), np.zeros(len(queries)), np.zeros(len(rows))
+    for d in range(queries.shape[1]):
+        a, b = queries[q, d], rows[r, d]
         total += (a - b) ** 2 if metric == "euclidean" else a * b
+        one += queries[:, d] ** 2
+        two += rows[:, d] ** 2
     if metric == "euclidean":
         return np.sqrt(total)
     if metric == "cosine":
-        long = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-        total = np.clip(total / long, -1.0, 1.0)
+        return np.clip(total / (np.sqrt(one)[q] * np.sqrt(two)[r]), -1.0, 1.0)
     return total
 
 
+def best_rows(queries: np.ndarray, rows: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query number, row number, score`` of every pair that may be among the ``k`` best of its query.
+
+    A block product chooses, with a margin for rounding; what it chooses is scored exactly. Ties at the cut stay in.
+    """
+    found = []
+    long = np.linalg.norm(rows, axis=1)
+    for at in range(0, len(queries), QUERY_SLICE):
+        part = queries[at : at + QUERY_SLICE]
+        rough = part @ rows.T
+        scale = np.linalg.norm(part, axis=1)[:, None] * max(1e-300, long.max(initial=0.0))
+        if metric == "cosine":
+            rough /= np.linalg.norm(part, axis=1)[:, None] * long[None, :]
+            scale = np.ones((len(part), 1))
+        elif metric == "euclidean":
+            rough = rough - long[None, :] ** 2 / 2  # the nearer, the larger; the query's own length does not matter
+            scale = scale + (long**2).max(initial=0.0)
+        least = min(k, rough.shape[1])
+        kth = np.partition(rough, -least, axis=1)[:, -least][:, None]
+        q, r = np.nonzero(rough >= kth - 1e-9 * scale)
+        found.append((q + at, r, _exact(part, rows, q, r, metric)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def top_k(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
     """``query_id, rank, tile_id, score`` from ``gallery(tile_id, embedding)`` and ``queries(query_id, embedding)``.
 
@@ -71,20 +99,12 @@ def top_k(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
             for batch in batches:
                 if not batch.num_rows or not ids:
                     continue
-                names = np.array(batch.column("tile_id").to_pylist(), object)
+                names = batch.column("tile_id")
                 base = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
-                order = np.argsort(names, kind="stable")
-                out_q, out_t, out_s = [], [], []
-                for at in range(0, len(ids), 256):
-                    score = _scores(matrix[at : at + 256], base[order], metric)
-                    for q, line in enumerate(score):
-                        first = np.argsort(sign * line, kind="stable")[: k + 1]
-                        for t in first:
-                            if not (skip_self and names[order[t]] == ids[at + q]):
-                                out_q.append(ids[at + q])
-                                out_t.append(names[order[t]])
-                                out_s.append(float(line[t]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), pa.array(out_t, pa.string()), pa.array(out_s, pa.float64())], ["query_id", "tile_id", "score"])
+                q, r, score = best_rows(matrix, base, k + 1, metric)  # one more, as a query may meet itself
+                asked_of, found_as = pa.array(ids, pa.string()).take(pa.array(q)), names.take(pa.array(r))
+                out = pa.RecordBatch.from_arrays([asked_of, found_as, pa.array(score)], ["query_id", "tile_id", "score"])
+                yield out.filter(pc.not_equal(asked_of, found_as)) if skip_self else out
 
         one = rows.mapInArrow(best, "query_id string, tile_id string, score double")
         found = one if found is None else found.unionByName(one)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.scratch import materialize
+
 # The bands of each index, (a - b) / (a + b).
 INDEX_BANDS = {"ndwi": ("b03", "b08"), "mndwi": ("b03", "b11"), "ndvi": ("b08", "b04")}
 EPSILON = 1e-6
@@ -39,6 +41,18 @@ def summaries(values: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def index_summaries(maps: DataFrame, *keys: str) -> DataFrame:
+    """``summaries`` of each index of ``maps``, ``keys, index_name, ...``: one row a key is aggregated, then unpivoted."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    each = []
+    for n in INDEX_BANDS:
+        positive = F.avg((F.col(n) > 0).cast("double"))
+        each += [F.count(n).alias(f"{n}_n"), zero(F.avg(n)).alias(f"{n}_mean"), zero(F.median(n)).alias(f"{n}_median"), zero(positive).alias(f"{n}_positive")]
+    wide = maps.groupBy(*keys).agg(*each)
+    one = lambda n: F.struct(F.lit(n).alias("index_name"), F.col(f"{n}_n").alias("valid_pixels"), F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_median").alias("median"), F.col(f"{n}_positive").alias("positive_fraction"))
+    return wide.select(*keys, F.explode(F.array(*[one(n) for n in INDEX_BANDS])).alias("one")).select(*keys, "one.*")
+
+
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     """The histogram bin of a value in ``[low, high]``: last bin closed, edges as ``low + b * width``; null outside."""
     width = (high - low) / bins
@@ -91,8 +105,11 @@ def change_maps(pairs: DataFrame, maps: DataFrame, *cell: str) -> DataFrame:
 
 
 def ranked(scored: DataFrame, k: int, descending: bool, id_col: str) -> DataFrame:
-    """The first ``k`` by score (raw and signed), ties by id, with the number of candidates before the cut."""
+    """The first ``k`` by score (raw and signed), ties by id, with the number of candidates before the cut.
+
+    The scores are written once, so that neither the cut nor the count computes them again.
+    """
+    scored = materialize(scored, "ranked")
     by = F.col("score").desc() if descending else F.col("score").asc()
     top = scored.orderBy(by, id_col).limit(k)
-    total = scored.agg(F.count("*").alias("candidate_count"))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(by, id_col))).crossJoin(F.broadcast(total))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(by, id_col))).withColumn("candidate_count", F.lit(scored.count()))

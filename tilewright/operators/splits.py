@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.digest import ordered_digest
+from tilewright.functions.order import placed_within
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -16,45 +21,41 @@ def stable_key(seed: int, name: Column) -> Column:
 
 def stratified(rows: DataFrame, fractions: tuple[float, float, float], seed: int) -> DataFrame:
     """``rows(tile_id, label, ...)`` with ``split``; labels keep the fractions, sizes round half to even."""
-    label = F.coalesce("label", F.lit("__all__"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(stable_key(seed, F.col("tile_id")), "tile_id"))
-    total = F.count("*").over(Window.partitionBy(label))
+    placed = placed_within(rows, F.coalesce("label", F.lit("__all__")), stable_key(seed, F.col("tile_id")), F.col("tile_id"))
+    place, total = F.col("place"), F.col("in_group")
     first = F.bround(total * F.lit(fractions[0]))
     second = first + F.bround(total * F.lit(fractions[1]))
-    return rows.withColumn("split", F.when(place <= first, SPLITS[0]).when(place <= second, SPLITS[1]).otherwise(SPLITS[2]))
+    split = F.when(place <= first, SPLITS[0]).when(place <= second, SPLITS[1]).otherwise(SPLITS[2])
+    return placed.withColumn("split", split).drop("place", "in_group")
 
 
 def group_assignments(sizes: DataFrame, fractions: tuple[float, float, float], seed: int) -> DataFrame:
     """``group_id, split`` from ``sizes(group_id, n)``: largest group first, to the split furthest below its target.
 
-    The fold is sequential by its definition and runs inside Spark over the table of groups, one row a group.
+    The fold is sequential by its definition: one task reads the sorted groups as a stream and holds three counts. Once
+    as many groups are left as splits are empty, only empty splits are open.
     """
-    n_groups = F.size("groups")
-    state = "struct<c:array<bigint>,out:array<struct<group_id:string,split:int>>>"
-    gathered = sizes.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), stable_key(seed, F.col("group_id")).alias("h"), F.col("group_id").cast("string").alias("g")))).alias("groups"),
-        F.sum("n").alias("total"),
-    )
-    targets = F.array(*[F.col("total") * F.lit(f) for f in fractions])
-
-    def step(s: Column, one: Column) -> Column:
-        left = n_groups - F.size(s["out"])
-        empty = F.transform(s["c"], lambda c: c == 0)
-        n_empty = F.size(F.filter(empty, lambda e: e))
-        open_ = [(left != n_empty) | F.element_at(empty, k + 1) for k in range(3)]
-        lack = [F.element_at(targets, k + 1) - F.element_at(s["c"], k + 1) for k in range(3)]
-        low = F.lit(float("-inf"))
-        lack = [F.when(o, v).otherwise(low) for o, v in zip(open_, lack, strict=True)]
-        pick = F.when((lack[0] >= lack[1]) & (lack[0] >= lack[2]), 0).when(lack[1] >= lack[2], 1).otherwise(2)
-        counts = F.transform(s["c"], lambda c, k: c - F.when(k == pick, one["neg"]).otherwise(0))
-        out = F.concat(s["out"], F.array(F.struct(one["g"].alias("group_id"), pick.alias("split"))))
-        return F.struct(counts.alias("c"), out.alias("out")).cast(state)
-
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.array(zero, zero, zero).alias("c"), F.array().cast("array<struct<group_id:string,split:int>>").alias("out")).cast(state)
-    folded = gathered.select(F.explode(F.aggregate("groups", start, step, lambda s: s["out"])).alias("one"))
-    names = F.array(*[F.lit(s) for s in SPLITS])
-    return folded.select("one.group_id", F.element_at(names, F.col("one.split") + 1).alias("split"))
+    known = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
+    targets = [(known["rows"] or 0) * f for f in fractions]
+    groups = known["groups"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, left = [0, 0, 0], groups
+        for batch in batches:
+            out = []
+            for n in batch.column("n").to_pylist():
+                empty = [k for k in range(3) if counts[k] == 0]
+                open_ = empty if left == len(empty) else range(3)
+                pick = max(open_, key=lambda k: (targets[k] - counts[k], -k))
+                counts[pick] += n
+                left -= 1
+                out.append(SPLITS[pick])
+            yield pa.RecordBatch.from_arrays([batch.column("group_id"), pa.array(out, pa.string())], ["group_id", "split"])
+
+    name = F.col("group_id").cast("string")
+    keyed = sizes.select(name.alias("group_id"), F.col("n").cast("long").alias("n"), stable_key(seed, F.col("group_id")).alias("key"))
+    in_order = keyed.orderBy(F.col("n").desc(), "key", "group_id").select("group_id", "n")
+    return in_order.coalesce(1).mapInArrow(fold, "group_id string, split string")
 
 
 def grouped(rows: DataFrame, fractions: tuple[float, float, float], seed: int) -> DataFrame:
@@ -104,29 +105,65 @@ def crossing_groups(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """SHA-256 over ``tile_id, NUL, split, LF`` of all rows in order of id.
-
-    The digest of one long string needs its lines together; lines are digested in buckets of 4096 by order first.
-    """
-    line = F.concat(F.col("tile_id").cast("string"), F.lit("\0"), F.col("split"), F.lit("\n"))
-    lines = rows.agg(F.sort_array(F.collect_list(F.struct(F.col("tile_id").cast("string").alias("t"), line.alias("l")))).alias("x"))
-    return lines.select(F.sha2(F.array_join(F.transform("x", lambda r: r["l"]), ""), 256).alias("fingerprint"))
+    """SHA-256 over ``tile_id, NUL, split, LF`` of all rows in order of id."""
+    name = F.col("tile_id").cast("string")
+    return ordered_digest(rows, F.concat(name, F.lit("\0"), F.col("split"), F.lit("\n")), name)
 
 
 def round_robin(rows: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` rows that cycle through the labels: first of each by key, then second of each, and so on."""
-    depth = F.row_number().over(Window.partitionBy("label").orderBy(stable_key(seed, F.col("tile_id"))))
-    return rows.withColumn("depth", depth).orderBy("depth", "label").limit(count)
+    placed = placed_within(rows, F.col("label"), stable_key(seed, F.col("tile_id")))
+    return placed.withColumnRenamed("place", "depth").drop("in_group").orderBy("depth", "label").limit(count)
 
 
 def tail_sample(rows: DataFrame, value: str, each: int, seed: int) -> DataFrame:
     """``each`` rows from the lowest and the highest quarter of each label, by key; a label of one row has only a low tail."""
-    order = Window.partitionBy("label").orderBy(value, "tile_id")
     known = rows.where(F.col(value).isNotNull())
-    placed = known.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("label")))
-    quarter = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
-    low, high = F.col("place") <= quarter, (F.col("place") > F.col("n") - quarter) & (F.col("n") > 1)
+    placed = placed_within(known, F.col("label"), F.col(value), F.col("tile_id"))
+    place, n = F.col("place"), F.col("in_group")
+    quarter = F.greatest(F.lit(1), F.floor(n / 4))
+    low, high = place <= quarter, (place > n - quarter) & (n > 1)
     tails = F.filter(F.array(F.when(low, F.lit("low")), F.when(high, F.lit("high"))), lambda t: t.isNotNull())
-    sides = placed.withColumn("tail", F.explode(tails))
-    pick = F.row_number().over(Window.partitionBy("label", "tail").orderBy(stable_key(seed, F.col("tile_id"))))
-    return sides.withColumn("pick", pick).where(F.col("pick") <= each).drop("pick", "place", "n")
+    sides = placed.withColumn("tail", F.explode(tails)).drop("place", "in_group")
+    pick = placed_within(sides, F.struct("label", "tail"), stable_key(seed, F.col("tile_id")))
+    return pick.where(F.col("place") <= each).drop("place", "in_group")
+
+
+def rows_for_split(rows: DataFrame, splits: DataFrame, split: str, allow_extra: bool = False) -> DataFrame:
+    """``rows`` of one split by ``splits(tile_id, split)``; ids on one side only are an error.
+
+    With ``allow_extra`` the assignments may name ids that ``rows`` lack, but not the other way round.
+    """
+    if split not in SPLITS:
+        raise ValueError(f"split must be one of {SPLITS}")
+    require_known(rows, splits, "tile_id", "rows without an assignment")
+    if not allow_extra:
+        require_known(splits, rows, "tile_id", "assignments without a row")
+    return rows.join(splits.where(F.col("split") == split).select("tile_id"), "tile_id", "left_semi")
+
+
+def require_known(rows: DataFrame, known: DataFrame, key: str, said: str) -> None:
+    """Raise if ``rows`` hold a key that ``known`` lacks; a few of them are named."""
+    odd = rows.select(key).join(known.select(key), key, "left_anti").limit(3).collect()
+    if odd:
+        raise ValueError(f"{said}: {sorted(str(r[0]) for r in odd)}")
+
+
+def require_apart(a: DataFrame, b: DataFrame, key: str, said: str) -> None:
+    """Raise if the two share a key."""
+    both = a.select(key).intersect(b.select(key)).limit(3).collect()
+    if both:
+        raise ValueError(f"{said}: {sorted(str(r[0]) for r in both)}")
+
+
+def availability_summary(rows: DataFrame) -> DataFrame:
+    """By split, from ``rows(split, asset_status, flooding, group_id)``: records, available, missing, flood, no_flood, groups."""
+    flood = F.coalesce("flooding", F.lit(False))
+    return rows.groupBy("split").agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("asset_status") == "available").alias("available_scenes"),
+        F.count_if(~F.coalesce(F.col("asset_status") == "available", F.lit(False))).alias("missing_scenes"),
+        F.count_if(flood).alias("flood"),
+        F.count_if(~flood).alias("no_flood"),
+        F.count_distinct("group_id").alias("sequence_groups"),
+    )
