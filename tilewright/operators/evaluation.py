@@ -101,3 +101,65 @@ def judgment_bounds(judgments: DataFrame) -> DataFrame:
     return found.withColumn("precision_lower", F.col("relevant") / F.col("judged_count")).withColumn(
         "precision_upper", (F.col("relevant") + F.col("uncertain")) / F.col("judged_count")
     )
+
+
+def macro_deltas(by_category: DataFrame) -> DataFrame:
+    """Means over categories of ``paired_deltas`` and how many queries they rest on."""
+    return by_category.agg(
+        F.count("*").alias("categories"), F.sum("paired_query_count").alias("paired_query_count"),
+        F.avg("recall_delta").alias("macro_recall_delta"), F.avg("map_delta").alias("macro_map_delta"),
+    )
+
+
+DECISIONS = ("relevant", "uncertain", "not_relevant")
+
+
+def judgment_summary(judgments: DataFrame, expected: int) -> DataFrame:
+    """One row over all judgments: status, decision counts, macro precision bounds, and agreement over all definite rows.
+
+    A judgment outside ``DECISIONS`` is an error.
+    """
+    known = F.when(F.col("judgment").isin(*DECISIONS), F.col("judgment"))
+    judgment = F.coalesce(known, F.raise_error(F.concat(F.lit("invalid judgment: "), F.coalesce("judgment", F.lit("null")))).cast("string"))
+    by_query = judgment_bounds(judgments.withColumn("judgment", judgment))
+    definite = F.col("relevant") + F.col("not_relevant")
+    rows = by_query.agg(
+        F.sum("judged_count").alias("judged_count"), F.count("*").alias("query_count"), *[F.sum(d).alias(d) for d in DECISIONS],
+        F.avg("precision_lower").alias("macro_precision_lower"), F.avg("precision_upper").alias("macro_precision_upper"),
+        (F.sum(F.col("agreement") * definite) / F.nullif(F.sum(definite), F.lit(0))).alias("agreement_on_definite"),
+    )
+    count = F.coalesce("judged_count", F.lit(0))
+    return rows.withColumn("expected_count", F.lit(expected)).withColumn("status", F.when(count == expected, "complete").otherwise("partial"))
+
+
+def cross_seed_summary(scores: DataFrame) -> DataFrame:
+    """``architecture, modality, seeds, mean, sd`` from ``(architecture, modality, seed, label, agreement)``: labels, then seeds."""
+    per_seed = scores.groupBy("architecture", "modality", "seed").agg(F.avg("agreement").alias("score"))
+    return per_seed.groupBy("architecture", "modality").agg(
+        F.count("*").alias("seeds"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd")
+    )
+
+
+def epoch_means(batches: DataFrame, *values: str) -> DataFrame:
+    """``epoch`` and the mean of each value weighted by ``weight`` (anchors or tiles); null where nothing has weight."""
+    total = F.sum("weight")
+    each = [(F.sum(F.col(v) * F.col("weight")) / F.nullif(total.cast("double"), F.lit(0.0))).alias(v) for v in values]
+    return batches.groupBy("epoch").agg(total.alias("weight"), *each)
+
+
+def first_per_label(rows: DataFrame) -> DataFrame:
+    """The first row of each label in order of ``nth``, by a running minimum rather than a sort of each label."""
+    return rows.groupBy("label").agg(F.min_by(F.struct(*rows.columns), "nth").alias("one")).select("one.*")
+
+
+def neighbour_queries(embeddings: DataFrame, query_id: str | None, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Query, candidates and depth of a search run: the validation tile ``query_id`` (the first, if None) against all training tiles.
+
+    ``k`` is no more than there are candidates. Another tile than one of validation is an error.
+    """
+    validation = embeddings.where("split = 'validation'")
+    asked = validation.orderBy("row").limit(1) if query_id is None else validation.where(F.col("tile_id") == query_id)
+    if asked.isEmpty():
+        raise ValueError("the query must be a validation tile")
+    train = embeddings.where("split = 'train'")
+    return asked.select(F.col("tile_id").alias("query_id"), "embedding"), train, min(k, train.count())

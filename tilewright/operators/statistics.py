@@ -86,3 +86,52 @@ def scene_audit(scenes: DataFrame, indices: list[str]) -> DataFrame:
             F.max(f"{name}_max").alias(f"{name}_max"), F.sum(f"{name}_outside").alias(f"{name}_outside"), F.sum(f"{name}_valid").alias(f"{name}_valid"),
         ]
     return scenes.agg(*out)
+
+
+def plain_moments(values: DataFrame) -> DataFrame:
+    """Mean and deviation by band of all rows of ``(band, value)``; the variance is at least 1e-12 before its root."""
+    return values.groupBy("band").agg(F.count("*").alias("pixels"), F.avg("value").alias("mean"), F.sqrt(F.greatest(F.var_pop("value"), F.lit(1e-12))).alias("sd"))
+
+
+def metadata_ranges(rows: DataFrame) -> DataFrame:
+    """One row over ``rows(tile_id, crs, latitude, longitude, x_resolution, y_resolution, nodata)``: counts and ranges.
+
+    ``crs_counts`` lists coordinate systems from the commonest on, then by name; a missing one counts as such.
+    """
+    crs = F.coalesce("crs", F.lit("missing"))
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    whole = rows.agg(
+        F.count("*").alias("tile_count"), F.count_if(~located).alias("missing_coordinate_tiles"), F.count("nodata").alias("declared_nodata_tiles"),
+        *[f(F.when(located, F.col(c))).alias(f"{c}_{n}") for c in ("latitude", "longitude") for n, f in (("min", F.min), ("max", F.max))],
+        *[f(c).alias(f"{c}_{n}") for c in ("x_resolution", "y_resolution") for n, f in (("min", F.min), ("max", F.max))],
+    )
+    counts = rows.groupBy(crs.alias("crs")).agg(F.count("*").alias("n"))  # a row for each coordinate system
+    listed = counts.agg(F.count("*").alias("distinct_crs_count"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "crs"))).alias("all"))
+    text = F.array_join(F.transform("all", lambda x: F.concat(x["crs"], F.lit(":"), (-x["less"]).cast("string"))), ",")
+    return whole.crossJoin(F.broadcast(listed.select("distinct_crs_count", text.alias("crs_counts"))))
+
+
+def dataset_summary(scenes: DataFrame) -> DataFrame:
+    """Available and catalogued scenes of ``scenes(asset_status, timestamp)`` and the days they span."""
+    there = F.col("asset_status") == "available"
+    day = F.when(there, F.to_date("timestamp"))
+    return scenes.agg(
+        F.count_if(there).alias("available_scenes"), F.count("*").alias("catalog_scenes"),
+        F.date_format(F.min(day), "yyyy-MM-dd").alias("date_start"), F.date_format(F.max(day), "yyyy-MM-dd").alias("date_end"),
+    )
+
+
+def middle_valid_pixels(maps: DataFrame) -> DataFrame:
+    """For a check by hand, the middle valid pixel of each tile of ``maps(tile_id, row, col, valid, ...)`` in row-major order.
+
+    Rows are counted first; only the middle's own row of pixels is then put in order.
+    """
+    valid = maps.where("valid")
+    lines = valid.groupBy("tile_id", "row").agg(F.count("*").alias("n"))
+    tile = Window.partitionBy("tile_id")
+    before = F.coalesce(F.sum("n").over(tile.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("before", before).withColumn("middle", F.floor(F.sum("n").over(tile) / 2))
+    at = placed.where((F.col("middle") >= F.col("before")) & (F.col("middle") < F.col("before") + F.col("n")))
+    met = valid.join(at.select("tile_id", "row", (F.col("middle") - F.col("before")).alias("offset")), ["tile_id", "row"])
+    nth = F.row_number().over(Window.partitionBy("tile_id", "row").orderBy("col")) - 1
+    return met.withColumn("nth", nth).where(F.col("nth") == F.col("offset")).drop("nth", "offset")
