@@ -347,7 +347,7 @@ def test_mixture_adapts_on_every_training_document(spark):
 def slow_bits(vocabulary, model, text):
     """The cost of each token and of the end, bit by bit, straight from the definition."""
     slots = vocabulary.slots
-    grades, out = model.grades, []
+    grades, out = model.stretched.view(np.uint16) & 3, []
     symbols = [vocabulary.number.get(t, 1) for t in text] + [0]
 
     def one(code, symbol, contexts, kind):
@@ -355,10 +355,13 @@ def slow_bits(vocabulary, model, text):
         for depth, (node, bit) in enumerate(zip(code.nodes[code.starts[symbol] :][: code.lengths[symbol]], code.bits[code.starts[symbol] :], strict=False)):
             where = []
             for nth, context in enumerate(contexts):
+                if context is None:
+                    where.append(int(node))
+                    continue
                 key = (int(context) ^ (int(node) * 0x9E3779B1 & 0xFFFFFFFF)) * 0xC2B2AE35 & 0xFFFFFFFF
                 key ^= key >> 13
                 where.append(((key * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - vocabulary.slot_bits)) + nth * slots)
-            gate = (kind * 3 + min(depth // 4, 2)) * 16 + 4 * int(grades[where[1] - slots]) + int(grades[where[2] - slots])
+            gate = (kind * 3 + min(depth // 4, 2)) * 16 + 4 * int(grades[where[1]]) + int(grades[where[2]])
             x = float(model.weights[gate, -1]) + sum(float(model.weights[gate, k]) * float(model.stretched[w]) for k, w in enumerate(where))
             rung = int(min(max(np.rint(x * 2 + 16), 0), 32))
             p = min(max(0.5 / (1 + math.exp(-x)) + 0.5 * float(model.refined[gate, rung]), 1e-5), 1 - 1e-5)
@@ -370,7 +373,7 @@ def slow_bits(vocabulary, model, text):
     for k, symbol in enumerate(symbols):
         b1 = symbols[k - 1] if k else start
         b2 = symbols[k - 2] if k > 1 else start
-        bits = one(vocabulary.words, symbol, [0, mix(b1), mix(b1, b2), mix(7, b2)], 0)
+        bits = one(vocabulary.words, symbol, [None, mix(b1), mix(b1, b2), mix(7, b2)], 0)
         if symbol == 1:
             word = text[k] + b" "
             for j, letter in enumerate(word):

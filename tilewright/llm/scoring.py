@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,10 +147,13 @@ class Events:
     kind: np.ndarray
 
 
-def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, kind: int, slot_bits: int) -> Events:
+def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray | None], owner: np.ndarray, kind: int, slot_bits: int) -> Events:
     whose, node, bit, depth = code.spell(symbols)
     slots = []
     for nth, context in enumerate(contexts):
+        if context is None:  # the place in the code alone: its number is its slot, beside the others of its kind
+            slots.append(node.astype(np.int64) & ((1 << slot_bits) - 1))
+            continue
         key = (context[whose] ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0xC2B2AE35)
         key ^= key >> np.uint32(13)
         slots.append(((key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - slot_bits)).astype(np.int64) + (nth << slot_bits))
@@ -160,7 +164,7 @@ def _events(code: Code, symbols: np.ndarray, contexts: list[np.ndarray], owner:
 def numbered(vocabulary: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     """The symbol of each token."""
     get = vocabulary.number.get
-    return np.fromiter((get(t, _ESCAPE) for t in tokens), np.uint32, len(tokens))
+    return np.fromiter(map(get, tokens, repeat(_ESCAPE)), np.uint32, len(tokens))
 
 
 def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np.ndarray] | None = None) -> Iterator[Events]:
@@ -180,11 +184,10 @@ def blocks_of(vocabulary: Vocabulary, texts: list[list[bytes]], numbers: list[np
     symbol, start, place_of = np.concatenate(symbols), np.concatenate(first), np.arange(n)
     at_rare = np.concatenate(spelled_at)
     one, two = _before(symbol, 1, start), _before(symbol, 2, start)
-    none = np.zeros(n, np.uint32)
-    contexts = [none, _mix(one), _mix(one, two), _mix(none + np.uint32(7), two)]
+    contexts = [None, _mix(one), _mix(one, two), _mix(np.full(n, 7, np.uint32), two)]
     for at in range(0, n, BLOCK_TOKENS):
         cut = slice(at, at + BLOCK_TOKENS)
-        yield _events(vocabulary.words, symbol[cut], [c[cut] for c in contexts], place_of[cut], 0, vocabulary.slot_bits)
+        yield _events(vocabulary.words, symbol[cut], [c if c is None else c[cut] for c in contexts], place_of[cut], 0, vocabulary.slot_bits)
     size = 0
     batch: list[int] = []
     for k, word in enumerate(spelled):
@@ -239,22 +242,24 @@ class Learner:
     def adapt(self, events: Events) -> None:
         """Predict the block from what was counted before it, and learn from the errors."""
         pairs = self.counts.view(np.int64)
-        inputs, grades = np.ones((len(events.bits), PREDICTORS + 1), np.float32), []
+        inputs, grades = np.ones((PREDICTORS + 1, len(events.bits)), np.float32), []
         for k, slot in enumerate(events.slots):
             both = np.take(pairs, slot)  # two 32-bit counts fetched as one
             none, some = both & 0xFFFFFFFF, both >> 32
-            inputs[:, k] = _stretched(none, some)
+            inputs[k] = _stretched(none, some)
             if k in (1, 2):
                 grades.append(_seen(none + some))
         gate = events.kind + 4 * grades[0] + grades[1]
         bit = events.bits.astype(np.float32)
         for at in range(0, len(bit), BATCH):
-            x, g, b = inputs[at : at + BATCH], gate[at : at + BATCH], bit[at : at + BATCH]
-            total = np.einsum("ij,ij->i", self.weights[g], x)
+            x, g, b = inputs[:, at : at + BATCH], gate[at : at + BATCH], bit[at : at + BATCH]
+            total = np.take(self.weights[:, PREDICTORS], g)
+            for k in range(PREDICTORS):
+                total += np.take(self.weights[:, k], g) * x[k]
             off = b - 1 / (1 + np.exp(-total))
             n = np.bincount(g, minlength=GATES)
             for k in range(PREDICTORS + 1):
-                self.weights[:, k] += 0.4 * np.bincount(g, off * x[:, k], GATES) / (n + 20)
+                self.weights[:, k] += 0.4 * np.bincount(g, off * x[k], GATES) / (n + 20)
             cell = (g * RUNGS + _rung(total)) * 2 + events.bits[at : at + BATCH]
             self.turned += np.bincount(cell, minlength=self.turned.size).reshape(self.turned.shape)
             self.seen += n
@@ -264,22 +269,27 @@ class Learner:
 class Model:
     """The finished mixture; of the size of the predictors' slots."""
 
-    stretched: np.ndarray  # 16-bit, as it travels
-    grades: np.ndarray
+    stretched: np.ndarray  # 16-bit numbers, whose two lowest bits tell how often the slot was seen: one look-up gives both
     weights: np.ndarray
     refined: np.ndarray
 
     def log2(self, events: Events) -> np.ndarray:
         """The base-2 logarithm of each bit's probability."""
-        slots = len(self.stretched) // PREDICTORS
-        gate = events.kind + 4 * self.grades[events.slots[1] - slots] + self.grades[events.slots[2] - slots]
-        weights = self.weights[gate]
-        total = weights[:, -1].copy()
-        for k, slot in enumerate(events.slots):
-            total += weights[:, k] * self.stretched[slot].astype(np.float32)
-        p = 0.5 / (1 + np.exp(-total)) + 0.5 * self.refined[gate, _rung(total)]
-        p = np.clip(p, 1e-5, 1 - 1e-5)
-        return np.log2(np.where(events.bits == 1, p, 1 - p))
+        found = [np.take(self.stretched, slot) for slot in events.slots]
+        seen = [found[k].view(np.uint16) & np.uint16(3) for k in (1, 2)]
+        gate = events.kind + (4 * seen[0] + seen[1])
+        total = np.take(self.weights[:, -1], gate)
+        for k, one in enumerate(found):
+            total += np.take(self.weights[:, k], gate) * one.astype(np.float32)
+        p = np.float32(0.5) / (1 + np.exp(-total)) + np.float32(0.5) * np.take(self.refined, gate * RUNGS + _rung(total))
+        p = np.clip(np.where(events.bits == 1, p, 1 - p), np.float32(1e-5), np.float32(1 - 1e-5))
+        return np.log2(p)
+
+
+def _marked(none: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """A slot of the finished model: its prediction, with the grade of how often it was seen in the two lowest bits."""
+    number = _stretched(none, some).astype("<f2").view("<u2")
+    return ((number & np.uint16(0xFFFC)) | _seen(none + some).astype(np.uint16)).view("<f2")
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -426,12 +436,11 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of equal chunks summed, in a stream sorted by chunk; each becomes its part of the model."""
-    names = ["chunk", "stretched", "grades"]
+    names = ["chunk", "stretched"]
 
     def out(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
-        none, some = counts[0::2], counts[1::2]
-        values = [_stretched(none, some).astype(np.float16).tobytes(), _seen(none + some).astype(np.uint8).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names)
+        value = _marked(counts[0::2], counts[1::2]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([value], pa.binary())], names)
 
     at, held = None, None
     for batch in batches:
@@ -473,12 +482,10 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
 
     learned = materialize(_plain(training).coalesce(tasks).mapInArrow(learn, "chunk int, counts binary"), "model-parts")
     stretched = np.zeros(PREDICTORS * slots, np.float16)
-    grades = np.zeros(PREDICTORS * slots, np.uint8)
     parts = learned.where("chunk >= 0").repartition(64, "chunk").sortWithinPartitions("chunk")
-    for row in parts.mapInArrow(_merged, "chunk int, stretched binary, grades binary").toLocalIterator():
+    for row in parts.mapInArrow(_merged, "chunk int, stretched binary").toLocalIterator():
         cut = slice(row.chunk * _CHUNK, (row.chunk + 1) * _CHUNK)
         stretched[cut] = np.frombuffer(row.stretched, np.float16)
-        grades[cut] = np.frombuffer(row.grades, np.uint8)
     wide = GATES * (PREDICTORS + 1)
     sums = np.zeros(wide + GATES + GATES * RUNGS * 2)
     for row in learned.where("chunk = -1").toLocalIterator():
@@ -489,7 +496,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, tasks: int | None = None)
     turned = sums[wide + GATES :].reshape(GATES, RUNGS, 2)
     level = 1 / (1 + np.exp(-(np.arange(RUNGS) - (RUNGS - 1) / 2) / 2))
     refined = (turned[:, :, 1] + 16 * level) / (turned.sum(axis=2) + 16)
-    return Model(stretched, grades[slots : 3 * slots], weights.astype(np.float32), refined.astype(np.float32))
+    return Model(stretched, weights.astype(np.float32), refined.astype(np.float32))
 
 
 _SCORED = (
