@@ -83,15 +83,17 @@ def histograms(values: DataFrame, low: float, high: float, bins: int, *keys: str
     return listed.select(*keys, F.concat(*[dense(n) for n in names]).alias("descriptor"))
 
 
-def temporal_pairs(scenes: DataFrame, most_days: int) -> DataFrame:
+def temporal_pairs(scenes: DataFrame, most_days: int, *carried: str) -> DataFrame:
     """``before_id, after_id, sequence_id, gap_days`` of consecutive scenes ``(tile_id, sequence_id, timestamp)``.
 
-    Adjacency comes first: scenes of one day are neighbours that make no pair. Scenes without a time take no part.
+    Adjacency comes first: scenes of one day are neighbours that make no pair. Scenes without a time or a sequence take no
+    part. ``carried`` columns come along as ``before_x`` and ``after_x``, so they need no join.
     """
     order = Window.partitionBy("sequence_id").orderBy("timestamp", "tile_id")
-    nexts = scenes.where(F.col("timestamp").isNotNull()).select(
+    both = [x for c in carried for x in (F.col(c).alias(f"before_{c}"), F.lead(c).over(order).alias(f"after_{c}"))]
+    nexts = scenes.where(F.col("timestamp").isNotNull() & F.col("sequence_id").isNotNull()).select(
         "sequence_id", F.col("tile_id").alias("before_id"), F.lead("tile_id").over(order).alias("after_id"),
-        F.datediff(F.to_date(F.lead("timestamp").over(order)), F.to_date("timestamp")).alias("gap_days"),
+        F.datediff(F.to_date(F.lead("timestamp").over(order)), F.to_date("timestamp")).alias("gap_days"), *both,
     )
     return nexts.where((F.col("gap_days") > 0) & (F.col("gap_days") <= most_days))
 

@@ -108,10 +108,10 @@ def pattern_retrieval_macro_min_support(spark: SparkSession, sf_dir: str) -> Dat
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt vectors with a wanted category each; categories 8 and above have no relevant tile."""
+    """Every tenth vector as a prompt with a wanted category; no tile is of categories 10 and 11."""
     tiles = gallery(spark, sf_dir)
-    prompts = tiles.where("vec_id < 30").select(F.col("tile_id").alias("query_id"), (F.col("vec_id") % 9).alias("category"), "embedding")
-    relevance = tiles.where("label < 8").select("tile_id", F.col("label").cast("long").alias("category"))
+    prompts = asked(tiles).select("query_id", (F.floor(F.col("query_id").cast("long") / 10) % 12).alias("category"), "embedding")
+    relevance = tiles.select("tile_id", F.col("label").cast("long").alias("category"))
     totals = relevance.groupBy("category").agg(F.count("*").alias("relevant"))
     ranked = search.top_k(tiles, prompts, 10, skip_self=False).join(prompts.select("query_id", "category"), "query_id")
     return evaluation.query_metrics(ranked, relevance, totals, 10)
@@ -168,8 +168,8 @@ def prototype_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def family_preset_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs made of embedding labels: two architectures, two modalities, scores from a component of the vectors."""
-    runs = table(spark, sf_dir, "embeddings").where("vec_id < 60").select(
-        F.concat(F.lit("run"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("run_id"),
+    runs = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("run"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("run_id"),
         F.when(F.col("vec_id") % 2 == 0, "cnn").otherwise("vit").alias("architecture"),
         F.when(F.col("vec_id") % 3 == 0, "rgb").otherwise("s2_12band").alias("modality"),
         F.col("vec_id").alias("seed"),
@@ -198,7 +198,7 @@ def field_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _delta_rows(spark, sf_dir)
     a = first.select("category", "query_id", F.col("recall_at_k").alias("r1"), F.col("ap_at_k").alias("m1"))
     met = a.join(second, ["category", "query_id"]).select(
-        "category", F.concat(F.lit("f"), (F.col("query_id").cast("long") % 7).cast("string")).alias("field_id"),
+        "category", F.concat(F.lit("f"), F.floor(F.col("query_id").cast("long") / 50).cast("string")).alias("field_id"),
         (F.col("recall_at_k") - F.col("r1")).alias("recall_delta"), (F.col("ap_at_k") - F.col("m1")).alias("map_delta"),
     )
     return rounded(bootstrap.field_intervals(met.withColumn("category", F.col("category").cast("string"))))
@@ -215,7 +215,7 @@ def spectral_index_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def spectral_scene_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectral.summaries(spectral.long_maps(_maps(spark, sf_dir), "tile_id"), "tile_id", "index_name"))
+    return rounded(spectral.index_summaries(_maps(spark, sf_dir), "tile_id"))
 
 
 def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,13 +249,9 @@ def temporal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs first, then filters, which look at the later scene only."""
-    rows = scenes(spark, sf_dir)
-    pairs = spectral.temporal_pairs(rows, 30)
-    before = rows.select(F.col("tile_id").alias("before_id"), F.col("value").alias("v0"))
-    after = rows.select(F.col("tile_id").alias("after_id"), F.col("value").alias("v1"), "timestamp")
-    met = pairs.join(before, "before_id").join(after, "after_id")
-    inside = request.within_dates(F.col("timestamp"), dt.date(2024, 1, 5), dt.date(2024, 1, 25), null_passes=False)
-    return met.where(inside).select("before_id", "after_id", "gap_days", (F.col("v1") - F.col("v0")).alias("score"))
+    pairs = spectral.temporal_pairs(scenes(spark, sf_dir), 30, "value", "timestamp")
+    inside = request.within_dates(F.col("after_timestamp"), dt.date(2024, 1, 5), dt.date(2024, 1, 25), null_passes=False)
+    return pairs.where(inside).select("before_id", "after_id", "gap_days", (F.col("after_value") - F.col("before_value")).alias("score"))
 
 
 @query
@@ -441,7 +437,7 @@ def id_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("tile_id"), (F.floor(key / 16) % 16).cast("int").alias("row"), (key % 16).cast("int").alias("col"),
         (F.col("l_returnflag") != "R").alias("valid"), F.col("l_extendedprice").alias("value"), key.alias("cell"),
     )
@@ -459,11 +455,11 @@ def percentile_stretch_uint8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nt_xent_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean contrastive loss and top-1 accuracy of pairs ``(2i, 2i + 1)`` of the first 128 vectors, a fixed batch, at temperature 0.1."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 128").select("vec_id", vectors.unit(F.col("embedding")).alias("z"))
-    a = rows.select(F.col("vec_id").alias("i"), F.col("z").alias("zi"))
-    b = rows.select(F.col("vec_id").alias("j"), F.col("z").alias("zj"))
-    logits = a.crossJoin(F.broadcast(b)).where("i <> j").select("i", "j", (vectors.dot(F.col("zi"), F.col("zj")) / 0.1).alias("s"))
+    """Mean contrastive loss and top-1 accuracy of pairs ``(2i, 2i + 1)``, in batches of 128 by id, at temperature 0.1."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 128).alias("batch"), vectors.unit(F.col("embedding")).alias("z"))
+    a = rows.select("batch", F.col("vec_id").alias("i"), F.col("z").alias("zi"))
+    b = rows.select("batch", F.col("vec_id").alias("j"), F.col("z").alias("zj"))
+    logits = a.join(b, "batch").where("i <> j").select("i", "j", (vectors.dot(F.col("zi"), F.col("zj")) / 0.1).alias("s"))
     partner = F.when(F.col("i") % 2 == 0, F.col("i") + 1).otherwise(F.col("i") - 1)
     top = logits.withColumn("m", F.max("s").over(Window.partitionBy("i")))
     per = top.groupBy("i").agg(
@@ -510,3 +506,5 @@ def asset_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = sql.SQL
+
+from tilewright.plans import more  # noqa: E402, F401  registers its queries here

@@ -42,8 +42,8 @@ want AS (SELECT query_id, CAST(ql AS BIGINT) AS category FROM q)"""
 _PATTERN = f"WITH {_knn(10)}, {_OWN}, rk AS (SELECT r.*, category FROM r JOIN want USING (query_id)), {_metrics('rk', 'rel', 'tot', 10)}, {_CATEGORY} "
 _PROMPTS = (
     "WITH "
-    + _knn(10, q="SELECT tile_id AS query_id, vec_id % 9 AS category, e FROM g0 WHERE vec_id < 30", skip=False)
-    + """, rel AS (SELECT tile_id, CAST(label AS BIGINT) AS category FROM g0 WHERE label < 8), tot AS (SELECT category, count(*) AS relevant FROM rel GROUP BY category),
+    + _knn(10, q="SELECT tile_id AS query_id, (vec_id // 10) % 12 AS category, e FROM g0 WHERE vec_id % 10 = 0", skip=False)
+    + """, rel AS (SELECT tile_id, CAST(label AS BIGINT) AS category FROM g0), tot AS (SELECT category, count(*) AS relevant FROM rel GROUP BY category),
 rk AS (SELECT r.*, category FROM r JOIN q USING (query_id)), """
     + _metrics("rk", "rel", "tot", 10)
 )
@@ -99,7 +99,7 @@ _DOCS = "dc AS (SELECT CAST(doc_id AS VARCHAR) AS tile_id, lang AS label, source
 _SPLIT = f"""{_DOCS}, o AS (SELECT *, row_number() OVER (PARTITION BY coalesce(label, '__all__') ORDER BY {_sorted("tile_id", "tile_id")}) AS place, count(*) OVER (PARTITION BY coalesce(label, '__all__')) AS n FROM dc),
 sp AS (SELECT tile_id, label, group_id, CASE WHEN place <= round_even(n * 0.8, 0) THEN 'train' WHEN place <= round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'validation' ELSE 'test' END AS split FROM o)"""
 _GRID = """gr AS (SELECT l_suppkey AS tile_id, CAST(floor((l_orderkey * 8 + l_linenumber) / 16) AS BIGINT) % 16 AS "row", (l_orderkey * 8 + l_linenumber) % 16 AS col,
-  l_returnflag <> 'R' AS valid, l_extendedprice AS value, l_orderkey * 8 + l_linenumber AS cell FROM lineitem WHERE l_orderkey < 2000)"""
+  l_returnflag <> 'R' AS valid, l_extendedprice AS value, l_orderkey * 8 + l_linenumber AS cell FROM lineitem)"""
 _PLACES = """pl AS (SELECT 'r:' || r_regionkey AS place_id, 'country' AS level, r_name AS name, r_name AS country, ['REGION ' || r_regionkey] AS aliases FROM region
   UNION ALL SELECT 'n:' || n_nationkey, 'admin1', n_name, r_name, ['N' || n_nationkey] FROM nation JOIN region ON n_regionkey = r_regionkey),
 nm AS (SELECT *, list_transform(list_prepend(name, aliases), lambda x: trim(lower(x))) AS names FROM pl)"""
@@ -134,8 +134,8 @@ tot AS (SELECT category, count(*) - 1 AS relevant FROM rel GROUP BY category), r
     "class_prototypes": f"WITH {_PROTO} SELECT CAST(label AS BIGINT) AS label, CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM pp",
     "prototype_topk": f"WITH {_PROTO_HITS} {_KNN_OUT}",
     "prototype_precision_at_k": f"WITH {_PROTO_HITS} SELECT query_id, round(avg(CAST(CAST(label AS VARCHAR) = query_id AS INT)), 6) AS precision_at_k FROM r GROUP BY query_id",
-    "family_preset_selection": """WITH u AS (SELECT 'run' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS run_id, CASE WHEN vec_id % 2 = 0 THEN 'cnn' ELSE 'vit' END AS architecture,
-  CASE WHEN vec_id % 3 = 0 THEN 'rgb' ELSE 's2_12band' END AS modality, vec_id AS seed, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings WHERE vec_id < 60),
+    "family_preset_selection": """WITH u AS (SELECT 'run' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS run_id, CASE WHEN vec_id % 2 = 0 THEN 'cnn' ELSE 'vit' END AS architecture,
+  CASE WHEN vec_id % 3 = 0 THEN 'rgb' ELSE 's2_12band' END AS modality, vec_id AS seed, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
 f AS (SELECT architecture, modality, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS sd FROM u GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY architecture ORDER BY mean DESC, modality <> 'rgb', modality) AS nth FROM f),
 c AS (SELECT u.*, b.mean, b.sd, row_number() OVER (PARTITION BY u.architecture ORDER BY abs(score - mean), seed) AS k FROM u JOIN b ON b.nth = 1 AND b.architecture = u.architecture AND b.modality = u.modality)
@@ -214,8 +214,8 @@ SELECT tile_id, array_to_string(gone, ',') AS missing, CASE WHEN len(gone) = 0 T
     "percentile_stretch_uint8": f"""WITH {_GRID}, e AS (SELECT tile_id, quantile_cont(value, 0.02) FILTER (valid) AS lo, quantile_cont(value, 0.98) FILTER (valid) AS up0 FROM gr GROUP BY tile_id),
 f AS (SELECT tile_id, lo, CASE WHEN up0 <= lo THEN lo + 1 ELSE up0 END AS up FROM e)
 SELECT tile_id, cell, CAST(round_even(greatest(0.0, least(1.0, (value - lo) / (up - lo))) * 255, 0) AS BIGINT) AS stretched FROM gr JOIN f USING (tile_id)""",
-    "nt_xent_loss": """WITH z AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS z FROM embeddings WHERE vec_id < 128),
-l AS (SELECT a.i, b.i AS j, list_dot_product(a.z, b.z) / 0.1 AS s FROM z a, z b WHERE a.i <> b.i),
+    "nt_xent_loss": """WITH z AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS z FROM embeddings),
+l AS (SELECT a.i, b.i AS j, list_dot_product(a.z, b.z) / 0.1 AS s FROM z a JOIN z b ON a.i // 128 = b.i // 128 WHERE a.i <> b.i),
 m AS (SELECT i, max(s) AS m, max(s) FILTER (j = CASE WHEN i % 2 = 0 THEN i + 1 ELSE i - 1 END) AS p FROM l GROUP BY i),
 r AS (SELECT l.i, any_value(m) + ln(sum(exp(s - m))) - any_value(p) AS loss, CAST(any_value(p) = any_value(m) AS INT) AS hit FROM l JOIN m ON m.i = l.i GROUP BY l.i)
 SELECT count(*) AS anchors, round(avg(loss), 6) AS loss, round(avg(hit), 6) AS accuracy FROM r""",

@@ -61,3 +61,36 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("country"), F.array(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("aliases"),
     )
     return countries.unionByName(parts)
+
+
+def scene_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as scenes (a sequence for each customer) and their lines' index maps by line number.
+
+    ``scenes(tile_id, sequence_id, timestamp, bbox, latitude, longitude, labels)``; boxes come from the customer's number,
+    every ninth is missing and every seventh crosses the antimeridian.
+    """
+    key = F.col("o_custkey")
+    west = F.when(key % 7 == 0, F.lit(178.0)).otherwise((key % 360 - 180).cast("double"))
+    east = F.when(key % 7 == 0, F.lit(-178.0)).otherwise(F.least(west + 2, F.lit(180.0)))
+    south = (key % 160 - 80).cast("double")
+    flood = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("flood"))).when(F.col("o_orderstatus") == "F", F.array(F.lit("no_flood"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("tile_id"), key.cast("string").alias("sequence_id"), F.col("o_orderdate").alias("timestamp"),
+        F.when(key % 9 != 0, F.array(west, south, east, south + 2)).alias("bbox"), (south + 1).alias("latitude"), (west + 1).alias("longitude"), flood.alias("labels"),
+    )
+    cells = pixels(spark, sf_dir).withColumn("tile_id", F.lpad(F.col("tile_id").cast("string"), 9, "0"))
+    # Lines of an order may repeat a number; the first by its values stands for the cell.
+    once = cells.groupBy("tile_id", "row").agg(F.min(F.struct("valid", "b03", "b04", "b08", "b11")).alias("one")).select("tile_id", "row", "one.*")
+    return rows, once
+
+
+def embedding_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as scenes with a day, a box and a label each."""
+    key = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        key.cast("string").alias("tile_id"), F.floor(key / 10).cast("string").alias("sequence_id"),
+        F.date_add(F.lit("1995-07-01").cast("date"), (key % 2000).cast("int")).cast("timestamp_ntz").alias("timestamp"),
+        F.array(*[(x).cast("double") for x in (key % 300 - 150, key % 120 - 60, key % 300 - 148, key % 120 - 58)]).alias("bbox"),
+        F.array(F.when(F.col("label") % 2 == 0, "flood").otherwise("no_flood")).alias("labels"), (key % 120 - 59).cast("double").alias("latitude"),
+        (key % 300 - 149).cast("double").alias("longitude"), "embedding", "vec_id",
+    )

@@ -64,7 +64,7 @@ def parsed_flag(value: Column, name: str, required: bool) -> Column:
 
 def parsed_time(value: Column, token: Column) -> Column:
     """A time in UTC from ISO text, ``Z`` or an offset allowed, or else from a ``yyyy_MM_dd`` token."""
-    return F.coalesce(F.try_to_timestamp(value), F.to_timestamp(token, F.lit("yyyy_MM_dd")))
+    return F.coalesce(F.try_to_timestamp(value), F.to_timestamp(token, "yyyy_MM_dd"))
 
 
 def iso_time(ts: Column) -> Column:
