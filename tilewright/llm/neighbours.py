@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.sized import checked
@@ -64,9 +64,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def nearest(vectors: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
     """Row numbers of the ``k`` largest inner products of each query, without row ``own`` of it."""
     out = []
-    for at in range(0, len(queries), 1024):
-        scores = queries[at : at + 1024] @ vectors.T
-        scores[np.arange(len(scores)), own[at : at + 1024]] = -np.inf
+    for at in range(0, len(queries), _SLICE):
+        scores = queries[at : at + _SLICE] @ vectors.T
+        scores[np.arange(len(scores)), own[at : at + _SLICE]] = -np.inf
         out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
 
@@ -197,11 +197,25 @@ def _answers(asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, ids: np
     return asked_ids[q], c, score
 
 
-def _top(found: DataFrame, k: int, *more: str) -> DataFrame:
-    """The ``k`` best of ``found(query_id, vec_id, score, ...)`` for each query, an id once, with ``rank``."""
-    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in more])
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+_BEST = "array<struct<away:double,vec_id:bigint,part:int>>"
+
+
+def _best_lists(query: np.ndarray, vec_id: np.ndarray, part: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """``query_id, best``: a row for each query; rows of a query must stand together."""
+    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    values = pa.StructArray.from_arrays([pa.array(-score), pa.array(vec_id), pa.array(part.astype(np.int32))], ["away", "vec_id", "part"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(query)).astype(np.int32)), values)
+    return pa.RecordBatch.from_arrays([pa.array(query[starts]), lists], ["query_id", "best"])
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """``query_id, best``: the ``k`` best of each query's lists, an id once, with its best score."""
+    lists = found.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
+    none = F.array().cast(_BEST)
+    # In order of score, so the first of an id's rows is its best.
+    new = lambda acc, x: (F.size(acc) < k) & ~F.exists(acc, lambda y: y["vec_id"] == x["vec_id"])
+    once = F.aggregate("best", none, lambda acc, x: F.when(new(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return lists.select("query_id", once.alias("best"))
 
 
 def _probes(index: DataFrame, asked: DataFrame, router: Router, k: int, wide: int, aim: float) -> int:
@@ -213,18 +227,23 @@ def _probes(index: DataFrame, asked: DataFrame, router: Router, k: int, wide: in
     vectors, ids = np.array([r.embedding for r in held], float), np.array([r.vec_id for r in held])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
             if batch.num_rows:
                 part, own = batch.column("part").to_numpy(), batch.column("vec_id").to_numpy()
                 query, row, score = _answers(vectors, ids, _matrix(batch.column("embedding")), own, k)
-                columns = [pa.array(query), pa.array(own[row]), pa.array(score), pa.array(part[row])]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "part"])
+                held = [np.concatenate(x) for x in zip(held, (query, own[row], part[row], score), strict=True)]
+                order = np.lexsort((held[1], -held[3], held[0]))  # an id may stand twice; all its rows count as one later
+                held = [x[order] for x in held]
+                first = np.searchsorted(held[0], held[0])
+                held = [x[np.arange(len(first)) - first < 4 * k] for x in held]
+        yield _best_lists(*held)
 
     rows = index.where((F.size("embedding") == wide) & (F.col("part") >= 0)).select("part", "vec_id", "embedding")
-    true = _top(rows.mapInArrow(scan, "query_id long, vec_id long, score double, part int"), k, "part").collect()
+    true = _merged(rows.mapInArrow(scan, f"query_id long, best {_BEST}"), k).collect()  # HELD rows
     turn = np.argsort(router.order(vectors), axis=1)  # when a query comes to a part
     row_of = {int(i): n for n, i in enumerate(ids)}
-    turns = np.array([turn[row_of[r.query_id], r.part] for r in true])
+    turns = np.array([turn[row_of[r.query_id], x.part] for r in true for x in r.best])
     return next((p for p in range(1, parts) if len(turns) == 0 or (turns < p).mean() >= aim), parts)
 
 
@@ -239,12 +258,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
         F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     )
     order = F.md5(F.col("vec_id").cast("string"))
-    chosen = plain(vectors).orderBy(order, "vec_id", F.xxhash64("embedding")).limit(sample).collect()
-    if not chosen:
+    chosen = plain(vectors).orderBy(order, "vec_id", F.xxhash64("embedding")).limit(sample).select("embedding").toArrow().column(0)
+    if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r.embedding) for r in chosen]
-    wide = max(set(lengths), key=lambda d: (lengths.count(d), d))
-    fitted = np.array([r.embedding for r in chosen if len(r.embedding) == wide], float)
+    lengths = pc.list_value_length(chosen).to_numpy()
+    wide = int(max(set(lengths.tolist()), key=lambda d: ((lengths == d).sum(), d)))
+    fitted = _matrix(chosen.filter(pa.array(lengths == wide)))
     router = fit_router(fitted, parts or part_count(plain(vectors).count(), len(fitted)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +311,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
         query, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(ids) and len(asked_ids):
             query, row, score = _answers(_matrix(right.column("embedding")), asked_ids, _matrix(left.column("embedding")), ids, k)
-        return pa.table({"query_id": pa.array(query), "vec_id": pa.array(ids[row]), "score": pa.array(score)})
+        return pa.Table.from_batches([_best_lists(query, ids[row], np.zeros(len(row)), score)])
 
     keys = ("part", "block", "query_block")
-    found = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, f"query_id long, best {_BEST}")
+    listed = _merged(found, k).select("query_id", F.posexplode("best").alias("at", "one"))
+    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.away")).alias("score"))
