@@ -25,7 +25,7 @@ def flat(rows: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Rows as CSV with a header, nested values as JSON text; an existing folder is an error."""
-    flat(rows).write.mode("errorifexists").csv(path, header=True)
+    flat(rows).write.mode("errorifexists").csv(path, header=True, escape='"')
 
 
 def write_audit(statistics: DataFrame, classes: DataFrame, summary: dict[str, object], path: str) -> None:
