@@ -658,15 +658,52 @@ def test_licenses_against_all_positions(spark):
             words[at:at] = notice
         rows.append((k, r.choice((" ", "\n")).join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
-    got = {(x.doc_id, x.license): x.containment for x in licenses.scan_licenses(df).collect()}
+    got, places = {}, Counter()
+    for x in licenses.scan_licenses(df).collect():
+        got[x.doc_id, x.license] = max(x.containment, got.get((x.doc_id, x.license), 0))
+        places[x.doc_id, x.license] += 1
     want = {}
     for i, t in rows:
-        have = licenses.shingles_of(licenses.words_of((t or "").encode()))
+        have = licenses.words_of((t or "").encode())
+        own = [tuple(have[k : k + 5]) for k in range(len(have) - 4)]
         for name in names:
             shingles = licenses.shingles_of(licenses.words_of(licenses.TEMPLATES[name].encode()))
-            share = len(shingles & have) / len(shingles)
+            reach = licenses.reach_of(len(shingles))
+            share = max((len(shingles & set(own[k : k + reach])) for k, s in enumerate(own) if s in shingles), default=0) / len(shingles)
             if share >= 0.8:
                 want[i, name] = share
     assert got.keys() == want.keys() and len(want) > 20
-    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(got[k] == pytest.approx(want[k]) if places[k] == 1 else got[k] <= want[k] for k in want)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_licenses_at_every_place(spark):
+    r = random.Random(8)
+    text = licenses.TEMPLATES["MIT-text"].split(" ")
+    long = prose(r, 700).split(" ")
+    rows = [(1, " ".join([*long[:100], *text, *long[100:400], *text, *long[400:]])), (2, " ".join([*text, *text])), (3, " ".join(text[:60]))]
+    df = spark.createDataFrame(rows + rows[1:2], "doc_id long, text string")
+    got = defaultdict(list)
+    for x in licenses.scan_licenses(df).collect():
+        if x.license == "MIT-text":
+            got[x.doc_id].append((x.first_word, x.containment))
+    n = len(text)
+    assert sorted(got[1]) == [(100, 1.0), (400 + n, 1.0)] and sorted(got[2]) == [(0, 1.0), (0, 1.0), (n, 1.0), (n, 1.0)] and 3 not in got
+
+
+def test_license_windows_miss_no_more_than_they_say():
+    """Templates with a fifth of their shingles edited away, at every offset: found but for the stated chance."""
+    r, missed, tried = random.Random(2), 0, 0
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    for name in ("GPL-grant", "Apache-2.0-disclaimer", "MIT-text", "BSD-3-Clause-text"):
+        words = licenses.TEMPLATES[name].split(" ")
+        for offset in range(0, 300, 7):
+            own = list(words)
+            for at in range(2, int(len(own) * 0.2), 5):
+                own[at] = "edited"
+            text = " ".join([*prose(r, offset).split(" "), *own, *prose(r, 50).split(" ")]).encode()
+            share = len(licenses.shingles_of(licenses.words_of(text)) & licenses.shingles_of(licenses.words_of(" ".join(words).encode()))) / len(licenses.shingles_of(licenses.words_of(" ".join(words).encode())))
+            if share >= licenses.LEAST:
+                tried += 1
+                missed += name not in {index.names[t] for _, t, _, _ in index.findings([text])}
+    assert tried > 60 and missed <= 1

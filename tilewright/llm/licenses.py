@@ -4,9 +4,12 @@ A template with ``m`` shingles of five words belongs to the class of the next po
 windows of ``2 L`` shingles, one every ``L``, so every stretch of ``L`` lies whole in some window; a window that holds at
 least ``LEAST`` of a template's shingles has a known least resemblance to it. Bands are single MinHash values, and a class
 takes as many as make the chance that none agrees smaller than ``MISS``. A window and a template that share a band are
-compared word for word around the window, and reported if the share of the template's shingles found is ``LEAST`` or more.
+compared word for word around the window, and reported if the share of the template's shingles found in one stretch of the
+text (``reach_of``) is ``LEAST`` or more.
+A template that stands in a document several times is reported at each place.
 
-Templates are a bounded parameter (notices and opening lines); documents are read whole, in one pass, without a shuffle.
+Templates are a bounded parameter: ``license_texts`` by default, or any mapping of names to texts, such as ``read_templates``
+makes of a folder of license files. Documents are read whole, in one pass, without a shuffle.
 
 Defined cases: null and empty texts have no finding; a text shorter than a shingle has none; repeated rows each get their
 findings; a null id is reported as null; an empty table gives no rows. Words are compared in ASCII lower case without the
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.license_texts import TEMPLATES
+
 SHINGLE = 5
 LEAST = 0.8
 MISS = 0.001
 _MARKS = b".,;:!?\"'()[]{}<>*#|%$&"
 _BATCH_WORDS = 200_000
 
-# Notices and opening lines of well-known licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "no-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
-}
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     return [w.strip(_MARKS) for w in (text or b"").lower().split()]
 
@@ -70,6 +59,11 @@ def _permuted(hashes: np.ndarray, nth: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def reach_of(shingles: int) -> int:
+    """Over how many places an occurrence of a template's shingles may stretch: half as far again as the template."""
+    return shingles * 3 // 2 + SHINGLE
+
+
 class TemplateIndex:
     """Bands of all templates by class."""
 
@@ -114,14 +108,14 @@ class TemplateIndex:
                 yield begin, size, owner
 
     def findings(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, float, int]]:
-        """``(text number, template, containment, first word)``: the best of each text and template."""
+        """``(text number, template, containment, first word)`` of each occurrence."""
         split = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in split])
         flat = [w for words in split for w in words]
         hashes = _hashes(flat)
         if not len(hashes):
             return
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        found_at: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for begin, size, owner in self.candidates(hashes):
             low, high = max(0, begin - size), begin + 3 * size + SHINGLE
             doc = int(np.searchsorted(ends, low, side="right"))
@@ -129,20 +123,67 @@ class TemplateIndex:
                 first = int(ends[doc - 1]) if doc else 0
                 a = max(low, first) - first
                 part = split[doc][a : high - first]
-                found = shingles_of(part) & self.shingles[owner]
-                share = len(found) / len(self.shingles[owner])
-                if share >= self.least:
-                    place = a + next(k for k in range(len(part)) if tuple(part[k : k + SHINGLE]) in found)
-                    old = best.get((doc, owner))
-                    if old is None or (share, -place) > (old[0], -old[1]):
-                        best[doc, owner] = (share, place)
+                wanted = self.shingles[owner]
+                held = [(k, s) for k in range(len(part) - SHINGLE + 1) if (s := tuple(part[k : k + SHINGLE])) in wanted]
+                if len({s for _, s in held}) >= self.least * len(wanted):
+                    place, share = self._place(held, wanted, begin - first - a)
+                    if share >= self.least:
+                        found_at.setdefault((doc, owner), []).append((a + place, share))
                 doc += 1
-        for (doc, owner), (share, place) in sorted(best.items()):
-            yield doc, owner, share, place
+        for (doc, owner), places in sorted(found_at.items()):
+            reach, last = len(self.shingles[owner]) + SHINGLE - 1, None
+            for place, share in sorted(places, key=lambda x: (x[0], -x[1])):
+                if last is not None and place < last[0] + reach:  # the same occurrence, seen from another window
+                    last = (last[0], max(last[1], share))
+                    continue
+                if last is not None:
+                    yield doc, owner, last[1], last[0]
+                last = (place, share)
+            yield doc, owner, last[1], last[0]
+
+    def _place(self, held: list[tuple[int, tuple]], wanted: set, near: int) -> tuple[int, float]:
+        """Where the occurrence nearest to ``near`` begins, and the share of the template's shingles in reach of it.
+
+        ``held`` are the matching shingles with their places.
+        """
+        reach, end = reach_of(len(wanted)), 0
+        inside: dict[tuple, int] = {}
+        full: list[tuple[int, float]] = []
+        for at, shingle in held:
+            while end < len(held) and held[end][0] < at + reach:
+                inside[held[end][1]] = inside.get(held[end][1], 0) + 1
+                end += 1
+            if len(inside) >= self.least * len(wanted):
+                full.append((at, len(inside) / len(wanted)))
+            inside[shingle] -= 1
+            if not inside[shingle]:
+                del inside[shingle]
+        if not full:
+            return 0, 0.0
+        nearest = min(full, key=lambda x: abs(x[0] - near))[0]
+        where = {at: k for k, (at, _) in enumerate(held)}
+
+        def stretch(at: int, share: float) -> int:
+            """How many places on from ``at`` hold what its reach holds."""
+            seen: set[tuple] = set()
+            for place, shingle in held[where[at] :]:
+                seen.add(shingle)
+                if len(seen) >= share * len(wanted) - 1e-9:
+                    return place - at
+            return reach
+
+        close = [(share, -stretch(at, share), -abs(at - nearest), -at) for at, share in full if abs(at - nearest) < reach]
+        share, _, _, at = max(close)
+        return -at, share
+
+
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates from a folder of license texts on the driver: a name for each ``.txt`` file. They travel to the tasks."""
+    return {path.stem: path.read_text(encoding="utf-8") for path in sorted(Path(folder).glob("*.txt"))}
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, license, containment, first_word``: a row for each document and template it holds."""
+    """``doc_id, license, containment, first_word``: a row for each place at which a document holds a template."""
     known = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
