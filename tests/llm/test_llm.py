@@ -100,6 +100,26 @@ def test_simhash_dense_group_is_linear():
     assert (np.bitwise_count(a ^ b) <= 4).all()
 
 
+def test_simhash_splits_hot_values_without_loss(spark):
+    """Fingerprints that share a segment, most of them unlike: the links are those of all pairs, split or not."""
+    r = random.Random(12)
+    prints = {(7 << 32) | r.getrandbits(32) for _ in range(120)}
+    for p in list(prints)[:40]:
+        for _ in range(r.randint(1, 4)):
+            p ^= 1 << r.randrange(64)
+        prints.add(p)
+    ids = sorted(prints)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in ids], "print long")
+    assert simhash.hot_values(df, simhash.HOT) is None and simhash.hot_values(df, 330) is not None
+    roots = slow_roots(ids, list(range(len(ids))))
+    for hot in (330, simhash.HOT):
+        found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in simhash.components(simhash.print_links(df, hot)).collect()}
+        groups = defaultdict(set)
+        for k, p in enumerate(ids):
+            groups[found.get(p, p)].add(roots[k])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(roots))
+
+
 def test_secrets_against_re(docs, rows):
     patterns = [
         (re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), lambda m: len(m[2]) >= 12),

@@ -7,7 +7,8 @@ around each of its segments, and those that meet under a value are verified over
 
 Work is linear. Exact copies share one fingerprint before any table is built; under a value shared by many, links are
 found by a search that leaves the set of unvisited fingerprints as it reaches them, so a dense group yields a tree
-rather than all its pairs, and no link between components is lost.
+rather than all its pairs, and no link between components is lost. A value that very many fingerprints share is split by
+parts of the other segment, of which one must agree.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; a text shorter than a shingle is one
 shingle; repeated rows share a fingerprint and each keep a row; a row with a null id belongs to its component, but does
@@ -34,7 +35,9 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 BITS = 64
+HOT = 1 << 17  # fingerprints under one table value, beyond which it is split
 _CHUNK = 1 << 16
+_LOW = 0xFFFFFFFF
 _PAIRED = 8  # runs up to this length are compared pair by pair
 
 
@@ -147,9 +150,42 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield links(np.concatenate(held_keys), np.concatenate(held))
 
 
-def print_links(prints: DataFrame) -> DataFrame:
+def hot_values(prints: DataFrame, hot: int) -> DataFrame | None:
+    """``hot_key``: table values under which more than ``hot`` fingerprints may stand, or None; two rows a fingerprint are counted."""
+    low = F.col("print").bitwiseAND(_LOW)
+    high = F.shiftrightunsigned("print", 32).bitwiseOR(F.lit(1 << 32))
+    segments = prints.select(F.explode(F.array(low, high)).alias("segment"))
+    many = segments.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") > hot // 33).select("segment")
+    many = materialize(many, "hot-segments")
+    if many.isEmpty():
+        return None
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
+    around = F.explode(F.transform(flips, lambda f: F.col("segment").bitwiseXOR(f))).alias("hot_key")
+    return materialize(many.select(around).distinct(), "hot-values")
+
+
+def split_hot(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """``entries(key, print)`` with each hot key dealt on by parts of the other segment.
+
+    Two fingerprints within ``DISTANCE`` bits agree in one of the ``DISTANCE + 1`` parts of that segment, so they still meet.
+    """
+    other = F.when(F.col("key").bitwiseAND(F.lit(1 << 32)) != 0, F.col("print").bitwiseAND(_LOW)).otherwise(F.shiftrightunsigned("print", 32))
+    edges = [32 * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    parts = [
+        F.xxhash64("key", F.lit(k), F.shiftright(other, a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+    ]
+    met = entries.join(checked(hot, 16), F.col("key") == F.col("hot_key"), "left")
+    keys = F.when(F.col("hot_key").isNull(), F.array("key")).otherwise(F.array(*parts))
+    return met.select(F.explode(keys).alias("key"), "print")
+
+
+def print_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """``a, b``: links that connect the distinct fingerprints of ``prints(print)`` as all links do."""
     entries = prints.mapInArrow(_balls, "key long, print long")
+    values = hot_values(prints, hot)
+    if values is not None:
+        entries = split_hot(entries, values)
     dealt = entries.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_link_batches, "a long, b long").distinct()
 
