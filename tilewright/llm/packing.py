@@ -38,6 +38,7 @@ from tilewright.scratch import materialize
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
+SHARDS_A_TASK = 8
 COMMON = 0.2
 K1, B = 1.2, 0.75
 PARTS = 16
@@ -61,17 +62,23 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
 
     Where ids stand in the order of merges, as ranks do, the quicker of the two tokenizer libraries gives the same ids.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True  # their strings are ordinary text
-    size = plain.get_vocab_size()
-    slow = lambda text: plain.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as file:
         said = json.load(file)
     model, split = said["model"], said.get("pre_tokenizer") or {}
     ids = model.get("vocab", {})
+    numbers = ids.values() if isinstance(ids, dict) else range(len(ids))
+    size = max([*numbers, *(x["id"] for x in said.get("added_tokens", []))], default=-1) + 1
+
+    @lru_cache(maxsize=1)
+    def plain() -> object:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True  # their strings are ordinary text
+        return found
+
+    slow = lambda text: plain().encode(text, add_special_tokens=False).ids
     ranked = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not said.get("normalizer")
     joined = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model.get("merges", [])]
     if not ranked or any(ids.get(word) != 256 + k for k, word in enumerate(joined)):
@@ -286,13 +293,13 @@ def pack_documents(
     shared = spark.sparkContext.broadcast((turns, idf))  # three numbers for each id of the vocabulary
     rows = made.where("ids IS NOT NULL").select("nth", "doc_id", "ids")
 
-    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(x.as_py(), kind) for x in batch.column("ids")]
+    def read(ids: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_py(), kind) for x in ids]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass = np.zeros(size * PARTS, np.int64)
         for batch in batches:
-            ids = read(batch)
+            ids = read(batch.column("ids"))
             np.add.at(mass, keys_of(ids, shared.value[0]), np.array([len(x) for x in ids], np.int64))
         some = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some])], ["key", "n"])
@@ -301,12 +308,11 @@ def pack_documents(
     first, many = shard_plan({r.key: r.n for r in weighed.collect()}, size * PARTS, shard_tokens)
     plan = spark.sparkContext.broadcast((first, many))  # of the size of the vocabulary times PARTS
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (first, many), key = plan.value, keys_of(read(batch), shared.value[0])
-            # Rows of a split key go round its shards; the rows of a task are numbered consecutively.
-            shard = first[key] + batch.column("nth").to_numpy() % many[key]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
+    @F.arrow_udf("long")
+    def shard_of(ids: pa.Array, nth: pa.Array) -> pa.Array:
+        (first, many), key = plan.value, keys_of(read(ids), shared.value[0])
+        # Rows of a split key go round its shards; the rows of a task are numbered consecutively.
+        return pa.array(first[key] + nth.to_numpy() % many[key])
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -330,5 +336,7 @@ def pack_documents(
             columns["ids"] = pa.array(cuts, pa.binary())
         return pa.table(columns)
 
-    dealt = rows.mapInArrow(place, "shard long, doc_id long, ids binary")
+    shards = int((first + many).max(initial=1))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))
+    dealt = rows.select(shard_of("ids", "nth").alias("shard"), "doc_id", "ids").repartition(tasks, "shard")
     return dealt.groupBy("shard").applyInArrow(pack, _SCHEMA + (", ids binary" if with_ids else ""))
