@@ -296,3 +296,15 @@ def test_further_summaries(spark):
     flat = spark.createDataFrame([("B", 5.0), ("B", 5.0)], "band string, value double")
     assert statistics.plain_moments(flat).first().sd == pytest.approx(1e-6)
     assert statistics.dataset_summary(spark.createDataFrame([], "asset_status string, timestamp timestamp")).first().date_start is None
+
+
+def test_audits_and_radiometry(spark, tmp_path):
+    head = ",".join(readers.AUDIT)
+    (tmp_path / "good.csv").write_text(f'{head}\nq,"a, text",x,1,t,0.5,"a,b",,p\nq,a,x,2,t,0.5,,f,p\n')
+    assert [(r.labels, r.field_id, r.query_text) for r in readers.read_audit(spark, str(tmp_path / "good.csv")).orderBy("rank").collect()] == [("a,b", "", "a, text"), ("", "f", "a")]
+    for name, text in (("short", "query_id,rank\nq,1\n"), ("empty", head + "\n"), ("twice", f"{head}\n" + "q,a,x,1,t,0.5,,f,p\n" * 2)):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(ValueError):
+            readers.read_audit(spark, str(tmp_path / f"{name}.csv"))
+    items = spark.createDataFrame([({"B03": '{"eo:bands": [{"name": "x"}], "raster:bands": [{"scale": 1, "nodata": 0}, {"scale": 2}]}', "B04": "{}"},), ({"B03": '{"raster:bands": []}'},)], "assets map<string,string>")
+    assert {r.field: r.n for r in readers.radiometry_counts(items).collect()} == {"eo:bands": 1, "raster:bands": 1, "scale": 2, "offset": 0, "unit": 0, "nodata": 1}

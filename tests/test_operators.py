@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import bootstrap, embed, evaluation, raster, request, search, spectral, splits, statistics
-from tilewright.sources import catalog, readers
+from tilewright.sources import catalog, readers, settings
 
 
 def vectors(spark, rows):
@@ -235,11 +235,28 @@ def test_stac_and_assets(spark, tmp_path):
 
 
 def test_settings_and_folders():
-    good = "[split]\ntrain = 0.8\nvalidation = 0.1\ntest = 0.1\nseed = 17\n"
-    assert readers.load_settings(good).seed == 17
-    for bad in (good + "more = 1\n", good.replace("seed = 17\n", ""), good.replace("0.8", "0.9")):
+    good = """
+        reproducibility = {seed = 17}
+        device = {mode = "auto"}
+        outputs = {artifacts_dir = "a", experiments_dir = "/e"}
+        dataset = {adapter = "x", root = "r", catalog = "c", expected_count = 3, expected_shape = [2, 8, 8], bands = ["B03", "B11"], value_scale = 10.0}
+        split = {manifest = "s", train_fraction = 0.8, validation_fraction = 0.1, test_fraction = 0.1, seed = 17, stratify_by_label = true}
+        loader = {batch_size = 4, num_workers = 0, pin_memory = false}
+        visualization = {samples = 1, lower_percentile = 2, upper_percentile = 98, composites = {}}
+        model = {statistics_csv = "b", embedding_dim = 8, cnn_channels = [8, 16, 32], vit_patch_size = 4, vit_width = 6, vit_depth = 1, vit_heads = 3, vit_mlp_ratio = 4}
+        training = {epochs = 1, batch_size = 2, learning_rate = 0.1, weight_decay = 0.0, temperature = 0.1, retrieval_ks = [1, 5]}
+        embedding = {models = ["cnn"], checkpoint_filename = "best.pt", batch_size = 1}
+    """
+    found = settings.load_settings(good, "/root")
+    assert found["split"]["seed"] == 17 and found["outputs"] == {"artifacts_dir": "/root/a", "experiments_dir": "/e"}
+    for a, b in (
+        ("seed = 17}", "seed = 17, more = 1}"), ("{seed = 17}", "{}"), ("0.8", "0.9"), ('"auto"', '"tpu"'), ("[2, 8, 8]", "[3, 8, 8]"), ('"B11"', '"B03"'), ("value_scale = 10.0", "value_scale = 0.0"),
+        ("composites = {}", 'composites = {rgb = ["B03", "B11", "B04"]}'), ("upper_percentile = 98", "upper_percentile = 2"), ("vit_patch_size = 4", "vit_patch_size = 3"), ("vit_heads = 3", "vit_heads = 4"),
+        ("[8, 16, 32]", "[8, 16, 30]"), ("[1, 5]", "[5, 1]"), ('"best.pt"', '"x/best.pt"'), ('["cnn"]', '["cnn", "cnn"]'), ("num_workers = 0", "num_workers = -1"), ("training = {", "trainings = {"),
+    ):
+        assert a in good
         with pytest.raises(ValueError):
-            readers.load_settings(bad)
+            settings.load_settings(good.replace(a, b, 1))
     assert readers.result_folder("q", "cosine", 5).endswith("_cosine_top5")
 
 
@@ -255,6 +272,10 @@ def test_runs_and_judgments(spark, tmp_path):
     for name, smoke in (("a", False), ("b", True)):
         (tmp_path / "x" / name).mkdir(parents=True)
         (tmp_path / "x" / name / "result.json").write_text(json.dumps({"architecture": "cnn", "seed": 1, "smoke": smoke}))
+        for sibling in readers.SIBLINGS:
+            (tmp_path / "x" / name / sibling).write_bytes(b"")
+    (tmp_path / "x" / "c").mkdir()
+    (tmp_path / "x" / "c" / "result.json").write_text(json.dumps({"architecture": "cnn", "seed": 1, "smoke": False}))  # not complete
     assert [r.run_id for r in readers.read_runs(spark, f"file://{tmp_path}").collect()] == ["x/a"]
     line = json.dumps({"query_id": "q", "rank": 1, "tile_id": "t", "judgment": "relevant"}) + "\n"
     (tmp_path / "one.jsonl").write_text(line)

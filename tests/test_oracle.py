@@ -34,6 +34,24 @@ def plain(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     return sorted(tuple(one(v) for v in row) for row in frame[columns].astype(object).values.tolist())
 
 
+# What SQL cannot say, with the test that holds it against plain loops.
+BY_LOOPS = {
+    "field_bootstrap_ci": "test_operators.py::test_bootstrap",
+    "prototype_support_split": "test_operators.py::test_support_groups",
+    "view_draws": "test_artifacts.py::test_view_draws_are_the_generator_s",
+    "paired_views": "test_artifacts.py::test_view_draws_are_the_generator_s",
+    "corpus_embedding_run": "test_artifacts.py::test_convolutional_encoder_against_loops",
+}
+
+
+def test_every_query_is_held_against_something():
+    here = os.path.dirname(__file__)
+    assert set(plans.QUERIES) - set(plans.SQL) == set(BY_LOOPS)
+    for where in BY_LOOPS.values():
+        file, name = where.split("::")
+        assert f"def {name}(" in open(os.path.join(here, file)).read(), where
+
+
 @pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_matches_sql(spark, con, name):
     got = plans.QUERIES[name](spark, SF).toPandas()
