@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import augment, encoders, evaluation, raster, splits, statistics
+from tilewright.operators import augment, encoders, evaluation, raster, splits, statistics, views
 from tilewright.sources import catalog, readers, sinks, tiff
 
 
@@ -308,3 +308,37 @@ def test_audits_and_radiometry(spark, tmp_path):
             readers.read_audit(spark, str(tmp_path / f"{name}.csv"))
     items = spark.createDataFrame([({"B03": '{"eo:bands": [{"name": "x"}], "raster:bands": [{"scale": 1, "nodata": 0}, {"scale": 2}]}', "B04": "{}"},), ({"B03": '{"raster:bands": []}'},)], "assets map<string,string>")
     assert {r.field: r.n for r in readers.radiometry_counts(items).collect()} == {"eo:bands": 1, "raster:bands": 1, "scale": 2, "offset": 0, "unit": 0, "nodata": 1}
+
+
+def pixels_of(png):
+    """The pixels of a PNG whose lines are unfiltered."""
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, head = 8, b"", None
+    while at < len(png):
+        size, kind = struct.unpack(">I", png[at : at + 4])[0], png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", png[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + body)
+        head, data, at = (struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head), data + (body if kind == b"IDAT" else b""), at + 12 + size
+    depth = {2: 3, 6: 4}[head[3]]
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(head[1], -1)[:, 1:].reshape(head[1], head[0], depth)
+
+
+def test_views(spark):
+    cells = [("a", r, c, (r, c) != (1, 1), float(r), float(c), 5.0, 0.1 * r) for r in range(4) for c in range(4)]
+    df = spark.createDataFrame(cells, "tile_id string, row int, col int, valid boolean, b03 double, b04 double, b08 double, b11 double")
+    image = pixels_of(views.previews(df, ("b03", "b04", "b08"), 4).first().png)
+    for k, plane in enumerate((np.repeat(np.arange(4.0), 4), np.tile(np.arange(4.0), 4), np.full(16, 5.0))):
+        keep = np.arange(16) != 5
+        low, high = np.percentile(plane[keep], (2, 98))
+        high = high if high > low else low + 1
+        assert np.array_equal(image[:, :, k].ravel(), np.rint(np.clip((plane - low) / (high - low), 0, 1) * 255).astype(np.uint8))
+    maps = spark.createDataFrame([("a", 0, 0, -1.0, 0.0, None), ("a", 0, 1, 1.0, 9.0, None), ("b", 0, 0, 1.0, 1.0, None), ("b", 0, 1, 1.0, 1.0, 0.5)], "tile_id string, row int, col int, ndwi double, mndwi double, ndvi double")
+    shown = {r.tile_id: pixels_of(r.png) for r in views.index_views(maps, "ndwi", 2).collect()}
+    assert shown["a"][0, 0].tolist() == [165, 0, 38, 255] and shown["a"][0, 1].tolist() == [49, 54, 149, 255] and shown["a"][1, 0].tolist() == [0] * 4
+    pairs = spark.createDataFrame([("a", "b")], "before_id string, after_id string")
+    change = views.change_views(pairs, maps, "ndwi", 2).first()
+    assert (change.before_id, change.after_id) == ("a", "b")
+    assert pixels_of(change.png)[0].tolist() == [[49, 54, 149, 255], [255, 255, 191, 255]]
+    assert pixels_of(views.change_views(pairs, maps, "ndvi", 2).first().png)[0].tolist() == [[0] * 4] * 2
+    with pytest.raises(KeyError):
+        views.index_views(maps, "other", 2)

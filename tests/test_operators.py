@@ -273,7 +273,7 @@ def test_runs_and_judgments(spark, tmp_path):
         (tmp_path / "x" / name).mkdir(parents=True)
         (tmp_path / "x" / name / "result.json").write_text(json.dumps({"architecture": "cnn", "seed": 1, "smoke": smoke}))
         for sibling in readers.SIBLINGS:
-            (tmp_path / "x" / name / sibling).write_bytes(b"")
+            (tmp_path / "x" / name / sibling).write_bytes(b"x")
     (tmp_path / "x" / "c").mkdir()
     (tmp_path / "x" / "c" / "result.json").write_text(json.dumps({"architecture": "cnn", "seed": 1, "smoke": False}))  # not complete
     assert [r.run_id for r in readers.read_runs(spark, f"file://{tmp_path}").collect()] == ["x/a"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geo, names
 from tilewright.functions.digest import ordered_digest
 from tilewright.functions.order import placed_within
-from tilewright.operators import augment, encoders, evaluation, evidence, raster, request, search, spectral, splits, statistics
+from tilewright.operators import augment, encoders, evaluation, evidence, raster, request, search, spectral, splits, statistics, views
 from tilewright.plans import sql as base
 from tilewright.plans.queries import FRACTIONS, _customers, _delta_rows, _grid, _top, query, rounded
 from tilewright.plans.sql import SQL
@@ -502,6 +502,14 @@ def middle_valid_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.middle_valid_pixels(rows).select("tile_id", "b03", "b11"))
 
 
+@said(f"""WITH {_SCENES} SELECT tile_id, "row", round(greatest(0, least(1, (mndwi + 1) / 2)), 6) AS position FROM maps WHERE mndwi IS NOT NULL""")
+def index_map_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each valid pixel of an index map lies on the scale that its picture shows."""
+    _, maps = _scene_maps(spark, sf_dir)
+    position = views.map_position(F.col("mndwi"), *views.INDEX_RANGE)
+    return rounded(maps.where("mndwi IS NOT NULL").select("tile_id", "row", position.alias("position")))
+
+
 # Artifacts -----------------------------------------------------------------------------------------------------------
 
 
