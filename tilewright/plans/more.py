@@ -612,9 +612,9 @@ def _encoder(bands: int, seed: int = 3) -> encoders.Convolutional:
     """A small encoder with drawn weights."""
     rng, weights, before = np.random.default_rng(seed), {"mean": np.zeros(bands), "deviation": np.ones(bands)}, bands
     for k in range(3):
-        weights |= {f"kernel_{k}": rng.normal(size=(8, before, 3, 3)) / 3, f"scale_{k}": np.ones(8), f"shift_{k}": np.zeros(8)}
-        before = 8
-    return encoders.Convolutional(weights | {"project": rng.normal(size=(16, 8)), "offset": np.zeros(16)})
+        weights |= {f"kernel_{k}": rng.normal(size=(16, before, 3, 3)) / 3, f"scale_{k}": np.ones(16), f"shift_{k}": np.zeros(16)}
+        before = 16
+    return encoders.Convolutional(weights | {"project": rng.normal(size=(16, 16)), "offset": np.zeros(16)})
 
 
 @query
