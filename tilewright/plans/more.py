@@ -557,14 +557,14 @@ def scene_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile_id", "flooding", catalog.iso_time(F.col("timestamp")).alias("time"), F.array_join("missing_bands", ",").alias("missing"), "asset_status")
 
 
-@said(f"WITH {base._knn(10)}, c AS (SELECT query_id, rank, r.tile_id, printf('%.7f', score) AS score, CAST(g0.label AS VARCHAR) || ',all' AS labels FROM r JOIN g0 ON g0.tile_id = r.tile_id WHERE rank <= 5) SELECT query_id, 'query ' || query_id AS query_text, q0.label::VARCHAR AS target_label, rank, c.tile_id, CAST(round(CAST(score AS DOUBLE), 5) AS DOUBLE) AS score, labels FROM c JOIN g0 q0 ON q0.tile_id = query_id WHERE q0.vec_id % 20 = 0")
+@said(f"WITH {base._knn(10)}, c AS (SELECT query_id, rank, r.tile_id, printf('%.7f', score) AS score, CAST(g0.label AS VARCHAR) || ',all' AS labels FROM r JOIN g0 ON g0.tile_id = r.tile_id WHERE rank <= 5) SELECT query_id, 'query ' || query_id AS query_text, q0.label::VARCHAR AS target_label, rank, c.tile_id, round(floor(CAST(score AS DOUBLE) * 100000) / 100000, 6) AS score, labels FROM c JOIN g0 q0 ON q0.tile_id = query_id WHERE q0.vec_id % 20 = 0")
 def audit_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader of an audit gets: the first five results of canonical queries."""
     rows = gallery(spark, sf_dir)
     asked = rows.where("vec_id % 10 = 0").select(F.col("tile_id").alias("query_id"), F.concat(F.lit("query "), "tile_id").alias("query_text"), F.col("label").cast("string").alias("target_label"), (F.col("vec_id") % 20 == 0).alias("canonical"))
     labels = rows.select("tile_id", F.array(F.col("label").cast("string"), F.lit("all")).alias("labels"))
     found = sinks.audit_rows(_top(spark, sf_dir, 10), asked, labels)
-    return rounded(found.withColumn("score", F.round(F.col("score").cast("double"), 5)))
+    return rounded(found.withColumn("score", F.floor(F.col("score").cast("double") * 100000) / 100000))  # cut, not rounded: the text has seven places
 
 
 @said("SELECT l_returnflag AS band, count(*) AS pixels, round(avg(l_tax), 6) AS mean, round(sqrt(greatest(var_pop(l_tax), 1e-12)), 6) AS sd, true AS reused FROM lineitem GROUP BY 1")
