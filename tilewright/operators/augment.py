@@ -25,7 +25,7 @@ def view_draws(tiles: DataFrame, seed: int, epoch: int, fixed_views: bool = Fals
     The draw is that of the standard library's generator under the view's seed, so it is made in Arrow batches.
     """
     if epoch < 0:
-        raise ValueError("epoch must not be negative")
+        raise ValueError("epochs count from 0")
     at = F.lit(0 if fixed_views else epoch)
     views = tiles.select("tile_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("view"))
     seeded = views.select("tile_id", "view", view_seed(seed, at, F.col("tile_id"), F.col("view")).cast("string").alias("seed"))
@@ -65,6 +65,6 @@ def check_collated(pixels: DataFrame) -> None:
     per = pixels.groupBy("tile_id").agg(F.count("*").alias("n"), F.count("valid").alias("masked"))
     found = per.agg(F.count_distinct("n").alias("shapes"), F.count_if(F.col("masked") == F.col("n")).alias("whole"), F.count_if(F.col("masked") == 0).alias("none"), F.count("*").alias("tiles")).first()
     if not found.tiles:
-        raise ValueError("an empty batch cannot be collated")
+        raise ValueError("there is nothing to collate")
     if found.shapes > 1 or (found.whole != found.tiles and found.none != found.tiles):
         raise ValueError("tiles differ in shape, or some have a mask and others not")

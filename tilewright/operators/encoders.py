@@ -26,7 +26,7 @@ def standardized_images(images: np.ndarray, mean: np.ndarray, deviation: np.ndar
     if images.ndim != 4 or images.shape[1] != len(mean):
         raise ValueError(f"images of {len(mean)} bands are expected, not of shape {images.shape}")
     if (deviation <= 0).any() or not (np.isfinite(mean).all() and np.isfinite(deviation).all()):
-        raise ValueError("band statistics must be finite and deviations positive")
+        raise ValueError("means and deviations of bands are out of range")
     out = (images - mean[None, :, None, None]) / deviation[None, :, None, None]
     return out if valid is None else np.where(valid[:, None], out, 0.0)
 
@@ -94,7 +94,7 @@ class Transformer:
         x = standardized_images(images, w["mean"], w["deviation"], valid)
         n, bands, rows, cols = x.shape
         if rows % p or cols % p:
-            raise ValueError("rows and columns must be multiples of the patch")
+            raise ValueError("patches do not fill the image")
         cells = x.reshape(n, bands, rows // p, p, cols // p, p).transpose(0, 2, 4, 1, 3, 5).reshape(n, -1, bands * p * p)
         tokens = cells @ w["patch"].T + w["patch_offset"]
         tokens = np.concatenate((np.broadcast_to(w["class_token"], (n, 1, tokens.shape[2])), tokens), axis=1) + w["places"]

@@ -15,6 +15,13 @@ from tilewright.functions import vectors
 from tilewright.operators import request, search, spectral
 from tilewright.scratch import materialize
 
+# What results say of themselves.
+MEDIAN, MEDIAN_CHANGE = "median_mndwi_rank", "median_delta_mndwi_rank"
+HISTOGRAM, CHANGE_HISTOGRAM = "exact_index_histogram_cosine", "exact_change_histogram_cosine"
+FLAT, FLAT_EXAMPLE = "exact_flat_cosine", "example_tile_exact_flat_cosine"
+COSINE, INDEX_VALUE, SIGNED_CHANGE = "cosine similarity", "median MNDWI index value", "signed median MNDWI change"
+NO_SCENES, FEW_SCENES, FEW_ITEMS = "No gallery scenes match these constraints.", "Only {} scene(s) matched.", "Only {} matching evidence item(s) were found."
+
 SPECTRAL_INTENTS = ("spectral_water_signal", "spectral_water_increase", "spectral_water_decrease", "spectral_scene_similarity", "spectral_change_similarity")
 MOST_DAYS = 30
 BINS = 32
@@ -45,12 +52,12 @@ def matching(query: request.Query, ring: DataFrame | None, scenes: DataFrame, nu
     return near.where(request.ring_meets_bounds(F.col("ring"), west, south, east, north)).drop("ring")
 
 
-def _found(scored: DataFrame, k: int, descending: bool, method: str, measure: str, empty: str | None = None) -> Evidence:
+def _found(scored: DataFrame, k: int, descending: bool, method: str, measure: str) -> Evidence:
     ranked = spectral.ranked(scored, k, descending, "tile_id")
     ranked = materialize(ranked, "evidence")
     first = ranked.select("candidate_count").first()
     count = first.candidate_count if first else 0
-    notice = None if count >= k else empty if empty and not count else f"Only {count} matching evidence item(s) were found."
+    notice = None if count >= k else FEW_ITEMS.format(count)
     return Evidence(ranked, method, measure, count, notice)
 
 
@@ -88,14 +95,14 @@ def by_vector(query: request.Query, k: int, vector: DataFrame, gallery: DataFram
     asked = vector.select(F.lit("query").alias("query_id"), "embedding")
     hits = search.top_k(gallery.join(inside, "tile_id", "left_semi"), asked, min(k, max(1, count)), skip_self=False)
     met = hits.select("rank", "tile_id", "score").join(scenes, "tile_id").withColumn("candidate_count", F.lit(count))
-    notice = "No gallery scenes match these constraints." if not count else f"Only {count} scene(s) matched." if count < k else None
-    return Evidence(met, "exact_flat_cosine" if skip is None else "example_tile_exact_flat_cosine", "cosine similarity", count, notice)
+    notice = NO_SCENES if not count else FEW_SCENES.format(count) if count < k else None
+    return Evidence(met, FLAT if skip is None else FLAT_EXAMPLE, COSINE, count, notice)
 
 
 def by_prototype(query: request.Query, k: int, gallery: DataFrame, support: DataFrame, scenes: DataFrame, modality: str, ring: DataFrame | None = None) -> Evidence:
     """Scenes nearest to the prototype of the query's class, made of ``support(label, embedding)`` alone."""
     if query.intent == "visual_similarity":
-        raise ValueError("select an example tile to run a visual-similarity query")
+        raise ValueError("this intent needs an example tile")
     query.require_supported()
     query.require_modality(modality)
     mine = support.where(F.col("label") == query.intent)
@@ -105,7 +112,7 @@ def by_prototype(query: request.Query, k: int, gallery: DataFrame, support: Data
 def by_example(query: request.Query, k: int, example: str, gallery: DataFrame, scenes: DataFrame, modality: str, ring: DataFrame | None = None) -> Evidence:
     """Scenes nearest to an example tile of the gallery."""
     if query.intent == "unsupported" or query.unsupported_conditions:
-        raise ValueError("the query includes unsupported conditions")
+        raise ValueError("nothing here answers these conditions")
     query.require_modality(modality)
     mine = gallery.where(F.col("tile_id") == example).select("embedding")
     if mine.isEmpty():
@@ -145,9 +152,9 @@ def spectral_evidence(
     """
     query, k = ask.query, ask.k
     if query.intent not in SPECTRAL_INTENTS or query.unsupported_conditions:
-        raise ValueError("not a supported spectral request: " + (", ".join(query.unsupported_conditions) or query.intent))
+        raise ValueError("no spectral path answers: " + (", ".join(query.unsupported_conditions) or query.intent))
     if query.requested_modality == "rgb":
-        raise ValueError("spectral evidence needs more bands than red, green and blue")
+        raise ValueError("three visible bands carry no spectral evidence")
     query.require_supported()
     every = scenes if every is None else every
     before, after = ask.before_example_tile_id, ask.after_example_tile_id
@@ -156,30 +163,30 @@ def spectral_evidence(
         if query.intent == "spectral_water_signal":
             summed = spectral.summaries(maps.select("tile_id", F.col("mndwi").alias("value")), "tile_id").where("valid_pixels > 0")
             scored = inside.join(summed.select("tile_id", F.col("median").alias("score")), "tile_id")
-            return _found(scored, k, True, "median_mndwi_rank", "median MNDWI index value")
+            return _found(scored, k, True, MEDIAN, INDEX_VALUE)
         if not before:
-            raise ValueError("select an example tile for spectral scene similarity")
+            raise ValueError("scene similarity needs an example tile")
         inside = _other_sequences(inside.where(F.col("tile_id") != before), _sequence_of(every, before))
         scored = _alike(maps, ("tile_id",), F.col("tile_id") == before, -1.0, 1.0, bins, "the example has no valid MNDWI pixels")
-        return _found(inside.join(scored, "tile_id"), k, True, "exact_index_histogram_cosine", "cosine similarity")
+        return _found(inside.join(scored, "tile_id"), k, True, HISTOGRAM, COSINE)
     pairs = spectral.temporal_pairs(scenes, most_days)
     if query.intent == "spectral_change_similarity":
         if not before or not after:
-            raise ValueError("select both example tiles for change similarity")
+            raise ValueError("change similarity needs two example tiles")
         example = spectral.temporal_pairs(every, most_days).where((F.col("before_id") == before) & (F.col("after_id") == after))
         if example.isEmpty():
-            raise ValueError(f"the example dates must be consecutive observations of one sequence, at most {most_days} days apart")
+            raise ValueError(f"the examples are no pair: neighbours in one sequence, at most {most_days} days apart, are")
         pairs = _other_sequences(pairs, _sequence_of(every, before)).unionByName(example)
     changes = spectral.change_maps(pairs, maps, *cell)
     later = matching(query, ring, scenes, False).withColumnRenamed("tile_id", "after_id").drop("sequence_id")
     if query.intent == "spectral_change_similarity":
         chosen = (F.col("before_id") == before) & (F.col("after_id") == after)
         scored = _alike(changes, ("before_id", "after_id"), chosen, -2.0, 2.0, bins, "the example pair has no shared valid MNDWI pixels").where(~chosen)
-        method, measure, down = "exact_change_histogram_cosine", "cosine similarity", True
+        method, measure, down = CHANGE_HISTOGRAM, COSINE, True
     else:
         summed = spectral.summaries(changes.select("before_id", "after_id", F.col("mndwi").alias("value")), "before_id", "after_id")
         scored = summed.where("valid_pixels > 0").select("before_id", "after_id", F.col("median").alias("score"))
-        method, measure, down = "median_delta_mndwi_rank", "signed median MNDWI change", query.intent != "spectral_water_decrease"
+        method, measure, down = MEDIAN_CHANGE, SIGNED_CHANGE, query.intent != "spectral_water_decrease"
     met = scored.join(pairs, ["before_id", "after_id"]).join(later, "after_id").withColumn("tile_id", F.col("after_id"))
     return _found(met, k, down, method, measure)
 

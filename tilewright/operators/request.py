@@ -45,10 +45,10 @@ class Query:
             (self.intent in INTENTS, f"intent must be one of {INTENTS}"),
             (self.requested_modality in MODALITIES, f"requested_modality must be one of {MODALITIES}"),
             (self.place_level in (None, *LEVELS), f"place_level must be one of {LEVELS}"),
-            (not (self.start_date and self.end_date and self.end_date < self.start_date), "end_date must be on or after start_date"),
-            ((self.place_name is None) == (self.place_level is None), "place_name and place_level must be supplied together"),
-            (not self.place_country or self.place_level == "admin1", "place_country is a disambiguator for admin1 places"),
-            (not self.resolved_place_id or self.place_name, "resolved_place_id requires a place_name"),
+            (not (self.start_date and self.end_date and self.end_date < self.start_date), "the last day lies before the first"),
+            ((self.place_name is None) == (self.place_level is None), "a place needs its name and its level, both or neither"),
+            (not self.place_country or self.place_level == "admin1", "a country is given only with an admin1 place"),
+            (not self.resolved_place_id or self.place_name, "a resolved place needs a name"),
         ):
             if not ok:
                 raise ValueError(said)
@@ -73,7 +73,7 @@ class Query:
     def require_supported(self) -> None:
         """Raise for what no retrieval path answers."""
         if self.intent == "unsupported" or self.unsupported_conditions:
-            raise ValueError("the query includes unsupported conditions: " + ", ".join(self.unsupported_conditions))
+            raise ValueError("nothing here answers: " + ", ".join(self.unsupported_conditions))
         if self.intent == "visual_similarity" and not self.example_tile_id:
             raise ValueError("visual_similarity needs an example tile")
         if self.place_name and not self.resolved_place_id:
@@ -82,7 +82,7 @@ class Query:
     def require_modality(self, modality: str) -> None:
         """Raise if another modality than a run's is asked for."""
         if self.requested_modality not in ("unspecified", modality):
-            raise ValueError(f"the query asks for {self.requested_modality}, the run has {modality}")
+            raise ValueError(f"{self.requested_modality} is wanted, but the run holds {modality}")
 
 
 @dataclass(frozen=True)

@@ -84,12 +84,12 @@ def _check_together(s: dict[str, dict]) -> None:
     model = s.get("model", {"vit_patch_size": 1, "vit_width": 1, "vit_heads": 1})
     fractions = sum(split[f"{n}_fraction"] for n in ("train", "validation", "test"))
     for ok, said in (
-        (len(data["bands"]) == data["expected_shape"][0], "dataset.bands must match expected_shape[0]"),
-        (abs(fractions - 1) <= 1e-9, "split fractions must sum to one"),
-        (0 <= view["lower_percentile"] < view["upper_percentile"] <= 100, "visualization percentiles must satisfy 0 <= lower < upper <= 100"),
-        (all(len(c) == 3 and set(c) <= set(data["bands"]) for c in view["composites"].values()), "a composite must name three configured bands"),
-        (all(n % model["vit_patch_size"] == 0 for n in data["expected_shape"][1:]), "model.vit_patch_size must divide both image dimensions"),
-        (model["vit_width"] % model["vit_heads"] == 0, "model.vit_width must be divisible by model.vit_heads"),
+        (len(data["bands"]) == data["expected_shape"][0], "dataset.bands and the first of dataset.expected_shape disagree"),
+        (abs(fractions - 1) <= 1e-9, "the three fractions do not add up to one"),
+        (0 <= view["lower_percentile"] < view["upper_percentile"] <= 100, "percentiles must rise between 0 and 100"),
+        (all(len(c) == 3 and set(c) <= set(data["bands"]) for c in view["composites"].values()), "composites are made of three of dataset.bands"),
+        (all(n % model["vit_patch_size"] == 0 for n in data["expected_shape"][1:]), "patches of model.vit_patch_size do not fill the image"),
+        (model["vit_width"] % model["vit_heads"] == 0, "model.vit_heads do not share model.vit_width evenly"),
     ):
         if not ok:
             raise ValueError(said)
