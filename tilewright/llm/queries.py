@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
+from tilewright.llm import centroids, extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *quality.BASE, "base_failed", "kept")
 
 
+def op11_kd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster of eight after ten rounds."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, width=64, rounds=10, seed=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -102,10 +107,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_archive": op10_warc_archive,
+    "op11_kd_centroids": op11_kd_centroids,
 }
 
 SQL: dict[str, str] = {
     "op2_secret_scan": sql.OP2,
     "op3_source_mix": sql.OP3,
     "op10_warc_archive": sql.OP10,
+    "op11_kd_centroids": sql.OP11,
 }

@@ -83,3 +83,31 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+def _op11(k: int = 8, width: int = 64, rounds: int = 10) -> str:
+    """The rounds one after another, each a pair of tables."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
+  WHERE len(embedding) = {width} AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {width})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, c) - 1 AS z, c FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, c) <= {k})""",
+    ]
+    apart = "list_sum([CAST((p[1] - p[2]) * (p[1] - p[2]) AS BIGINT) FOR p IN list_zip(v.c, t.c)])"
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT v.n, any_value(v.vec_id) AS vec_id, any_value(v.c) AS c,
+  arg_min(t.z, [{apart}, t.z]) AS z, min({apart}) AS d FROM v CROSS JOIN c{r} t GROUP BY v.n)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS MATERIALIZED (SELECT z, i, CAST(sum(c[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, {width + 1}) g(i) GROUP BY z, i),
+c{r + 1} AS MATERIALIZED (SELECT t.z, coalesce((SELECT list((s - ((s % n) + n) % n) // n ORDER BY i) FROM m{r} WHERE m{r}.z = t.z), t.c) AS c FROM c{r} t)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a{rounds}.z AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.z) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(t.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} t ON a{rounds}.z = t.z"""
+
+
+OP11 = _op11()
