@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import centroids, extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
+from tilewright.llm import centroids, embedding_forest, extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op11_kd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, width=64, rounds=10, seed=3)
 
 
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return embedding_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_archive": op10_warc_archive,
     "op11_kd_centroids": op11_kd_centroids,
+    "op12_projection_forest": op12_projection_forest,
 }
 
 SQL: dict[str, str] = {
@@ -115,4 +121,5 @@ SQL: dict[str, str] = {
     "op3_source_mix": sql.OP3,
     "op10_warc_archive": sql.OP10,
     "op11_kd_centroids": sql.OP11,
+    "op12_projection_forest": sql.OP12,
 }

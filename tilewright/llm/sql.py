@@ -111,3 +111,17 @@ FROM a{rounds} JOIN c{rounds} t ON a{rounds}.z = t.z"""
 
 
 OP11 = _op11()
+
+OP12 = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS c,
+         coalesce(label IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+                  AND len([1 FOR x IN embedding IF x <> 0]) > 0, false) AS ok FROM embeddings),
+e AS MATERIALIZED (
+  SELECT a.n, b.n AS m FROM v a JOIN v b ON a.label = b.label AND a.n <> b.n AND a.ok AND b.ok AND len(a.c) = len(b.c)
+  WHERE list_inner_product(a.c, b.c) / (sqrt(list_inner_product(a.c, a.c)) * sqrt(list_inner_product(b.c, b.c))) >= CAST(0.93 AS DOUBLE)),
+r(n, m) AS (SELECT n, n FROM v UNION SELECT r.n, e.m FROM r JOIN e ON r.m = e.n),
+k AS (SELECT r.n, min(o.vec_id) AS component_id FROM r JOIN v o ON o.n = r.m GROUP BY r.n)
+SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.n = v.n) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN k ON v.n = k.n
+"""
