@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tilewright.scratch import materialize
 
 
-def placed_within(rows: DataFrame, group: Column, *order: Column) -> DataFrame:
+def placed_within(rows: DataFrame, group: Column, *order: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``place`` (from 1) and ``in_group`` (the group's size), in ``order`` within ``group``.
 
+    Columns named in ``ties`` come after ``order`` but bound no range, so they may hold long texts.
+
     Rows are sorted in ranges of group and order and numbered range by range; a group that holds a third of all rows is
     spread over many ranges, whose counts are added up. What is put in one window is a row for each range of a group.
     """
     keyed = rows.select(*[F.col(f"`{c}`") for c in rows.columns], group.alias("_group"), *[o.alias(f"_by{k}") for k, o in enumerate(order)])
     keys = ["_group", *[f"_by{k}" for k in range(len(order))]]
-    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys, *ties)
     numbered = ranged.drop(*keys[1:]).withColumn("_range", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     placed = materialize(numbered, "placed")
     sums = placed.groupBy("_group", "_range").agg(F.min("_nth").alias("_from"), F.count("*").alias("_n"))
