@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import centroids, embedding_forest, extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
+from tilewright.llm import centroids, conversations, embedding_forest, extraction, licenses, mixing, neighbours, packing, quality, scoring, secrets, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,12 @@ def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the damage that ids choose."""
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.repair(turns, conversations.damaged(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_archive": op10_warc_archive,
     "op11_kd_centroids": op11_kd_centroids,
     "op12_projection_forest": op12_projection_forest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -122,4 +129,5 @@ SQL: dict[str, str] = {
     "op10_warc_archive": sql.OP10,
     "op11_kd_centroids": sql.OP11,
     "op12_projection_forest": sql.OP12,
+    "op13_conversation_repair": sql.OP13,
 }

@@ -125,3 +125,52 @@ k AS (SELECT r.n, min(o.vec_id) AS component_id FROM r JOIN v o ON o.n = r.m GRO
 SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.n = v.n) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
 FROM v JOIN k ON v.n = k.n
 """
+
+OP13 = rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(k, '')])),
+    lambda c, x: xor(xor(c, x) >> 1, CAST(3988292384 AS BIGINT) * (xor(c, x) & 1))), CAST(4294967295 AS BIGINT)) % 20 AS m FROM d),
+b AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+         CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE m WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+o AS (
+  SELECT *, left(role, 1) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n FROM b),
+g AS MATERIALIZED (
+  SELECT *, lag(f) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 1 WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
+p AS MATERIALIZED (SELECT *, CASE fault WHEN 3 THEN 3 WHEN 0 THEN 0 ELSE 1000000000 END AS stays,
+       [CASE f WHEN 's' THEN 1 WHEN 'u' THEN 2 END, CASE f WHEN 'u' THEN 2 END, CASE f WHEN 'a' THEN 3 END, CASE f WHEN 'u' THEN 2 END] AS kept FROM g),
+w(conv_id, i, c) AS (
+  SELECT DISTINCT conv_id, n + 1, [0, 6, 3, 0] FROM g
+  UNION ALL
+  SELECT conv_id, i, [least(e[1], 3 + least(e[3], 3 + e[4])), least(e[2], 3 + least(e[3], 3 + e[4])), least(e[3], 3 + e[4]), least(e[4], 3 + e[3])]
+  FROM (SELECT p.conv_id, p.i, [CAST(least(4 + c[q], coalesce(c[kept[q] + 1] + stays, 1000000000), 3 + stays + c[CASE q WHEN 3 THEN 4 ELSE 3 END]) AS INTEGER) FOR q IN [1, 2, 3, 4]] AS e
+        FROM w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i - 1)),
+v AS MATERIALIZED (SELECT * FROM w),
+x(conv_id, i, q, audit, lines, cost) AS (
+  SELECT conv_id, CAST(1 AS BIGINT), 0, '', CAST([] AS VARCHAR[]), c[1] FROM v WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i + CASE letter WHEN 'I' THEN 0 ELSE 1 END,
+         CASE letter WHEN 'D' THEN q WHEN 'K' THEN kept[q + 1] ELSE due END, audit || letter,
+         CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+              ELSE list_append(lines, CASE due WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END, cost
+  FROM (SELECT x.*, p.role, p.text, p.kept, CASE q WHEN 2 THEN 3 ELSE 2 END AS due,
+          CASE WHEN v.c[q + 1] = 4 + u.c[q + 1] THEN 'D' WHEN v.c[q + 1] = 3 + v.c[CASE q WHEN 2 THEN 4 ELSE 3 END] THEN 'I'
+               WHEN v.c[q + 1] = stays + u.c[kept[q + 1] + 1] THEN 'K' WHEN p.i IS NOT NULL THEN 'R' END AS letter
+        FROM x JOIN v ON v.conv_id IS NOT DISTINCT FROM x.conv_id AND v.i = x.i
+        LEFT JOIN v u ON u.conv_id IS NOT DISTINCT FROM x.conv_id AND u.i = x.i + 1
+        LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.i = x.i)
+  WHERE letter IS NOT NULL),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+             count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND before || f NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM g GROUP BY conv_id),
+r AS (SELECT x.* FROM x JOIN s ON s.conv_id IS NOT DISTINCT FROM x.conv_id WHERE x.i = s.n + 1 AND x.q IN (0, 3))
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
