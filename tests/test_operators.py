@@ -52,6 +52,64 @@ def test_query_blocks_agree(spark, monkeypatch):
     assert sorted(map(tuple, search.top_k(rows, ask, 3).collect())) == whole
 
 
+def slow_top(rows, ask, k, metric):
+    out = []
+    for name, q in ask:
+        q = np.array(q)
+        how = {"cosine": lambda v: -float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), "inner_product": lambda v: -float(q @ v), "euclidean": lambda v: float(np.linalg.norm(q - v))}[metric]
+        best = sorted((round(how(np.array(v)), 12), t) for t, v in rows if t != name)[:k]
+        out += [(name, n, t) for n, (_, t) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_equal_vectors_are_cut_in_their_task(spark, metric):
+    """Ten thousand equal vectors: a task gives k rows for a query, the smallest ids, whatever the layout."""
+    rows = [(f"t{k:05d}", [1.0, 2.0, 3.0]) for k in range(10_000)] + [("x", [3.0, 1.0, 0.5]), ("y", [-1.0, 0.0, 2.0])]
+    ask = [(f"t{k:05d}", [1.0, 2.0, 3.0]) for k in range(3)] + [("q", [0.0, 1.0, 1.0])]
+    table, asked = vectors(spark, rows).coalesce(1), spark.createDataFrame(ask, "query_id string, embedding array<double>")
+    found = search._meet_few(table, asked.collect(), 10, metric, True)
+    assert found.count() == 40
+    key = lambda df: sorted((r.query_id, r.rank, r.tile_id) for r in df.collect())
+    assert key(search.top_k(table, asked, 10, metric)) == slow_top(rows, ask, 10, metric) == key(search.top_k(table.repartition(5), asked, 10, metric))
+
+
+def test_unusable_vectors_are_errors(spark):
+    ask = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    good = [(f"t{k}", [1.0, k / 100]) for k in range(100)]
+    for bad, said in (([0.0, 0.0], "zero vector"), ([1.0, float("nan")], "not finite"), ([float("inf"), 1.0], "not finite"), ([1.0, None], "not finite"), ([1.0], "length 1"), (None, "length -1")):
+        with pytest.raises(Exception, match=f"bad has a .*{said}"):
+            search.top_k(vectors(spark, [*good, ("bad", bad)]), ask, 3).collect()
+    with pytest.raises(ValueError, match="query z has a zero vector"):
+        search.top_k(vectors(spark, good), spark.createDataFrame([("z", [0.0, 0.0])], ask.schema), 3)
+    zero = vectors(spark, [*good, ("zero", [0.0, 0.0])])
+    assert search.top_k(zero, ask, 200, "euclidean").count() == 101 and search.top_k(zero, ask, 200, "inner_product").count() == 101
+    with pytest.raises(ValueError, match=r"between 1 and the gallery's size \(100\), not 101"):
+        search.top_k(vectors(spark, good), ask, 101, strict=True)
+    assert search.top_k(vectors(spark, good), ask, 101).count() == 100
+    for k in (0, 1.5, True):
+        with pytest.raises(ValueError, match="positive integer"):
+            search.top_k(zero, ask, k)
+
+
+def test_many_queries_stay_off_the_driver(spark, monkeypatch):
+    """Blocks of queries against blocks of the gallery: one scan, no union, the same rows as one block gives."""
+    rng = np.random.default_rng(6)
+    rows = [(f"t{k:03d}", rng.normal(size=3).tolist()) for k in range(240)]
+    rows += [(f"t{240 + k}", rows[k // 20][1]) for k in range(60)]
+    table = vectors(spark, rows).repartition(3)
+    ask = table.select(F.col("tile_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(search, "GALLERY_BLOCK", 100)
+    for metric in search.METRICS:
+        found = search.top_k(table, ask, 7, metric)
+        assert sorted((r.query_id, r.rank, r.tile_id) for r in found.collect()) == slow_top(rows, rows, 7, metric)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Union" not in plan
+    with pytest.raises(Exception, match="bad has a zero vector"):
+        search.top_k(table.unionByName(vectors(spark, [("bad", [0.0, 0.0, 0.0])])), ask, 7).collect()
+
+
 def test_index_values(spark):
     rows = [(0, 0, True, 3.0, 1.0, 1.0, 1.0), (0, 1, True, 1.0, 1.0, 3.0, 1.0), (1, 0, True, 0.0, 0.0, 0.0, 0.0), (1, 1, False, 1.0, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "row int, col int, valid boolean, b03 double, b04 double, b08 double, b11 double")

@@ -1,8 +1,9 @@
 """Exact nearest neighbours: three metrics, filters before scoring, deterministic ties, class prototypes.
 
-Queries are a stated set and meet the gallery in blocks: a block of at most ``QUERY_BLOCK`` query vectors travels to the
-gallery's partitions, each of which keeps its own best rows, so what is shuffled is ``k`` rows for a query and a batch
-rather than the product. The gallery is read once for each block and never moved.
+Queries are a stated set and meet the gallery in blocks. Up to ``QUERY_BLOCK`` queries travel to the gallery's partitions,
+which are scanned once and do not move. More queries than that stay off the driver: they are dealt into blocks, the
+gallery into others, and each pair of blocks is one group of a cogroup. Either way a task keeps ``k`` rows for a query,
+ties cut by id, so what is shuffled is ``k`` rows for a query and task rather than the product.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 METRICS = ("cosine", "inner_product", "euclidean")
 QUERY_BLOCK = 4096
+GALLERY_BLOCK = 32_768
 QUERY_SLICE = 256
+_FOUND = "query_id string, tile_id string, score double"
 
 
 def check_vectors(gallery: DataFrame) -> None:
@@ -34,6 +37,22 @@ def check_vectors(gallery: DataFrame) -> None:
         raise ValueError(f"gallery has {found.rows} rows, {found.ids} ids, {found.lengths} lengths, {found.unusable} unusable vectors")
 
 
+def checked_matrix(ids: pa.Array, vectors: pa.Array, metric: str, what: str, wide: int | None = None) -> np.ndarray:
+    """``vectors`` as a matrix; one that is null, not finite, of another length, or zero under cosine is an error that names its id."""
+    length = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    wide = int(length[0]) if wide is None else wide
+    for k in np.flatnonzero(length != wide)[:1]:
+        raise ValueError(f"{what} {ids[int(k)]} has a vector of length {length[k]} where {wide} is expected")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    matrix = flat.reshape(-1, wide)
+    for k in np.flatnonzero(~np.isfinite(matrix).all(axis=1))[:1]:
+        raise ValueError(f"{what} {ids[int(k)]} has a component that is null or not finite")
+    if metric == "cosine":
+        for k in np.flatnonzero(~matrix.any(axis=1))[:1]:
+            raise ValueError(f"{what} {ids[int(k)]} has a zero vector: its cosine is undefined")
+    return matrix
+
+
 def _exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Scores of pairs of row numbers, summed from the first component to the last, so equal vectors have equal scores."""
     total, one, two = np.zeros(len(q)), np.zeros(len(queries)), np.zeros(len(rows))
@@ -49,12 +68,11 @@ def _exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray,
     return total
 
 
-def best_rows(queries: np.ndarray, rows: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``query number, row number, score`` of every pair that may be among the ``k`` best of its query.
+def best_rows(queries: np.ndarray, rows: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``query number, row number, score`` of every pair that may be among the ``k`` best of its query, a slice of queries at a time.
 
     A block product chooses, with a margin for rounding; what it chooses is scored exactly. Ties at the cut stay in.
     """
-    found = []
     long = np.linalg.norm(rows, axis=1)
     for at in range(0, len(queries), QUERY_SLICE):
         part = queries[at : at + QUERY_SLICE]
@@ -69,47 +87,105 @@ def best_rows(queries: np.ndarray, rows: np.ndarray, k: int, metric: str) -> tup
         least = min(k, rough.shape[1])
         kth = np.partition(rough, -least, axis=1)[:, -least][:, None]
         q, r = np.nonzero(rough >= kth - 1e-9 * scale)
-        found.append((q + at, r, _exact(part, rows, q, r, metric)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def top_k(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
+        yield q + at, r, _exact(part, rows, q, r, metric)
+
+
+def _first(group: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first ``k`` of their run of equal numbers."""
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, int)
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group)))) < k
+
+
+class Best:
+    """The ``k`` best rows of each query, as blocks of the gallery pass by; ties go to the smaller id."""
+
+    def __init__(self, ids: pa.Array, matrix: np.ndarray, k: int, metric: str, skip_self: bool) -> None:
+        self.ids, self.matrix, self.k, self.metric, self.skip_self = ids.cast(pa.string()), matrix, k, metric, skip_self
+        self.held: pa.Table | None = None
+
+    def meet(self, names: pa.Array, rows: np.ndarray) -> None:
+        names = names.cast(pa.string())
+        by_name = np.empty(len(names), np.int64)
+        by_name[pc.sort_indices(names).to_numpy(zero_copy_only=False)] = np.arange(len(names))
+        own = pc.fill_null(pc.index_in(self.ids, names), -1).to_numpy(zero_copy_only=False) if self.skip_self else np.full(len(self.ids), -1)
+        repeated = self.skip_self and len(pc.unique(names)) < len(names)
+        sign = 1.0 if self.metric == "euclidean" else -1.0
+        parts = []
+        for q, r, score in best_rows(self.matrix, rows, self.k + 1, self.metric):  # one more, as a query may meet itself
+            other = r != own[q]
+            if repeated:
+                other = pc.not_equal(self.ids.take(pa.array(q)), names.take(pa.array(r))).to_numpy(zero_copy_only=False)
+            q, r, score = q[other], r[other], score[other]
+            order = np.lexsort((by_name[r], sign * score, q))
+            order = order[_first(q[order], self.k)]
+            parts.append(pa.table({"q": q[order], "name": names.take(pa.array(r[order])), "score": score[order], "key": sign * score[order]}))
+        found = pa.concat_tables(parts)
+        if self.held is not None:
+            found = pa.concat_tables([self.held, found])
+            found = found.take(pc.sort_indices(found, [("q", "ascending"), ("key", "ascending"), ("name", "ascending")]))
+            found = found.filter(pa.array(_first(found.column("q").to_numpy(), self.k)))
+        self.held = found
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            out = pa.table({"query_id": self.ids.take(self.held.column("q").combine_chunks()), "tile_id": self.held.column("name"), "score": self.held.column("score")})
+            yield from out.combine_chunks().to_batches()
+
+
+def _meet_few(rows: DataFrame, held: list, k: int, metric: str, skip_self: bool) -> DataFrame:
+    """Best rows of each partition for queries that travel to it."""
+    ids = pa.array([r.query_id for r in held], pa.string())
+    matrix = checked_matrix(ids, pa.array([r.embedding for r in held], pa.list_(pa.float64())), metric, "query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(ids, matrix, k, metric, skip_self)
+        for batch in batches:
+            if batch.num_rows:
+                best.meet(batch.column("tile_id"), checked_matrix(batch.column("tile_id"), batch.column("embedding"), metric, "tile", matrix.shape[1]))
+        yield from best.batches()
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def _meet_many(rows: DataFrame, asked: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
+    """Best rows of each pair of a block of queries and a block of the gallery."""
+    parts, blocks = -(-rows.count() // GALLERY_BLOCK), -(-asked.count() // QUERY_BLOCK)
+    part, block = F.pmod(F.xxhash64("tile_id"), F.lit(max(1, parts))), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
+    left = rows.select(part.alias("part"), every(blocks).alias("block"), "tile_id", "embedding")
+    right = asked.select(every(parts).alias("part"), block.alias("block"), "query_id", "embedding")
+
+    def run(gallery: pa.Table, queries: pa.Table) -> pa.Table:
+        if not gallery.num_rows or not queries.num_rows:
+            return pa.table({"query_id": pa.array([], pa.string()), "tile_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        ids, names = queries.column("query_id").combine_chunks(), gallery.column("tile_id").combine_chunks()
+        matrix = checked_matrix(ids, queries.column("embedding").combine_chunks(), metric, "query")
+        best = Best(ids, matrix, k, metric, skip_self)
+        best.meet(names, checked_matrix(names, gallery.column("embedding").combine_chunks(), metric, "tile", matrix.shape[1]))
+        return pa.Table.from_batches(list(best.batches()))
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _FOUND)
+
+
+def top_k(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = True, strict: bool = False) -> DataFrame:
     """``query_id, rank, tile_id, score`` from ``gallery(tile_id, embedding)`` and ``queries(query_id, embedding)``.
 
     Best first (largest similarity or smallest distance), ties to the smaller ``tile_id``. Apply filters to ``gallery``
-    before the call: they reach its scan.
+    before the call: they reach its scan. A gallery of fewer than ``k`` rows gives them all, or under ``strict`` is an
+    error. Vectors that are null, not finite or of unlike length are errors, and zero vectors are under cosine.
     """
     if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    if isinstance(k, bool) or k < 1:
-        raise ValueError("k must be a positive integer")
-    spark = gallery.sparkSession
+        raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError(f"k must be a positive integer, not {k!r}")
+    if strict and (size := gallery.count()) < k:
+        raise ValueError(f"k must lie between 1 and the gallery's size ({size}), not {k}")
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    few = asked.limit(QUERY_BLOCK + 1).collect()
-    blocks = 1 if len(few) <= QUERY_BLOCK else -(-asked.count() // (QUERY_BLOCK // 2))
     rows = gallery.select(F.col("tile_id").cast("string").alias("tile_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sign = 1.0 if metric == "euclidean" else -1.0
-    found: DataFrame | None = None
-    for block in range(blocks):
-        held = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        ids = [r.query_id for r in held]
-        matrix = np.array([r.embedding for r in held], float).reshape(len(held), -1)
-
-        def best(batches: Iterator[pa.RecordBatch], ids: list[str] = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                names = batch.column("tile_id")
-                base = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
-                q, r, score = best_rows(matrix, base, k + 1, metric)  # one more, as a query may meet itself
-                asked_of, found_as = pa.array(ids, pa.string()).take(pa.array(q)), names.take(pa.array(r))
-                out = pa.RecordBatch.from_arrays([asked_of, found_as, pa.array(score)], ["query_id", "tile_id", "score"])
-                yield out.filter(pc.not_equal(asked_of, found_as)) if skip_self else out
-
-        one = rows.mapInArrow(best, "query_id string, tile_id string, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id string, rank int, tile_id string, score double")
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if not few:
+        return gallery.sparkSession.createDataFrame([], "query_id string, rank int, tile_id string, score double")
+    found = _meet_few(rows, few, k, metric, skip_self) if len(few) <= QUERY_BLOCK else _meet_many(rows, asked, k, metric, skip_self)
     by_score = F.col("score").asc() if metric == "euclidean" else F.col("score").desc()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by_score, "tile_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "tile_id", "score")
