@@ -74,9 +74,7 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True  # their strings are ordinary text
-        return found
+        return Tokenizer.from_file(path)
 
     slow = lambda text: plain().encode(text, add_special_tokens=False).ids
     ranked = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not said.get("normalizer")
@@ -85,11 +83,13 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
         return slow, size
     import tiktoken
 
-    letters, special = _byte_letters(), {x["content"] for x in said.get("added_tokens", [])}
+    letters, special = _byte_letters(), {x["content"]: x["id"] for x in said.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in word): k for word, k in ids.items() if word not in special}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(word in text for word in special):  # an added token's string in a text is that token
+            return slow(text)
         try:
             return fast.encode_ordinary(text)
         except BaseException as error:  # its splitter gives up on some very long runs
