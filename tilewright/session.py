@@ -13,6 +13,7 @@ def build_session(app: str = "tilewright", master: str | None = None, **conf: ob
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
     } | {k: str(v) for k, v in conf.items()}
     builder = SparkSession.builder.appName(app)
