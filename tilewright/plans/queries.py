@@ -507,4 +507,4 @@ def asset_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = sql.SQL
 
-from tilewright.plans import files, more  # noqa: E402, F401  register their queries here
+from tilewright.plans import files, more, wide  # noqa: E402, F401  register their queries here
