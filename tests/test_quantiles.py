@@ -37,3 +37,13 @@ def test_empty_and_refused(spark):
     with pytest.raises(ValueError, match="between 0 and 1"):
         quantiles.exact_quantiles(df, {"a": (1.5,)})
     assert quantiles.exact_quantiles(spark.range(10_001).select(F.col("id").alias("a")), {"a": (0.5, 0.25)}, few=10) == {"a": [5000.0, 2500.0]}
+
+
+def test_one_stream_is_in_order_whatever_the_layout(spark):
+    from tilewright.functions.order import one_stream
+
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), "id").repartition(7)
+    got = one_stream(df, F.col("a").desc(), "id")
+    assert got.rdd.getNumPartitions() == 1
+    rows = [(r.a, r.id) for r in got.collect()]
+    assert rows == sorted(rows, key=lambda r: (-r[0], r[1])) and len(rows) == 5000

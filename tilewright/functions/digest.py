@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.order import one_stream
+
 
 def ordered_digest(rows: DataFrame, line: Column, *order: Column) -> DataFrame:
     """``fingerprint``: SHA-256 over ``line`` of all rows in ``order``.
 
-    The digest of one long text is sequential by its definition. Lines are sorted in ranges, and one task reads the
-    sorted ranges one after another as a stream; it holds a batch of lines, never all of them.
+    The digest of one long text is sequential by its definition: one task sorts the lines, on disk where they are many, and
+    reads them as a stream; it holds a batch of lines, never all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,5 +27,5 @@ def ordered_digest(rows: DataFrame, line: Column, *order: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["fingerprint"])
 
     keys = [o.alias(f"by{k}") for k, o in enumerate(order)]
-    lines = rows.select(line.cast("binary").alias("line"), *keys).orderBy(*[f"by{k}" for k in range(len(order))])
-    return lines.select("line").coalesce(1).mapInArrow(run, "fingerprint string")
+    lines = one_stream(rows.select(line.cast("binary").alias("line"), *keys), *[f"by{k}" for k in range(len(order))])
+    return lines.select("line").mapInArrow(run, "fingerprint string")

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from tilewright.scratch import materialize
 
 
+def one_stream(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` in ``order`` as one partition, for what is sequential by its definition.
+
+    They are sorted within that partition, on disk where they are many: partitions that were sorted one by one and then
+    coalesced come in no promised order.
+    """
+    return rows.repartition(1).sortWithinPartitions(*order)
+
+
 def placed_within(rows: DataFrame, group: Column, *order: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``place`` (from 1) and ``in_group`` (the group's size), in ``order`` within ``group``.
 

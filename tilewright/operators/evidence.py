@@ -142,13 +142,15 @@ def _descriptor(rows: DataFrame, tile: Column) -> DataFrame:
 
 
 def spectral_evidence(
-    ask: request.Request, scenes: DataFrame, maps: DataFrame, *cell: str, ring: DataFrame | None = None, every: DataFrame | None = None, most_days: int = MOST_DAYS, bins: int = BINS
+    ask: request.Request, scenes: DataFrame, maps: DataFrame, *cell: str, ring: DataFrame | None = None, every: DataFrame | None = None, most_days: int = MOST_DAYS, bins: int = BINS,
+    tie_places: int | None = None,
 ) -> Evidence:
     """Scenes or pairs ranked by index evidence.
 
     ``scenes(tile_id, sequence_id, timestamp, bbox, latitude, longitude, labels)`` are the searchable ones, ``every`` all
     available ones (``scenes``, if None): an example pair must be consecutive among these. ``maps`` are index maps by
-    ``tile_id`` and ``cell``. Pairs are made before filters, which look at the later scene only.
+    ``tile_id`` and ``cell``. Pairs are made before filters, which look at the later scene only. Ranks go by the whole
+    cosine, or with ``tie_places`` by so many places of it, so that sums in another order give the same ranks.
     """
     query, k = ask.query, ask.k
     if query.intent not in SPECTRAL_INTENTS or query.unsupported_conditions:
@@ -167,7 +169,7 @@ def spectral_evidence(
         if not before:
             raise ValueError("scene similarity needs an example tile")
         inside = _other_sequences(inside.where(F.col("tile_id") != before), _sequence_of(every, before))
-        scored = _alike(maps, ("tile_id",), F.col("tile_id") == before, -1.0, 1.0, bins, "the example has no valid MNDWI pixels")
+        scored = _alike(maps, ("tile_id",), F.col("tile_id") == before, -1.0, 1.0, bins, "the example has no valid MNDWI pixels", tie_places)
         return _found(inside.join(scored, "tile_id"), k, True, HISTOGRAM, COSINE)
     pairs = spectral.temporal_pairs(scenes, most_days)
     if query.intent == "spectral_change_similarity":
@@ -181,7 +183,7 @@ def spectral_evidence(
     later = matching(query, ring, scenes, False).withColumnRenamed("tile_id", "after_id").drop("sequence_id")
     if query.intent == "spectral_change_similarity":
         chosen = (F.col("before_id") == before) & (F.col("after_id") == after)
-        scored = _alike(changes, ("before_id", "after_id"), chosen, -2.0, 2.0, bins, "the example pair has no shared valid MNDWI pixels").where(~chosen)
+        scored = _alike(changes, ("before_id", "after_id"), chosen, -2.0, 2.0, bins, "the example pair has no shared valid MNDWI pixels", tie_places).where(~chosen)
         method, measure, down = CHANGE_HISTOGRAM, COSINE, True
     else:
         summed = spectral.summaries(changes.select("before_id", "after_id", F.col("mndwi").alias("value")), "before_id", "after_id")
@@ -191,7 +193,7 @@ def spectral_evidence(
     return _found(met, k, down, method, measure)
 
 
-def _alike(maps: DataFrame, keys: tuple[str, ...], chosen: Column, low: float, high: float, bins: int, said: str) -> DataFrame:
+def _alike(maps: DataFrame, keys: tuple[str, ...], chosen: Column, low: float, high: float, bins: int, said: str, places: int | None) -> DataFrame:
     """``keys, score``: cosine of each key's descriptor to the chosen one's; keys without valid MNDWI or mass take no part."""
     rows = spectral.histograms(spectral.long_maps(maps, *keys), low, high, bins, *keys)
     valid = maps.groupBy(*keys).agg(F.count("mndwi").alias("valid_pixels")).where("valid_pixels > 0").select(*keys)
@@ -200,4 +202,5 @@ def _alike(maps: DataFrame, keys: tuple[str, ...], chosen: Column, low: float, h
     if one.isEmpty():
         raise ValueError(said)
     scored = rows.where(~chosen).crossJoin(F.broadcast(one.limit(1)))  # one descriptor
-    return scored.select(*keys, F.round(vectors.cosine(F.col("descriptor"), F.col("example")), 9).alias("score"))
+    score = vectors.cosine(F.col("descriptor"), F.col("example"))
+    return scored.select(*keys, (score if places is None else F.round(score, places)).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.digest import ordered_digest
-from tilewright.functions.order import placed_within
+from tilewright.functions.order import one_stream, placed_within
 
 SPLITS = ("train", "validation", "test")
 
@@ -54,8 +54,8 @@ def group_assignments(sizes: DataFrame, fractions: tuple[float, float, float], s
 
     name = F.col("group_id").cast("string")
     keyed = sizes.select(name.alias("group_id"), F.col("n").cast("long").alias("n"), stable_key(seed, F.col("group_id")).alias("key"))
-    in_order = keyed.orderBy(F.col("n").desc(), "key", "group_id").select("group_id", "n")
-    return in_order.coalesce(1).mapInArrow(fold, "group_id string, split string")
+    in_order = one_stream(keyed, F.col("n").desc(), "key", "group_id").select("group_id", "n")
+    return in_order.mapInArrow(fold, "group_id string, split string")
 
 
 def grouped(rows: DataFrame, fractions: tuple[float, float, float], seed: int) -> DataFrame:

@@ -108,7 +108,7 @@ def evidence_scene_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes, maps = _scene_maps(spark, sf_dir)
     example = maps.where("mndwi IS NOT NULL").agg(F.min("tile_id").alias("t")).first().t
     ask = request.Request(_ask("spectral_scene_similarity"), k=20, before_example_tile_id=example)
-    found = evidence.spectral_evidence(ask, scenes, maps, "row", ring=_ring(spark))
+    found = evidence.spectral_evidence(ask, scenes, maps, "row", ring=_ring(spark), tie_places=9)
     return rounded(evidence.scene_result(found.results, "cosine").select(*_SHOWN))
 
 
@@ -144,7 +144,7 @@ def evidence_change_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     if first is None or first.p is None:
         return rounded(_water_change(spark, sf_dir, "spectral_water_increase").limit(0))
     ask = request.Request(_ask("spectral_change_similarity"), k=20, before_example_tile_id=first.p.before_id, after_example_tile_id=first.p.after_id)
-    found = evidence.spectral_evidence(ask, scenes, maps, "row", ring=_ring(spark))
+    found = evidence.spectral_evidence(ask, scenes, maps, "row", ring=_ring(spark), tie_places=9)
     return rounded(evidence.pair_result(found.results, "cosine of changes").select(*_PAIR_SHOWN))
 
 
