@@ -159,17 +159,71 @@ def test_caches_are_reused_only_under_their_manifest(spark, tmp_path):
     assert not catalog.reuse_or_build(spark, str(tmp_path / "c"), {"f": 2}, build)[1] and len(calls) == 2
 
 
+def test_a_write_that_broke_off_can_be_run_again(spark, tmp_path, monkeypatch):
+    """A failure at each step of a write: what was there stays readable, and the same write then succeeds."""
+    rows = spark.createDataFrame([("a", "x/a.tif"), ("b", "x/b.tif")], "tile_id string, relative_path string")
+    about = {"dataset": "d", "source_fingerprint": "f", "bands": ["B01"], "expected_shape": [1, 2, 2]}
+    good = spark.createDataFrame([("a", 0, "train", [1.0, 0.0])], "tile_id string, row long, split string, embedding array<double>")
+    broken = rows.withColumn("relative_path", F.raise_error(F.lit("a lost disk")).cast("string"))
+    where = lambda name: str(tmp_path / name)
+    with pytest.raises(Exception, match="a lost disk"):
+        catalog.write_catalog(broken, where("c"), about)
+    real, calls = catalog.commits.commit_text, []
+
+    def failing(*args, **kwargs):
+        calls.append(args[1])
+        raise OSError("the driver went away")
+
+    monkeypatch.setattr(catalog.commits, "commit_text", failing)
+    for write in (lambda: catalog.write_catalog(rows, where("c"), about), lambda: catalog.write_embeddings(good, where("e")), lambda: catalog.reuse_or_build(spark, where("r"), {"f": 1}, lambda: spark.range(3))):
+        with pytest.raises(OSError):
+            write()
+    monkeypatch.setattr(catalog.commits, "commit_text", real)
+    assert len(calls) == 3
+    catalog.write_catalog(rows, where("c"), about)
+    catalog.write_embeddings(good, where("e"))
+    assert catalog.read_catalog(spark, where("c"), about).count() == 2 and catalog.read_embeddings(spark, where("e")).count() == 1
+    kept, reused = catalog.reuse_or_build(spark, where("r"), {"f": 1}, lambda: spark.range(3))
+    assert not reused and kept.count() == 3
+    monkeypatch.setattr(catalog.commits, "commit_text", failing)
+    with pytest.raises(OSError):  # new rows of the same number are there, but the old manifest does not name them
+        catalog.reuse_or_build(spark, where("r"), {"f": 2}, lambda: spark.range(10, 13))
+    monkeypatch.setattr(catalog.commits, "commit_text", real)
+    again, reused = catalog.reuse_or_build(spark, where("r"), {"f": 1}, lambda: spark.range(3))
+    assert reused and sorted(r.id for r in again.collect()) == [0, 1, 2]
+    for f in (2, 3):
+        catalog.reuse_or_build(spark, where("r"), {"f": f}, lambda f=f: spark.range(f))
+    assert len(catalog.commits.folders(spark, where("r"), "rows-")) == 2 and kept.schema == again.schema
+    with pytest.raises(ValueError, match="already exists"):
+        catalog.write_embeddings(good, where("e"))
+
+
+def test_a_batch_of_judgments_that_broke_off_is_not_read(spark, tmp_path):
+    judged = spark.createDataFrame([("q", 1, "a", "relevant")], "query_id string, rank int, tile_id string, judgment string")
+    name = sinks.append_judgments(judged, str(tmp_path / "j"))
+    sinks.append_judgments(judged.withColumn("rank", F.lit(2)), str(tmp_path / "j"), "two")
+    os.remove(tmp_path / "j" / "batch-two" / "_SUCCESS")
+    assert [r["rank"] for r in readers.read_judgments(spark, str(tmp_path / "j")).collect()] == [1]
+    sinks.append_judgments(judged.withColumn("rank", F.lit(2)), str(tmp_path / "j"), "two")
+    assert sorted(r["rank"] for r in readers.read_judgments(spark, str(tmp_path / "j")).collect()) == [1, 2] and len(name) == 16
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("q", 1, "a", 0.5, ["x", "y"])], "query_id string, rank int, tile_id string, score double, labels array<string>")
     sinks.write_csv(rows, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first().labels == '["x","y"]'
     folder = sinks.write_search(rows, str(tmp_path), "a query", "cosine", 5)
     assert os.path.basename(folder) == hashlib.sha256(b"a query").hexdigest()[:12] + "_cosine_top5"
-    for _ in range(2):
-        sinks.append_judgments(rows.select("query_id", "rank", "tile_id"), str(tmp_path / "judged"))
-    assert spark.read.json(str(tmp_path / "judged")).count() == 2
-    with pytest.raises(ValueError):
+    judged = spark.createDataFrame([("q", 1, "a", "relevant")], "query_id string, rank int, tile_id string, judgment string")
+    for _ in range(2):  # a repeated append adds nothing
+        sinks.append_judgments(judged, str(tmp_path / "judged"))
+    assert readers.read_judgments(spark, str(tmp_path / "judged")).count() == 1
+    sinks.append_judgments(judged, str(tmp_path / "judged"), "again")
+    with pytest.raises(ValueError, match="repeat a key"):
         readers.read_judgments(spark, str(tmp_path / "judged"))
+    sinks.append_judgments(judged.select("query_id", "rank", "tile_id"), str(tmp_path / "undecided"))
+    with pytest.raises(ValueError, match="unknown decision"):
+        readers.read_judgments(spark, str(tmp_path / "undecided"))
     places = spark.createDataFrame([("b", "B"), ("a", "A")], "place_id string, name string")
     sinks.write_gazetteer(places, str(tmp_path / "places"))
     assert [r.place_id for r in spark.read.json(str(tmp_path / "places")).collect()] == ["a", "b"]

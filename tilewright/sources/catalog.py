@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.digest import ordered_digest
+from tilewright.scratch import remove_path
+from tilewright.sources import commits
 
 SCHEMA_VERSION = 1
 # The band order of twelve-band scenes.
@@ -125,20 +127,23 @@ def stem_roles(files: DataFrame, required: tuple[str, ...], optional: tuple[str,
 
 
 def write_catalog(records: DataFrame, path: str, about: dict[str, object]) -> None:
-    """Tile records as Parquet with a header beside them; the header, written last, is what makes the catalog complete.
+    """Tile records as Parquet with a header beside them; the header, written last and at once, is what makes the catalog.
 
-    ``about`` holds dataset, source_fingerprint, bands and expected_shape. Paths must be relative and safe.
+    ``about`` holds dataset, source_fingerprint, bands and expected_shape. Paths must be relative and safe. An existing
+    catalog is an error; what a write that broke off left behind is not.
     """
     spark = records.sparkSession
     safe = records.withColumn("relative_path", safe_path(F.col("relative_path")))
-    safe.write.mode("errorifexists").parquet(f"{path}/records")
-    header = {"type": "catalog", "schema_version": SCHEMA_VERSION, "tile_count": spark.read.parquet(f"{path}/records").count(), **about}
-    spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/header")
+    if commits.exists(spark, f"{path}/header"):
+        raise ValueError(f"{path}/header already exists")
+    folder = commits.write_rows(safe, path, "records")
+    header = {"type": "catalog", "schema_version": SCHEMA_VERSION, "records": folder, "tile_count": spark.read.parquet(f"{path}/{folder}").count(), **about}
+    commits.commit_text(spark, f"{path}/header", json.dumps(header, sort_keys=True))
 
 
 def read_catalog(spark: SparkSession, path: str, about: dict[str, object]) -> DataFrame:
     """The records of a catalog whose header agrees with ``about``; paths are checked again."""
-    header = json.loads(spark.read.text(f"{path}/header").first().value)
+    header = commits.read_named(spark, f"{path}/header")
     if header.get("type") != "catalog" or header.get("schema_version") != SCHEMA_VERSION:
         raise ValueError("not a catalog of this version")
     if header.get("dataset") != about.get("dataset"):
@@ -146,26 +151,34 @@ def read_catalog(spark: SparkSession, path: str, about: dict[str, object]) -> Da
     for name, value in about.items():
         if header.get(name) != json.loads(json.dumps(value)):
             raise StaleCatalog(f"{name} differs from the catalog's")
-    rows = spark.read.parquet(f"{path}/records")
+    rows = spark.read.parquet(f"{path}/{header['records']}")
     if rows.count() != header["tile_count"]:
         raise ValueError("the catalog's records are not as many as its header says")
     return rows.withColumn("relative_path", safe_path(F.col("relative_path")))
 
 
 def reuse_or_build(spark: SparkSession, path: str, about: dict[str, object], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """The table cached under ``path`` if its manifest equals ``about`` and its rows are whole, else built anew; and whether it was there."""
+    """The table cached under ``path`` if its manifest equals ``about`` and its rows are whole, else built anew; and whether it was there.
+
+    A build has a folder of its own, which the manifest names; the manifest is swapped last. The build before stays for
+    those who still read it, earlier ones go.
+    """
     wanted = json.loads(json.dumps({"schema_version": SCHEMA_VERSION, **about}, sort_keys=True))
-    try:
-        manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
-        rows = spark.read.parquet(f"{path}/rows")
-        if manifest == {**wanted, "count": rows.count()}:
-            return rows, True
-    except (AnalysisException, ValueError, AttributeError):
-        pass  # nothing there, or nothing that can be read: build
-    build().write.mode("overwrite").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    manifest = json.dumps({**wanted, "count": rows.count()}, sort_keys=True)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    manifest = commits.current(spark, f"{path}/manifest") or {}
+    before = manifest.get("rows")
+    if manifest == {**wanted, "rows": before, "count": manifest.get("count")}:
+        try:
+            rows = spark.read.parquet(f"{path}/{before}")
+            if rows.count() == manifest["count"]:
+                return rows, True
+        except AnalysisException:
+            pass  # the rows are gone: build
+    folder = commits.write_rows(build(), path, "rows")
+    rows = spark.read.parquet(f"{path}/{folder}")
+    commits.commit_text(spark, f"{path}/manifest", json.dumps({**wanted, "rows": folder, "count": rows.count()}, sort_keys=True), overwrite=True)
+    for old in commits.folders(spark, path, "rows-"):
+        if old not in (folder, before):
+            remove_path(spark, f"{path}/{old}")
     return rows, False
 
 
@@ -246,18 +259,23 @@ def write_embeddings(rows: DataFrame, path: str, **about: object) -> None:
     Rows are written once and checked as they lie there; only then does the manifest make them an artifact.
     """
     spark = rows.sparkSession
-    rows.write.mode("errorifexists").parquet(f"{path}/rows")
-    count = check_embeddings(spark.read.parquet(f"{path}/rows"))
-    manifest = json.dumps({"schema_version": SCHEMA_VERSION, "count": count, **about}, sort_keys=True)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    if commits.exists(spark, f"{path}/manifest"):
+        raise ValueError(f"{path}/manifest already exists")
+    folder = commits.write_rows(rows, path, "rows")
+    try:
+        count = check_embeddings(spark.read.parquet(f"{path}/{folder}"))
+    except ValueError:
+        remove_path(spark, f"{path}/{folder}")
+        raise
+    commits.commit_text(spark, f"{path}/manifest", json.dumps({"schema_version": SCHEMA_VERSION, "count": count, "rows": folder, **about}, sort_keys=True))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """A written artifact, in order of ``row`` where it has one; raises when manifest and rows disagree or rows are not sound."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    manifest = commits.read_named(spark, f"{path}/manifest")
     if manifest.get("schema_version") != SCHEMA_VERSION:
         raise ValueError("the artifact has another schema version")
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/{manifest['rows']}")
     if check_embeddings(rows) != manifest["count"]:
         raise ValueError("the artifact's rows are not as many as its manifest says")
     return rows.orderBy("row") if "row" in rows.columns else rows

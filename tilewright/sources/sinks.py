@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.sources.commits import exists
 from tilewright.sources.readers import result_folder
 
 
@@ -62,9 +63,19 @@ def audit_rows(ranked: DataFrame, queries: DataFrame, labels: DataFrame, depth:
     return met.select("query_id", "query_text", "target_label", "rank", "tile_id", F.format_string("%.7f", "score").alias("score"), joined.alias("labels"))
 
 
-def append_judgments(rows: DataFrame, path: str) -> None:
-    """Judgments added to those under ``path`` as JSON lines; what is there is never rewritten."""
-    rows.write.mode("append").json(path)
+def append_judgments(rows: DataFrame, path: str, batch: str | None = None) -> str:
+    """Judgments added to those under ``path`` as JSON lines, as a batch that counts once; gives its name.
+
+    A batch is named by its content, if not by ``batch``. One that is there whole is left alone, one that broke off is
+    written anew, others are never touched: a repeated append adds nothing.
+    """
+    if batch is None:
+        known = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("x"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("s")).first()
+        batch = hashlib.sha256(f"{known.n}:{known.x}:{known.s}".encode()).hexdigest()[:16]
+    folder = f"{path}/batch-{batch}"
+    if not exists(rows.sparkSession, f"{folder}/_SUCCESS"):
+        rows.write.mode("overwrite").json(folder)
+    return batch
 
 
 def write_spectral_audit(measurements: DataFrame, sample: DataFrame, assets: DataFrame, summary: dict[str, object], path: str) -> None:
