@@ -210,6 +210,33 @@ def test_bootstrap(spark):
     assert got.map_high == pytest.approx(np.quantile(draws[:, 1], 0.975))
 
 
+def test_deltas_intervals_and_macro_in_one_report(spark):
+    r = random.Random(14)
+    kind = "category string, query_id string, recall_at_k double, ap_at_k double"
+    first = [(c, f"q{k}", r.random(), r.random()) for c in "xy" for k in range(30)]
+    second = [(c, q, a + r.random(), b - r.random()) for c, q, a, b in first if q != "q3"] + [("z", "q1", 0.5, 0.5)]
+    fields = [(f"q{k}", f"f{k % 7}") for k in range(30)]
+    one, two, of = spark.createDataFrame(first, kind), spark.createDataFrame(second, kind), spark.createDataFrame(fields, "query_id string, field_id string")
+    got = {x.category: x for x in bootstrap.field_deltas(one, two, of, 300, 9).collect()}
+    assert set(got) == {"x", "y", None} and got[None].macro and got[None].fields is None
+    before = {(c, q): (a, b) for c, q, a, b in first}
+    for c in "xy":
+        deltas = [(a - before[c, q][0], b - before[c, q][1], dict(fields)[q]) for k, q, a, b in second if k == c]
+        sums, counts = np.zeros((7, 2)), np.zeros(7, np.int64)
+        for a, b, f in deltas:
+            sums[int(f[1])] += (a, b)
+            counts[int(f[1])] += 1
+        draws = bootstrap.resampled(sums, counts, 300, 9)
+        want = (len(deltas), np.mean([d[0] for d in deltas]), np.mean([d[1] for d in deltas]), 7, *np.quantile(draws[:, 0], (0.025, 0.975)), *np.quantile(draws[:, 1], (0.025, 0.975)))
+        assert tuple(got[c])[2:] == pytest.approx(want)
+    assert got[None].recall_delta == pytest.approx((got["x"].recall_delta + got["y"].recall_delta) / 2) and got[None].paired_query_count == 58
+    bare = bootstrap.field_deltas(one, two, of, 0).collect()
+    assert len(bare) == 3 and all(x.map_low is None for x in bare)
+    assert bootstrap.field_deltas(one.limit(0), two, of, 10).count() == 0
+    with pytest.raises(Exception, match="no field for the query q29"):
+        bootstrap.field_deltas(one, two, of.where("query_id <> 'q29'"), 10).collect()
+
+
 def test_d4(spark):
     plane = np.arange(16).reshape(4, 4)
     df = spark.createDataFrame([("t", r, c, int(plane[r, c])) for r in range(4) for c in range(4)], "tile_id string, row int, col int, v int")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators import spatial
+from tilewright.operators import bootstrap, spatial
 from tilewright.operators.quantiles import exact_quantiles
 from tilewright.plans.more import said
-from tilewright.plans.queries import rounded
+from tilewright.plans.queries import _delta_rows, rounded
+from tilewright.plans.sql import SQL
 from tilewright.plans.tables import table
 
 SHARES = (0.0, 0.02, 0.25, 0.5, 0.9, 0.98, 1.0)
@@ -48,3 +49,18 @@ def boxes_by_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("polygon_id"), rings.alias("rings"))
     met = spatial.boxes_in_polygons(boxes, polygons)
     return rounded(met.groupBy("polygon_id").agg(F.count("*").alias("boxes"), F.sum("box_id").alias("keys")))
+
+
+_DELTAS = SQL["paired_metric_delta"]
+
+
+@said(f"""WITH d AS ({_DELTAS}) SELECT false AS macro, CAST(category AS VARCHAR) AS category, paired_query_count, recall_delta, map_delta, true AS held FROM d
+UNION ALL SELECT true, NULL, CAST(sum(paired_query_count) AS BIGINT), round(avg(recall_delta), 5), round(avg(map_delta), 5), NULL FROM d HAVING count(*) > 0""")
+def paired_delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas by category with their intervals and the macro mean in one result; ``held`` tells that an interval holds its delta."""
+    first, second = _delta_rows(spark, sf_dir)
+    fields = first.select("query_id", F.concat(F.lit("f"), F.floor(F.col("query_id").cast("long") / 50).cast("string")).alias("field_id")).distinct()
+    found = bootstrap.field_deltas(first, second, fields)
+    held = F.col("recall_delta").between(F.col("recall_low") - 1e-9, F.col("recall_high") + 1e-9) & F.col("map_delta").between(F.col("map_low") - 1e-9, F.col("map_high") + 1e-9)
+    shown = found.select("macro", "category", "paired_query_count", "recall_delta", "map_delta", held.alias("held"))
+    return rounded(shown.withColumns({c: F.when(F.col("macro"), F.round(c, 5)).otherwise(F.col(c)) for c in ("recall_delta", "map_delta")}))
