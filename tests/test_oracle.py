@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -52,6 +54,15 @@ def test_every_query_is_held_against_something():
         assert f"def {name}(" in open(os.path.join(here, file)).read(), where
 
 
+@pytest.mark.parametrize("module", ["queries", "more", "files", "wide", "registry"])
+def test_modules_of_queries_can_be_imported_in_any_order(module):
+    """A worker imports the module of the function it runs first; all queries are registered whichever that is."""
+    said = f"import tilewright.plans.{module}; from tilewright.plans import queries; print(len(queries.QUERIES))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", said], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split()[-1:] == [str(len(plans.QUERIES))], done.stderr
+
+
 @pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_matches_sql(spark, con, name):
     got = plans.QUERIES[name](spark, SF).toPandas()

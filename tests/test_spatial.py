@@ -108,3 +108,17 @@ def test_holes_parts_and_repair(spark):
     odd = right.where("polygon_id = 1").select("polygon_id", F.array(F.lit(None).cast("array<struct<x:double,y:double>>"), F.concat(F.get("rings", F.lit(0)), F.array(F.struct(F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("y"))))).alias("rings"))
     assert sorted(r.box_id for r in spatial.boxes_in_polygons(left, odd).collect()) == [1, 2, 3, 5, 6]
     assert spatial.boxes_in_polygons(left.limit(0), right).count() == 0 and spatial.boxes_in_polygons(left, right.limit(0)).count() == 0
+
+
+def test_scenes_inside_a_place_of_parts_and_holes(spark, boxes, shapes):
+    """The evidence path's filter takes a place of several rings; scenes without a box are outside."""
+    from tilewright.operators import evidence, request
+
+    _, places = frames(spark, boxes, shapes)
+    scenes = spark.createDataFrame([(str(k), None, list(b) if b else None) for k, b in boxes], "tile_id string, timestamp timestamp, bbox array<double>")
+    query = request.Query("flood", "x", place_name="p", place_level="country", resolved_place_id="p")
+    for k in (0, 3, 12, 20):
+        found = evidence.matching(query, places.where(F.col("polygon_id") == k).select("rings"), scenes, True)
+        assert found.columns == scenes.columns
+        want = sorted(i for i, b in boxes if any(slow_meets(shapes[k][1], p) for p in pieces(b)))
+        assert sorted(int(r.tile_id) for r in found.collect()) == want

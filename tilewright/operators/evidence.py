@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import vectors
-from tilewright.operators import request, search, spectral
+from tilewright.operators import request, search, spatial, spectral
 from tilewright.scratch import materialize
 
 # What results say of themselves.
@@ -41,13 +41,18 @@ class Evidence:
 def matching(query: request.Query, ring: DataFrame | None, scenes: DataFrame, null_passes: bool) -> DataFrame:
     """``scenes(tile_id, timestamp, bbox, ...)`` inside the query's dates and place.
 
-    ``ring(ring)`` is one row, the resolved place's outline. A scene without a box fails against a place, one without a
-    time against a bound; on the spectral path (``null_passes`` false) it fails always.
+    ``ring(ring)`` is one row, the resolved place's outline, or ``ring(rings)`` one of several parts and holes, in any state
+    of repair. A scene without a box fails against a place, one without a time against a bound; on the spectral path
+    (``null_passes`` false) it fails always.
     """
     found = scenes.where(request.within_dates(F.col("timestamp"), query.start_date, query.end_date, null_passes))
     if ring is None:
         return found
     west, south, east, north = (F.get("bbox", k) for k in range(4))
+    if "rings" in ring.columns:
+        edges = ring.limit(1).select(spatial.edges_of(spatial.repaired(F.col("rings"))).alias("_edges"))  # one place
+        near = found.where(F.size("bbox") >= 4).join(F.broadcast(edges))
+        return near.where(spatial.edges_meet_bounds(F.col("_edges"), west, south, east, north)).drop("_edges")
     near = found.where(F.size("bbox") >= 4).join(F.broadcast(ring.limit(1)))  # one outline
     return near.where(request.ring_meets_bounds(F.col("ring"), west, south, east, north)).drop("ring")
 

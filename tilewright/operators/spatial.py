@@ -68,6 +68,12 @@ def edges_meet_box(edges: Column, west: Column, south: Column, east: Column, nor
     return near | (F.size(F.filter(edges, passes)) % 2 == 1)
 
 
+def edges_meet_bounds(edges: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """``edges_meet_box`` for bounds that may cross the antimeridian (west beyond east): two boxes then."""
+    split = edges_meet_box(edges, west, south, F.lit(180.0), north) | edges_meet_box(edges, F.lit(-180.0), south, east, north)
+    return F.when(west > east, split).otherwise(edges_meet_box(edges, west, south, east, north))
+
+
 def plain_boxes(rows: DataFrame, box: Column, *keys: str) -> DataFrame:
     """``keys`` and ``west, south, east, north``: boxes that cross the antimeridian as two; a null or upside-down box is none."""
     west, south, east, north = (F.get(box, k).cast("double") for k in range(4))

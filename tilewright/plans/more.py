@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,23 +13,14 @@ from tilewright.functions.digest import ordered_digest
 from tilewright.functions.order import placed_within
 from tilewright.operators import augment, encoders, evaluation, evidence, raster, request, search, spectral, splits, statistics, views
 from tilewright.plans import sql as base
-from tilewright.plans.queries import FRACTIONS, _customers, _delta_rows, _grid, _top, query, rounded
+from tilewright.plans.queries import FRACTIONS, _customers, _delta_rows, _grid, _top, rounded
+from tilewright.plans.registry import query, said
 from tilewright.plans.sql import SQL
 from tilewright.plans.tables import documents, embedding_scenes, gallery, pixels, scene_tables, table
 from tilewright.scratch import fresh_path
 from tilewright.sources import catalog, readers, sinks
 
 
-def said(text: str) -> Callable:
-    """Registers a query under its SQL."""
-
-    def keep(f: Callable) -> Callable:
-        SQL[f.__name__] = text
-        return query(f)
-
-    return keep
-
-
 # Evidence ------------------------------------------------------------------------------------------------------------
 
 START, END = dt.date(1996, 1, 1), dt.date(1999, 12, 31)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,18 +10,12 @@ from pyspark.sql import functions as F
 from tilewright.functions import vectors
 from tilewright.operators import bootstrap, evaluation, raster, request, search, spectral, splits, statistics
 from tilewright.plans import sql
+from tilewright.plans.registry import QUERIES, query
 from tilewright.plans.tables import asked, documents, gallery, pixels, places, scenes, table
 from tilewright.sources import catalog, readers
 
-Query = Callable[[SparkSession, str], DataFrame]
 FRACTIONS = (0.8, 0.1, 0.1)
 INDICES = list(spectral.INDEX_BANDS)
-QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
 
 
 def r6(column: Column | str) -> Column:

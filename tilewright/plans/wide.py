@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import bootstrap, spatial
 from tilewright.operators.quantiles import exact_quantiles
-from tilewright.plans.more import said
 from tilewright.plans.queries import _delta_rows, rounded
+from tilewright.plans.registry import said
 from tilewright.plans.sql import SQL
 from tilewright.plans.tables import table
 
