@@ -25,7 +25,7 @@ def view_draws(tiles: DataFrame, seed: int, epoch: int, fixed_views: bool = Fals
     The draw is that of the standard library's generator under the view's seed, so it is made in Arrow batches.
     """
     if epoch < 0:
-        raise ValueError("epochs count from 0")
+        raise ValueError(f"epochs count from 0, not from {epoch}")
     at = F.lit(0 if fixed_views else epoch)
     views = tiles.select("tile_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("view"))
     seeded = views.select("tile_id", "view", view_seed(seed, at, F.col("tile_id"), F.col("view")).cast("string").alias("seed"))

@@ -182,7 +182,7 @@ def spectral_evidence(
             raise ValueError("change similarity needs two example tiles")
         example = spectral.temporal_pairs(every, most_days).where((F.col("before_id") == before) & (F.col("after_id") == after))
         if example.isEmpty():
-            raise ValueError(f"the examples are no pair: neighbours in one sequence, at most {most_days} days apart, are")
+            raise ValueError(f"before_example_tile_id {before!r} and after_example_tile_id {after!r} are no pair of neighbours in one sequence, at most {most_days} days apart")
         pairs = _other_sequences(pairs, _sequence_of(every, before)).unionByName(example)
     changes = spectral.change_maps(pairs, maps, *cell)
     later = matching(query, ring, scenes, False).withColumnRenamed("tile_id", "after_id").drop("sequence_id")

@@ -42,19 +42,19 @@ class Query:
 
     def __post_init__(self) -> None:
         for ok, said in (
-            (self.intent in INTENTS, f"intent must be one of {INTENTS}"),
-            (self.requested_modality in MODALITIES, f"requested_modality must be one of {MODALITIES}"),
-            (self.place_level in (None, *LEVELS), f"place_level must be one of {LEVELS}"),
-            (not (self.start_date and self.end_date and self.end_date < self.start_date), "the last day lies before the first"),
-            ((self.place_name is None) == (self.place_level is None), "a place needs its name and its level, both or neither"),
-            (not self.place_country or self.place_level == "admin1", "a country is given only with an admin1 place"),
-            (not self.resolved_place_id or self.place_name, "a resolved place needs a name"),
+            (self.intent in INTENTS, f"intent must be one of {INTENTS}, not {self.intent!r}"),
+            (self.requested_modality in MODALITIES, f"requested_modality must be one of {MODALITIES}, not {self.requested_modality!r}"),
+            (self.place_level in (None, *LEVELS), f"place_level must be one of {LEVELS}, not {self.place_level!r}"),
+            (not (self.start_date and self.end_date and self.end_date < self.start_date), f"end_date {self.end_date} lies before start_date {self.start_date}"),
+            ((self.place_name is None) == (self.place_level is None), f"place_name {self.place_name!r} and place_level {self.place_level!r} must both be given, or neither"),
+            (not self.place_country or self.place_level == "admin1", f"place_country {self.place_country!r} needs place_level admin1, not {self.place_level!r}"),
+            (not self.resolved_place_id or self.place_name, f"resolved_place_id {self.resolved_place_id!r} needs a place_name"),
         ):
             if not ok:
                 raise ValueError(said)
         for name, most in MOST.items():
             if len(getattr(self, name) or "") > most:
-                raise ValueError(f"{name} must not be longer than {most}")
+                raise ValueError(f"{name} must not be longer than {most} characters or items, and has {len(getattr(self, name))}")
 
     @classmethod
     def of(cls, values: dict) -> Query:
@@ -77,7 +77,7 @@ class Query:
         if self.intent == "visual_similarity" and not self.example_tile_id:
             raise ValueError("visual_similarity needs an example tile")
         if self.place_name and not self.resolved_place_id:
-            raise ValueError("the place has not been resolved")
+            raise ValueError(f"place_name {self.place_name!r} has no resolved_place_id")
 
     def require_modality(self, modality: str) -> None:
         """Raise if another modality than a run's is asked for."""
@@ -97,9 +97,9 @@ class Request:
 
     def __post_init__(self) -> None:
         if isinstance(self.k, bool) or not 1 <= self.k <= 30:
-            raise ValueError("k must lie between 1 and 30")
+            raise ValueError(f"k must lie between 1 and 30, not {self.k!r}")
         if self.run_id is not None and not 1 <= len(self.run_id) <= 160:
-            raise ValueError("run_id must have 1 to 160 characters")
+            raise ValueError(f"run_id must have 1 to 160 characters, not {len(self.run_id)}")
         for name in (self.before_example_tile_id, self.after_example_tile_id):
             if len(name or "") > 200:
                 raise ValueError("example ids must not be longer than 200")
@@ -108,7 +108,7 @@ class Request:
 def parse_text(text: str) -> str:
     """The text of a request to be parsed: 4 to 1000 characters."""
     if not 4 <= len(text) <= 1000:
-        raise ValueError("a query has 4 to 1000 characters")
+        raise ValueError(f"a query has 4 to 1000 characters, not {len(text)}")
     return text
 
 

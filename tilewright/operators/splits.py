@@ -73,9 +73,9 @@ def support_groups(groups: list[tuple[str, int]], labels: dict[str, set[str]], n
     ``groups`` are ``(id, rows)`` in first-seen order. Seeds are tried in turn until both sides show all ``needed`` labels.
     """
     if not 0.0 < fraction < 1.0:
-        raise ValueError("fraction must lie between zero and one")
+        raise ValueError(f"fraction must lie between zero and one, not {fraction}")
     if len(groups) < 2:
-        raise ValueError("at least two groups are required")
+        raise ValueError(f"at least two groups are required, not {len(groups)}")
     rows, target = dict(groups), round(sum(n for _, n in groups) * fraction)
     for at in range(seed, max(seed, 117) + 1):
         order = [g for g, _ in groups]
@@ -135,7 +135,7 @@ def rows_for_split(rows: DataFrame, splits: DataFrame, split: str, allow_extra:
     With ``allow_extra`` the assignments may name ids that ``rows`` lack, but not the other way round.
     """
     if split not in SPLITS:
-        raise ValueError(f"split must be one of {SPLITS}")
+        raise ValueError(f"split must be one of {SPLITS}, not {split!r}")
     require_known(rows, splits, "tile_id", "rows without an assignment")
     if not allow_extra:
         require_known(splits, rows, "tile_id", "assignments without a row")

@@ -85,7 +85,7 @@ def _check_together(s: dict[str, dict]) -> None:
     fractions = sum(split[f"{n}_fraction"] for n in ("train", "validation", "test"))
     for ok, said in (
         (len(data["bands"]) == data["expected_shape"][0], "dataset.bands and the first of dataset.expected_shape disagree"),
-        (abs(fractions - 1) <= 1e-9, "the three fractions do not add up to one"),
+        (abs(fractions - 1) <= 1e-9, f"train, validation and test fractions add up to {fractions}, not to one"),
         (0 <= view["lower_percentile"] < view["upper_percentile"] <= 100, "percentiles must rise between 0 and 100"),
         (all(len(c) == 3 and set(c) <= set(data["bands"]) for c in view["composites"].values()), "composites are made of three of dataset.bands"),
         (all(n % model["vit_patch_size"] == 0 for n in data["expected_shape"][1:]), "patches of model.vit_patch_size do not fill the image"),
