@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGIT = 12
-FEW = 4096
+FEW = 1 << 18  # two megabytes of doubles for a rank
 
 
 def ordered_bits(values: np.ndarray) -> np.ndarray:
