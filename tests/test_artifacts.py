@@ -396,3 +396,26 @@ def test_views(spark):
     assert pixels_of(views.change_views(pairs, maps, "ndvi", 2).first().png)[0].tolist() == [[0] * 4] * 2
     with pytest.raises(KeyError):
         views.index_views(maps, "other", 2)
+
+
+def test_exports_and_summaries_tell_of_time_sequence_sensor_and_bands(spark):
+    tiles = spark.createDataFrame([("a", "x", "2024-01-02 03:04:05", "s1"), ("b", "y", None, None)], "tile_id string, label string, timestamp string, sequence_id string")
+    tiles = tiles.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    ranked = spark.createDataFrame([("a", 1, "b", 0.123456789)], "query_id string, rank int, tile_id string, score double")
+    got = catalog.export_neighbours(ranked, tiles)
+    assert got.columns == ["query_id", "query_label", "rank", "tile_id", "neighbour_label", "score", "query_timestamp", "neighbour_timestamp", "query_sequence", "neighbour_sequence"]
+    assert tuple(got.first()) == ("a", "x", 1, "b", "y", "0.12345679", "2024-01-02T03:04:05", "", "s1", "")
+    assert catalog.export_neighbours(ranked, tiles.select("tile_id", "label")).columns[-1] == "score"
+    scenes = spark.createDataFrame([("available", None)], "asset_status string, timestamp timestamp")
+    row = statistics.dataset_summary(scenes, "a sensor", ("B01", "B02")).first()
+    assert (row.sensor, row.bands, row.catalog_scenes) == ("a sensor", ["B01", "B02"], 1) and "sensor" not in statistics.dataset_summary(scenes).columns
+
+
+def test_runs_tell_how_many_queries_they_asked(spark, tmp_path):
+    folder = tmp_path / "p" / "r1"
+    folder.mkdir(parents=True)
+    (folder / "result.json").write_text('{"architecture": "cnn", "modality": "rgb", "seed": 1, "gallery_count": 5, "test_query_count": 7}')
+    for name in readers.SIBLINGS:
+        (folder / name).write_bytes(b"x")
+    row = readers.read_runs(spark, str(tmp_path)).first()
+    assert (row.run_id, row.gallery_count, row.test_query_count) == ("p/r1", 5, 7)

@@ -117,14 +117,15 @@ def metadata_ranges(rows: DataFrame) -> DataFrame:
     return whole.crossJoin(F.broadcast(listed.select("distinct_crs_count", text.alias("crs_counts"))))
 
 
-def dataset_summary(scenes: DataFrame) -> DataFrame:
-    """Available and catalogued scenes of ``scenes(asset_status, timestamp)`` and the days they span."""
+def dataset_summary(scenes: DataFrame, sensor: str | None = None, bands: tuple[str, ...] = ()) -> DataFrame:
+    """Available and catalogued scenes of ``scenes(asset_status, timestamp)`` and the days they span, with ``sensor`` and ``bands`` where given."""
     there = F.col("asset_status") == "available"
     day = F.when(there, F.to_date("timestamp"))
+    about = {**({"sensor": F.lit(sensor)} if sensor else {}), **({"bands": F.array(*[F.lit(b) for b in bands])} if bands else {})}
     return scenes.agg(
         F.count_if(there).alias("available_scenes"), F.count("*").alias("catalog_scenes"),
         F.date_format(F.min(day), "yyyy-MM-dd").alias("date_start"), F.date_format(F.max(day), "yyyy-MM-dd").alias("date_end"),
-    )
+    ).withColumns(about)
 
 
 def middle_valid_pixels(maps: DataFrame) -> DataFrame:

@@ -87,11 +87,11 @@ def safe_path(path: Column) -> Column:
     return F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe path: "), path)).cast("string")).otherwise(path)
 
 
-def scene_catalog(sources: DataFrame, labels: DataFrame, files: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:
+def scene_catalog(sources: DataFrame, labels: DataFrame, files: DataFrame, bands: tuple[str, ...] = BANDS, dataset: str = "scene") -> DataFrame:
     """Scenes from paired source and label items: ids, time, place, flags, resolved assets and what is missing.
 
     ``files(path)`` lists what is there, relative to the root like the assets' paths (``folder`` of the source item and
-    the asset's ``href``). Sources and labels must pair one to one on sequence and date.
+    the asset's ``href``). Sources and labels must pair one to one on sequence and date. Ids begin with ``dataset``.
     """
     flags = labels.select("sequence_id", "date", F.col("properties").alias("said"))
     met = pair_items(sources.select("id", "bbox", "properties", "assets", "folder", "sequence_id", "date"), flags, "sequence_id", "date")
@@ -99,7 +99,7 @@ def scene_catalog(sources: DataFrame, labels: DataFrame, files: DataFrame, bands
     href = lambda b: safe_path(F.concat(F.col("folder"), F.lit("/"), F.try_element_at("assets", F.lit(b))["href"]))
     listed = F.array(*[F.struct(F.lit(b).alias("band"), href(b).alias("path")) for b in bands])
     scenes = met.select(
-        F.concat_ws(":", F.lit("scene"), "sequence_id", "date").alias("tile_id"), "sequence_id", "bbox",
+        F.concat_ws(":", F.lit(dataset), "sequence_id", "date").alias("tile_id"), "sequence_id", "bbox",
         parsed_time(F.try_element_at("properties", F.lit("datetime")), F.col("date")).alias("timestamp"), latitude.alias("latitude"), longitude.alias("longitude"),
         parsed_flag(F.try_element_at("said", F.lit("FLOODING")), "FLOODING", True).alias("flooding"),
         parsed_flag(F.try_element_at("said", F.lit("FULL-DATA-COVERAGE")), "FULL-DATA-COVERAGE", False).alias("full_coverage"), listed.alias("assets"),
@@ -311,8 +311,16 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_neighbours(ranked: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Ranked results with the labels of both sides and the score to eight places, ready for CSV."""
-    a = tiles.select(F.col("tile_id").alias("query_id"), F.col("label").alias("query_label"))
-    b = tiles.select("tile_id", F.col("label").alias("neighbour_label"))
-    met = ranked.join(a, "query_id").join(b, "tile_id")
-    return met.select("query_id", "query_label", "rank", "tile_id", "neighbour_label", F.format_string("%.8f", "score").alias("score"))
+    """Ranked results with the labels of both sides and the score to eight places, ready for CSV.
+
+    Where tiles have a ``timestamp`` or a ``sequence_id``, those of both sides follow as text, empty where there is none.
+    """
+    said = {"timestamp": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), "sequence_id": F.col("sequence_id").cast("string")}
+    more = {name.removesuffix("_id"): F.coalesce(text, F.lit("")) for name, text in said.items() if name in tiles.columns}
+
+    def side(of: str, key: str) -> DataFrame:
+        return tiles.select(F.col("tile_id").alias(key), F.col("label").alias(f"{of}_label"), *[text.alias(f"{of}_{name}") for name, text in more.items()])
+
+    met = ranked.join(side("query", "query_id"), "query_id").join(side("neighbour", "tile_id"), "tile_id")
+    both = [f"{of}_{name}" for name in more for of in ("query", "neighbour")]
+    return met.select("query_id", "query_label", "rank", "tile_id", "neighbour_label", F.format_string("%.8f", "score").alias("score"), *both)
