@@ -3,6 +3,7 @@
 import json
 import os
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -246,3 +247,34 @@ def test_ranges_read_what_is_asked(tmp_path):
     assert ranges(5, 10) == data[5:15] and ranges.taken == 4096
     assert ranges(4090, 20) == data[4090:4110] and ranges(len(data) - 3, 10) == data[-3:] and ranges(len(data) + 5, 4) == b""
     ranges.close()
+
+
+@pytest.mark.parametrize("name", ["raster_header_scan", "raster_pixel_read"])
+def test_rasters_are_read_in_a_session_without_pushdown(spark, name):
+    """Spark's default: it hands no filters to Python sources, and refuses a reader that would take them."""
+    from test_oracle import SF, plain
+
+    from tilewright.plans import queries as plans
+
+    con = duckdb.connect()
+    for table in ("lineitem", "supplier"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.sql(plans.SQL[name]).df()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        got = plans.QUERIES[name](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert len(got) and plain(got, list(want.columns)) == plain(want, list(want.columns))
+
+
+def test_labels_named_leave_folders_unread_without_pushdown(spark, folder):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        read = rasters.read_rasters(spark, str(folder), labels=["Forest", "Sea/Deep"], parts="2")
+        assert read.rdd.getNumPartitions() == 4 and {r.label for r in read.collect()} == {"Forest", "Sea/Deep"}
+        assert rasters.read_rasters(spark, str(folder), labels=[]).count() == 0
+        whole = rasters.read_rasters(spark, str(folder))
+        assert whole.where("label = 'River'").count() == 3
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -1,12 +1,13 @@
 """Folders of TIFF rasters as a Python data source: a row for each header, or for each pixel, of the bands asked for.
 
 The driver lists the folders below the root and no files; a partition is one folder (or a share of its files), and its task
-lists and reads them. A filter on ``label``, the folder, leaves partitions out. Headers are read by ranges of a few
+lists and reads them. The option ``labels``, or a filter on ``label``, the folder, leaves partitions out. Headers are read by ranges of a few
 kilobytes; pixels of rasters that keep bands apart are read strip by strip, for the bands asked for alone.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -58,14 +59,7 @@ class RasterReader(DataSourceReader):
         if set(chosen) - set(self.bands):
             raise ValueError(f"unknown bands {sorted(set(chosen) - set(self.bands))}")
         self.chosen = chosen or self.bands
-        self.labels: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if wanted is not None and tuple(f.attribute) == ("label",):
-                self.labels = wanted if self.labels is None else self.labels & wanted
-            yield f  # a label may be a folder further down, so Spark still filters
+        self.labels: set[str] | None = set(json.loads(options["labels"])) if "labels" in options else None
 
     def partitions(self) -> list[InputPartition]:
         store, inner = store_of(self.path)
@@ -88,7 +82,9 @@ class RasterReader(DataSourceReader):
                 if self.labels is None or label in self.labels:
                     yield store, info, label
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return  # Spark asks once for nothing where no folder is left
         yield from (self._pixels if self.pixels else self._headers)(partition)
 
     def _headers(self, share: Share) -> Iterator[pa.RecordBatch]:
@@ -140,8 +136,22 @@ class RasterReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*same, pa.array(rows.astype(np.int32)), pa.array(cols.astype(np.int32)), pa.array(value), pa.array(valid)], names)
 
 
+class PruningReader(RasterReader):
+    """A reader that Spark may hand filters; a session that does not hand any refuses it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if wanted is not None and tuple(f.attribute) == ("label",):
+                self.labels = wanted if self.labels is None else self.labels & wanted
+            yield f  # a label may be a folder further down, so Spark still filters
+
+
 class Rasters(DataSource):
-    """``spark.read.format("rasters")`` with ``content`` headers or pixels, ``parts``, ``bands``, ``select`` and ``value_scale``."""
+    """``spark.read.format("rasters")`` with ``content`` headers or pixels, ``parts``, ``bands``, ``select``, ``value_scale`` and ``labels`` (a JSON list).
+
+    Filters are taken only under ``pushdown``, as Spark refuses such readers where it is not to hand any.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -151,13 +161,18 @@ class Rasters(DataSource):
         return PIXELS if self.options.get("content", "headers") == "pixels" else HEADERS
 
     def reader(self, schema: StructType) -> RasterReader:
-        return RasterReader(dict(self.options))
+        options = dict(self.options)
+        return (PruningReader if options.get("pushdown") == "true" else RasterReader)(options)
 
 
-def read_rasters(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """Headers, or with ``content="pixels"`` pixels, of the rasters below ``root``; filters on ``label`` leave folders unread.
+def read_rasters(spark: SparkSession, root: str, labels: Iterable[str] | None = None, **options: str) -> DataFrame:
+    """Headers, or with ``content="pixels"`` pixels, of the rasters below ``root``; of those of ``labels`` alone if given.
 
-    Spark hands filters to Python sources where ``spark.sql.python.filterPushdown.enabled`` is set, as ``build_session`` does.
+    Where ``spark.sql.python.filterPushdown.enabled`` is set, as ``build_session`` does, filters on ``label`` leave folders
+    unread as well; in any other session Spark filters what was read.
     """
     spark.dataSource.register(Rasters)
+    options["pushdown"] = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
+    if labels is not None:
+        options["labels"] = json.dumps(sorted(labels))
     return spark.read.format("rasters").options(**options).load(root)
