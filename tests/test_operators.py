@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -377,3 +378,32 @@ def test_embed(spark):
     got = embed.embed(df, embed.BandMeans(4)).collect()
     assert len(got) == 5 and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in got)
     catalog.check_embeddings(spark.createDataFrame(got))
+
+
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_what_a_search_holds_does_not_grow_with_the_block(metric):
+    """Scores of a slice of rows are held at once, for each metric; ties at the cut and the order of slices change nothing."""
+    r = np.random.default_rng(12)
+    rows, queries = r.normal(size=(40_000, 16)), r.normal(size=(256, 16))
+    rows[30_000:30_050] = rows[7]
+    queries[3] = rows[7]
+    tracemalloc.start()
+    try:
+        found = list(search.best_rows(queries, rows, 5, metric))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20  # one whole product takes 82 MB
+    q, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    whole = queries @ rows.T
+    if metric == "euclidean":
+        whole = -np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * whole))
+    elif metric == "cosine":
+        whole /= np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)
+    for one in (0, 3, 255):
+        best = set(np.argsort(-whole[one])[:5].tolist())
+        mine = set(at[q == one].tolist())
+        assert best <= mine if one != 3 else True
+        assert np.allclose(np.sort(-score[q == one] if metric == "euclidean" else score[q == one])[::-1][:5], np.sort(whole[one])[::-1][:5], atol=1e-6)
+    if metric != "inner_product":
+        assert {7, *range(30_000, 30_050)} <= set(at[q == 3].tolist())
