@@ -407,3 +407,18 @@ def test_what_a_search_holds_does_not_grow_with_the_block(metric):
         assert np.allclose(np.sort(-score[q == one] if metric == "euclidean" else score[q == one])[::-1][:5], np.sort(whole[one])[::-1][:5], atol=1e-6)
     if metric != "inner_product":
         assert {7, *range(30_000, 30_050)} <= set(at[q == 3].tolist())
+
+
+def test_draws_of_a_bootstrap_take_little_memory():
+    """Draws pass a bounded number at a time; the stream of the generator goes on, so the number changes no result."""
+    r = np.random.default_rng(8)
+    sums, counts = r.normal(size=(12_000, 2)), r.integers(1, 9, 12_000)
+    tracemalloc.start()
+    try:
+        draws = bootstrap.resampled(sums, counts, 200, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20
+    drawn = np.random.default_rng(5).integers(0, 12_000, size=(200, 12_000))
+    assert np.array_equal(draws, sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1)[:, None])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.scratch import materialize
 
-DRAWS_AT_ONCE = 1 << 20
+DRAWS_AT_ONCE = 1 << 18  # eight megabytes of sums and their copies
 
 
 def resampled(sums: np.ndarray, counts: np.ndarray, samples: int, seed: int) -> np.ndarray:
