@@ -21,9 +21,15 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept_documents(docs, labels).select(*COLUMNS)
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Components by SimHash, fingerprints within 4 bits being linked, joined where Jaccard similarities of 0.8 or more link them further."""
+    by_simhash = materialize(simhash.near_duplicates(docs).select("doc_id", "digest", "root"), "simhash-components")
+    return resemblance.near_duplicates(docs, by_simhash)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
-    return simhash.one_of_each(docs, resemblance.near_duplicates).select(*COLUMNS)
+    """One document of each group linked by SimHash as op1 links, or by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return simhash.one_of_each(docs, near_duplicates).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

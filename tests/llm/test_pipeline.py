@@ -106,3 +106,27 @@ def test_near_dedup_keeps_columns_of_any_name(spark):
     for finder in (simhash.near_duplicates, resemblance.near_duplicates):
         kept = simhash.one_of_each(docs, finder)
         assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3]
+
+
+def test_near_dedup_goes_by_simhash_and_by_resemblance(spark):
+    """Texts that op1 links leave even where no resemblance of 0.8 does; components run over links of both kinds."""
+    from tilewright.llm import resemblance, simhash
+
+    r = random.Random(47)
+    found = []
+    while not found:  # a pair of short texts within 4 bits whose five-word shingles are less alike than 0.8
+        words = prose(r, 40).split(" ")
+        for at in range(len(words)):
+            own = words[:at] + [f"edit{r.random()}"] + words[at + 1 :]
+            one, two = (simhash.fingerprint(" ".join(x).encode()) for x in (words, own))
+            a, b = (set(resemblance.shingles(" ".join(x).encode()).tolist()) for x in (words, own))
+            if (one ^ two).bit_count() <= 4 and len(a & b) * 5 < len(a | b) * 4:
+                found = [" ".join(words), " ".join(own)]
+                break
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    far = found[1] + " " + prose(r, 4)  # like the second by its shingles
+    rows = [(1, found[0], "en", "s", 0), (2, found[1], "en", "s", 0), (3, far, "en", "s", 0), (4, prose(r, 40), "en", "s", 0), (None, found[0], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, kind)
+    assert sorted(x.doc_id for x in resemblance.near_duplicates(docs).where("doc_id = component_id").collect()) == [1, 2, 4]
+    kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, kept)) == ["1", "4", "None"]

@@ -10,6 +10,8 @@ under a key, pairs across components are judged inside a join, which Spark split
 pairs come out of it. Dense groups thereby cost a comparison or so a node and key, and no link between components is
 lost. Sets are made only for nodes that share a key with another, and are never kept for all documents.
 
+Links that another method found (``simhash`` in the pipeline) can be handed over; components are then those of all links.
+
 Defined cases are those of ``simhash``: texts without words have the empty set and are copies of each other.
 """
 
@@ -154,8 +156,22 @@ def set_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Da
     return first.unionByName(_verified(across.distinct(), sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, print, root, component_id``: one row for each document; ``print`` tells its set of shingles."""
+def _stars(sketched: DataFrame, linked: DataFrame) -> DataFrame:
+    """``a, b``: the prints under each root of ``linked(doc_id, digest, root)``, hung below the least of them."""
+    own = sketched.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), "print").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    met = materialize(linked.select("doc_id", "digest", "root").distinct().join(own, same).select("root", "print").distinct(), "linked-met")
+    least = met.groupBy("root").agg(F.min("print").alias("a"), F.max("print").alias("most")).where("a < most")
+    least = materialize(least.select(F.col("root").alias("least_root"), "a"), "linked-least")
+    hung = met.join(checked(least, 16), F.col("root") == F.col("least_root")).where("a <> print")
+    return materialize(hung.select("a", F.col("print").alias("b")), "linked-stars")
+
+
+def near_duplicates(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """``doc_id, digest, print, root, component_id``: one row for each document; ``print`` tells its set of shingles.
+
+    ``linked(doc_id, digest, root)`` are components that another method found in ``docs``; their links count as well.
+    """
     plain = _plain(docs)
     sketched = materialize(plain.mapInArrow(_sketches, "doc_id long, digest long, print long, keys array<long>"), "sketches")
 
@@ -169,6 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def links(prints: DataFrame) -> DataFrame:
         nodes = sketched.groupBy("print").agg(F.first("keys").alias("keys"))  # equal prints have equal keys
-        return set_links(materialize(nodes, "resemblance-nodes"), sets_of)
+        found = set_links(materialize(nodes, "resemblance-nodes"), sets_of)
+        return found if linked is None else found.unionByName(_stars(sketched, linked))
 
     return named_components(sketched.drop("keys"), links)
