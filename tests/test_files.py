@@ -278,3 +278,29 @@ def test_labels_named_leave_folders_unread_without_pushdown(spark, folder):
         assert whole.where("label = 'River'").count() == 3
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def test_pictures_no_role_asks_for_are_not_opened(spark, tmp_path):
+    """The role is told by the path, so a broken file of another role is no fault; paths with spaces and signs are as they are."""
+    root = tmp_path / "a b+c%20d"
+    for folder in ("images/rgb", "images/nir", "masks"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "t1.png").write_bytes(views.png_bytes(np.full((3, 2, 3), 7, np.uint8)))
+    (root / "masks" / "t1.png").write_bytes(b"no picture")
+    read = images.with_roles(images.read_images(spark, str(root), check_depth=False))
+    assert sorted(r.role for r in read.select("role").collect()) == ["field", "nir", "rgb"]
+    found = images.image_pixels(read).collect()
+    assert len(found) == 6 and {(r.stem, r.r, r.g, r.b, r.nir) for r in found} == {("t1", 7, 7, 7, 7)}
+    assert len(read.where("role = 'nir'").select("stem", "data").inputFiles()) <= 3 and read.where("role = 'nir'").rdd.getNumPartitions() == 1
+    with pytest.raises(Exception, match="could not decode"):
+        read.where("role = 'field'").select("data").collect()
+
+
+def test_each_picture_is_decoded_once_for_labels(spark, tmp_path):
+    for folder in ("images/rgb", "masks", "boundaries", "labels/x"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "t.png").write_bytes(views.png_bytes(np.full((3, 2, 3), 255, np.uint8)))
+    found = images.mask_labels(images.with_roles(images.read_images(spark, str(tmp_path)), ("x",)), ("x",))
+    assert [tuple(r) for r in found.collect()] == [("t", ["x"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
