@@ -25,6 +25,7 @@ NO_SCENES, FEW_SCENES, FEW_ITEMS = "No gallery scenes match these constraints.",
 SPECTRAL_INTENTS = ("spectral_water_signal", "spectral_water_increase", "spectral_water_decrease", "spectral_scene_similarity", "spectral_change_similarity")
 MOST_DAYS = 30
 BINS = 32
+CELLS_A_TASK = 300_000
 
 
 @dataclass(frozen=True)
@@ -174,6 +175,10 @@ def spectral_evidence(
         if not before:
             raise ValueError("scene similarity needs an example tile")
         inside = _other_sequences(inside.where(F.col("tile_id") != before), _sequence_of(every, before))
+        inside = materialize(inside, "eligible")
+        # Descriptors are made of the scenes that may be ranked, and of the example, alone.
+        asked = inside.select("tile_id").unionByName(scenes.sparkSession.createDataFrame([(before,)], "tile_id string"))
+        maps = maps.join(asked, "tile_id", "left_semi")
         scored = _alike(maps, ("tile_id",), F.col("tile_id") == before, -1.0, 1.0, bins, "the example has no valid MNDWI pixels", tie_places)
         return _found(inside.join(scored, "tile_id"), k, True, HISTOGRAM, COSINE)
     pairs = spectral.temporal_pairs(scenes, most_days)
@@ -184,8 +189,14 @@ def spectral_evidence(
         if example.isEmpty():
             raise ValueError(f"before_example_tile_id {before!r} and after_example_tile_id {after!r} are no pair of neighbours in one sequence, at most {most_days} days apart")
         pairs = _other_sequences(pairs, _sequence_of(every, before)).unionByName(example)
-    changes = spectral.change_maps(pairs, maps, *cell)
     later = matching(query, ring, scenes, False).withColumnRenamed("tile_id", "after_id").drop("sequence_id")
+    # Maps are made of the pairs that may be ranked, and of the example, alone.
+    later = materialize(later, "eligible")
+    asked = pairs.join(later, "after_id", "left_semi")
+    if query.intent == "spectral_change_similarity":
+        asked = asked.unionByName(example).distinct()
+    pairs = materialize(asked, "eligible-pairs")
+    changes = spectral.change_maps(pairs, maps, *cell)
     if query.intent == "spectral_change_similarity":
         chosen = (F.col("before_id") == before) & (F.col("after_id") == after)
         scored = _alike(changes, ("before_id", "after_id"), chosen, -2.0, 2.0, bins, "the example pair has no shared valid MNDWI pixels", tie_places).where(~chosen)
@@ -200,9 +211,13 @@ def spectral_evidence(
 
 def _alike(maps: DataFrame, keys: tuple[str, ...], chosen: Column, low: float, high: float, bins: int, said: str, places: int | None) -> DataFrame:
     """``keys, score``: cosine of each key's descriptor to the chosen one's; keys without valid MNDWI or mass take no part."""
+    maps = materialize(maps.select(*keys, *spectral.INDEX_BANDS), "asked-maps")
+    # Dealt by key, a fixed number of cells to a task: what a task counts does not grow with the table.
+    maps = maps.repartition(max(1, -(-maps.count() // CELLS_A_TASK)), *keys)
     rows = spectral.histograms(spectral.long_maps(maps, *keys), low, high, bins, *keys)
     valid = maps.groupBy(*keys).agg(F.count("mndwi").alias("valid_pixels")).where("valid_pixels > 0").select(*keys)
-    rows = materialize(rows.join(valid, list(keys), "left_semi").where(vectors.norm(F.col("descriptor")) > 1e-12), "descriptors")
+    rows = materialize(rows.join(valid, list(keys), "left_semi"), "descriptors")  # written first, as each look at a descriptor would make it again
+    rows = rows.where(vectors.norm(F.col("descriptor")) > 1e-12)
     one = _descriptor(rows, chosen)
     if one.isEmpty():
         raise ValueError(said)

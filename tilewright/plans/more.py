@@ -17,7 +17,7 @@ from tilewright.plans.queries import FRACTIONS, _customers, _delta_rows, _grid,
 from tilewright.plans.registry import query, said
 from tilewright.plans.sql import SQL
 from tilewright.plans.tables import documents, embedding_scenes, gallery, pixels, scene_tables, table
-from tilewright.scratch import fresh_path
+from tilewright.scratch import fresh_path, materialize
 from tilewright.sources import catalog, readers, sinks
 
 
@@ -74,8 +74,9 @@ def _hist(source: str, key: str, low: float, width: float) -> str:
 
 
 def _scene_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scenes and their index maps; the maps are written once, as both ends of a pair and every look at them read them."""
     scenes, cells = scene_tables(spark, sf_dir)
-    return scenes, spectral.index_maps(cells)
+    return scenes, materialize(spectral.index_maps(cells).select("tile_id", "row", *spectral.INDEX_BANDS), "scene-maps")
 
 
 @said(f"""WITH {_SCENES}, rk AS (SELECT el.*, m.score FROM el JOIN (SELECT tile_id, median(mndwi) AS score FROM maps GROUP BY tile_id HAVING count(mndwi) > 0) m USING (tile_id)) {_RANKED.format(way="DESC", k=20)}""")
