@@ -419,3 +419,62 @@ def test_runs_tell_how_many_queries_they_asked(spark, tmp_path):
         (folder / name).write_bytes(b"x")
     row = readers.read_runs(spark, str(tmp_path)).first()
     assert (row.run_id, row.gallery_count, row.test_query_count) == ("p/r1", 5, 7)
+
+
+def test_scene_catalog_asks_for_each_asset_once(spark):
+    """Scenes and assets against plain loops; scenes are dealt once for the pairing and what is absent, and paths once each."""
+    r, bands = random.Random(5), ("B03", "B11", "B12")
+    sources, labels, files = [], [], []
+    for k in range(60):
+        folder = None if k % 13 == 0 else f"s/{k}"
+        assets = {b: (f"img/{b}.tif" if k % 2 else f"{b}.tif",) for b in bands if r.random() < 0.8}
+        sources.append((str(k), f"1996_01_0{k % 7 + 1}", [1.0, 2.0, 3.0, 4.0], {"datetime": "unknown"}, assets, folder))
+        labels.append((str(k), f"1996_01_0{k % 7 + 1}", {"FLOODING": "true"}))
+        files += [f"s/{k}/{href}" for href, in assets.values() if r.random() < 0.7]
+    keys = "sequence_id string, date string, "
+    first = spark.createDataFrame(sources, keys + "bbox array<double>, properties map<string,string>, assets map<string,struct<href:string>>, folder string").withColumn("id", F.col("sequence_id"))
+    second = spark.createDataFrame(labels, keys + "properties map<string,string>")
+    listing = spark.createDataFrame([(f,) for f in files * 2], "path string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.scene_catalog(first, second, listing, bands)
+        got = {row.sequence_id: row for row in found.collect()}
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        executed = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(got) == len(sources)
+    for k, _, _, _, assets, folder in sources:
+        paths = {b: f"{folder}/{assets[b][0]}" if folder and b in assets else None for b in bands}
+        missing = [b for b in bands if paths[b] not in files]
+        assert got[k].missing_bands == missing and got[k].asset_status == ("missing" if missing else "available")
+        assert {one.band: one.path for one in got[k].assets} == paths
+    assert plan.count("Join") <= 3 and executed.count("Exchange hashpartitioning") <= 5, executed
+    unsafe = first.where("sequence_id = '1'").withColumn("folder", F.lit("s/.."))
+    with pytest.raises(Exception, match="unsafe path"):
+        catalog.scene_catalog(unsafe, second.where("sequence_id = '1'"), listing, bands).collect()
+
+
+@pytest.mark.parametrize("path, safe", [("a/b.tif", True), ("a..b/..c", True), ("..", False), ("a/..", False), ("a\\..\\b", False), ("../a", False), ("/a", False), ("C:a", False), ("s3://a", False), ("a/..\n", True)])
+def test_safe_paths(spark, path, safe):
+    rows = spark.createDataFrame([(path,)], "path string").select(catalog.safe_path(F.col("path")).alias("path"))
+    if safe:
+        assert rows.first().path == path
+    else:
+        with pytest.raises(Exception, match="unsafe path"):
+            rows.collect()
+
+
+def test_pairs_say_what_is_wrong_in_one_pass(spark):
+    """Keys that repeat, lack a partner or hold a null, on either side; all four questions are one aggregate."""
+    rows = lambda *keys: spark.createDataFrame([(k, d) for k, d in keys], "k string, d int")
+    good = rows(("a", 1), ("b", 2))
+    assert sorted(tuple(r) for r in catalog.pair_items(good, good, "k", "d").collect()) == [("a", 1), ("b", 2)]
+    assert catalog.pair_items(rows(), rows(), "k", "d").count() == 0
+    for first, second, said in (
+        (rows(("a", 1), ("a", 1)), rows(("a", 1)), "source items repeat"), (rows(("a", 1)), rows(("a", 1), ("a", 1)), "label items repeat"),
+        (good, rows(("a", 1)), "source items lack"), (rows(("a", 1)), good, "label items lack"), (rows(("a", None)), rows(("a", None)), "source items lack"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            catalog.pair_items(first, second, "k", "d")

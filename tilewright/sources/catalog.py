@@ -83,7 +83,7 @@ def box_centre(box: Column) -> tuple[Column, Column]:
 
 def safe_path(path: Column) -> Column:
     """A relative path that stays below its root; an absolute one or one with ``..`` is an error."""
-    unsafe = path.startswith("/") | path.rlike("^[A-Za-z]:|^[A-Za-z][A-Za-z0-9+.-]*://") | F.array_contains(F.split(path, r"[/\\]"), "..")
+    unsafe = path.rlike(r"^/|^[A-Za-z]:|^[A-Za-z][A-Za-z0-9+.-]*://|(?:^|[/\\])\.\.(?:\z|[/\\])")
     return F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe path: "), path)).cast("string")).otherwise(path)
 
 
@@ -93,20 +93,27 @@ def scene_catalog(sources: DataFrame, labels: DataFrame, files: DataFrame, bands
     ``files(path)`` lists what is there, relative to the root like the assets' paths (``folder`` of the source item and
     the asset's ``href``). Sources and labels must pair one to one on sequence and date. Ids begin with ``dataset``.
     """
-    flags = labels.select("sequence_id", "date", F.col("properties").alias("said"))
-    met = pair_items(sources.select("id", "bbox", "properties", "assets", "folder", "sequence_id", "date"), flags, "sequence_id", "date")
+    href = lambda b: F.concat(F.col("folder"), F.lit("/"), F.try_element_at("assets", F.lit(b))["href"])
+    hrefs = F.array(*[F.struct(F.lit(b).alias("band"), href(b).alias("path")) for b in bands])
+    keys = ("sequence_id", "date")
+    items = sources.select("bbox", F.try_element_at("properties", F.lit("datetime")).alias("told"), *keys, hrefs.alias("hrefs"))
+    unlisted = F.transform(F.filter("hrefs", lambda one: one["path"].isNull()), lambda one: one["band"])
+    listed = F.transform("hrefs", lambda one: F.struct(one["band"].alias("band"), safe_path(one["path"]).alias("path")))
+    flags = labels.select(*keys, F.col("properties").alias("said"))
     latitude, longitude = box_centre(F.col("bbox"))
-    href = lambda b: safe_path(F.concat(F.col("folder"), F.lit("/"), F.try_element_at("assets", F.lit(b))["href"]))
-    listed = F.array(*[F.struct(F.lit(b).alias("band"), href(b).alias("path")) for b in bands])
-    scenes = met.select(
-        F.concat_ws(":", F.lit(dataset), "sequence_id", "date").alias("tile_id"), "sequence_id", "bbox",
-        parsed_time(F.try_element_at("properties", F.lit("datetime")), F.col("date")).alias("timestamp"), latitude.alias("latitude"), longitude.alias("longitude"),
+    scenes = pair_items(items.withColumns({"unlisted": unlisted, "assets": listed}), flags, *keys).select(
+        F.concat_ws(":", F.lit(dataset), *keys).alias("tile_id"), *keys, "bbox",
+        parsed_time(F.col("told"), F.col("date")).alias("timestamp"), latitude.alias("latitude"), longitude.alias("longitude"),
         parsed_flag(F.try_element_at("said", F.lit("FLOODING")), "FLOODING", True).alias("flooding"),
-        parsed_flag(F.try_element_at("said", F.lit("FULL-DATA-COVERAGE")), "FULL-DATA-COVERAGE", False).alias("full_coverage"), listed.alias("assets"),
+        parsed_flag(F.try_element_at("said", F.lit("FULL-DATA-COVERAGE")), "FULL-DATA-COVERAGE", False).alias("full_coverage"), "assets", "unlisted",
     )
-    each = scenes.select("tile_id", F.explode("assets").alias("one")).select("tile_id", "one.band", "one.path").where("path IS NOT NULL")
-    there = each.join(files.select("path").distinct(), "path", "left_semi")
-    return missing_bands(scenes, there, bands).orderBy("tile_id")
+    # Items pair one to one, so their assets need no join first; what is not there comes back by the keys that scenes are dealt by.
+    each = items.select(*keys, F.explode("hrefs").alias("one")).where("one.path IS NOT NULL").select(*keys, "one.band", safe_path(F.col("one.path")).alias("path"))
+    absent = each.join(files.select("path"), "path", "left_anti").groupBy(*keys).agg(F.collect_set("band").alias("absent"))
+    lacks = F.concat("unlisted", F.coalesce("absent", F.array().cast("array<string>")))
+    missing = F.array_intersect(F.array(*[F.lit(b) for b in bands]), lacks)
+    met = scenes.join(absent, list(keys), "left").withColumn("missing_bands", missing)
+    return with_status(met).select("tile_id", "sequence_id", "bbox", "timestamp", "latitude", "longitude", "flooding", "full_coverage", "assets", "missing_bands", "asset_status").orderBy("tile_id")
 
 
 def stem_roles(files: DataFrame, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:
@@ -205,12 +212,22 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def pair_items(sources: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
-    """Each source with its label; raises when a key repeats or one side lacks it."""
-    for name, side, other in (("source", sources, labels), ("label", labels, sources)):
-        if not duplicate_keys(side, *keys).isEmpty():
-            raise ValueError(f"{name} items repeat a key")
-        if not side.join(other, list(keys), "left_anti").isEmpty():
-            raise ValueError(f"{name} items lack a partner")
+    """Each source with its label; raises when a key repeats or one side lacks it, as a key with a null always does."""
+    sides = ("source", "label")
+    each = [rows.select(*keys, F.lit(k).alias("_side")) for k, rows in enumerate((sources, labels))]
+    known = [F.count_if(F.col("_side") == k).alias(f"_{name}") for k, name in enumerate(sides)]
+    met = each[0].unionByName(each[1]).groupBy(*keys).agg(*known)  # both sides meet once for all four questions
+    unknown = F.lit(False)
+    for key in keys:
+        unknown |= F.col(key).isNull()
+    asked = {}
+    for name, other in (sides, sides[::-1]):
+        asked[f"{name} items repeat a key"] = F.col(f"_{name}") > 1
+        asked[f"{name} items lack a partner"] = (F.col(f"_{name}") > 0) & (unknown | (F.col(f"_{other}") == 0))
+    found = met.agg(*[F.max(wrong) for wrong in asked.values()]).first()
+    for said, wrong in zip(asked, found, strict=True):
+        if wrong:
+            raise ValueError(said)
     return sources.join(labels, list(keys))
 
 
@@ -219,9 +236,12 @@ def missing_bands(tiles: DataFrame, assets: DataFrame, bands: tuple[str, ...] =
     have = assets.groupBy("tile_id").agg(F.collect_set("band").alias("have"))
     met = tiles.join(have, "tile_id", "left")
     lacking = F.array_except(F.array(*[F.lit(b) for b in bands]), F.coalesce("have", F.array().cast("array<string>")))
-    return met.withColumn("missing_bands", lacking).drop("have").withColumn(
-        "asset_status", F.when(F.size("missing_bands") == 0, "available").otherwise("missing")
-    )
+    return with_status(met.withColumn("missing_bands", lacking).drop("have"))
+
+
+def with_status(scenes: DataFrame) -> DataFrame:
+    """``asset_status`` by whether ``missing_bands`` is empty."""
+    return scenes.withColumn("asset_status", F.when(F.size("missing_bands") == 0, "available").otherwise("missing"))
 
 
 def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
