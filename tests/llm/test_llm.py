@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -363,6 +364,50 @@ def test_mixture_adapts_on_every_training_document(spark):
     assert np.allclose(model.refined, want, atol=1e-5)
 
 
+def test_tokens_of_many_texts_are_those_of_each(spark):
+    """Texts are cut together; tokens, runs and counts are those of ``bytes.split`` on each."""
+    r = random.Random(17)
+    texts = [b" A b\x0bc\x1fd\xc2\xa0e\n", None, b"", b" \t ", b"\xff\xfe X\x85y \x1c z\r", "\u00dcn\u00ef x".encode()]
+    texts += [prose(r, r.randint(0, 300)).encode() for _ in range(30)]
+    want = [(t or b"").lower().split() for t in texts]
+    tokens, lengths = scoring._split(pa.array(texts, pa.binary()))
+    assert lengths.tolist() == [len(w) for w in want] and tokens.to_pylist() == [w for t in want for w in t]
+    starts, hashes, times = scoring._runs(tokens, lengths)
+    each = [scoring.runs_of(w) for w in want]
+    assert times.tolist() == [len(s) for s, _ in each] and hashes.tolist() == [h for _, found in each for h in found.tolist()]
+    before = np.cumsum(lengths + 1) - lengths - 1
+    assert starts.tolist() == [at + n for n, (s, _) in zip(before.tolist(), each, strict=True) for at in s.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    got, got_runs = Counter(), Counter()
+    for part in scoring._count_tokens(iter([batch, batch])):
+        for x in part.to_pylist():
+            (got_runs if x["token"] is None else got)[x["run"] if x["token"] is None else x["token"]] += x["n"]
+    assert got == Counter(w for t in want * 2 for w in t) and got_runs == Counter(h for _, found in each * 2 for h in found.tolist())
+    assert [len(g) for g in scoring._groups(iter([batch, batch.slice(0, 0)]), 1000)] != [len(texts)]
+    assert sum(len(g) for g in scoring._groups(iter([batch]), 1000)) == len(texts)
+
+
+def test_a_block_is_counted_as_it_is_read():
+    """One pass that predicts and counts leaves what two leave: the block is predicted from the counts before it."""
+    r = random.Random(19)
+    texts = [prose(r, 400).encode().split() for _ in range(4)]
+    counts = Counter(w for t in texts for w in t)
+    known = [w for w in counts if counts[w] > 1]
+    code = scoring.huffman([4, sum(c == 1 for c in counts.values()), *(counts[w] for w in known)])
+    vocabulary = scoring.Vocabulary({w: k + 2 for k, w in enumerate(known)}, code, scoring.huffman([1] * 256), np.array([4.0, 0.0]), 1600, len(counts))
+    one, two = scoring.Learner(vocabulary.slots), scoring.Learner(vocabulary.slots)
+    slow = np.zeros((2, vocabulary.slots * scoring.PREDICTORS), int)
+    for events in scoring.blocks_of(vocabulary, texts):
+        one.adapt(events, counting=True)
+        two.adapt(events)
+        two.count(events)
+        for slot in events.slots:
+            for s, b in zip(slot.tolist(), events.bits.tolist(), strict=True):
+                slow[b, s] += 1
+    assert (one.counts == two.counts).all() and (one.counts[0::2] == slow[0]).all() and (one.counts[1::2] == slow[1]).all()
+    assert (one.weights == two.weights).all() and (one.turned == two.turned).all() and one.seen.sum() == one.turned.sum() > 0
+
+
 def slow_bits(vocabulary, model, text):
     """The cost of each token and of the end, bit by bit, straight from the definition."""
     slots = vocabulary.slots
