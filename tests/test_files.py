@@ -2,6 +2,9 @@
 
 import json
 import os
+import pickle
+import tracemalloc
+import weakref
 
 import duckdb
 import numpy as np
@@ -304,3 +307,88 @@ def test_each_picture_is_decoded_once_for_labels(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("t", ["x"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
+
+
+def batches_of(names):
+    return iter([pa.RecordBatch.from_arrays([pa.array(names), pa.array([b"1"] * len(names), pa.binary())], ["name", "content"])])
+
+
+def test_what_a_commit_holds_does_not_grow_with_files(tmp_path):
+    """The driver keeps all messages and commits them: neither is to hold a file's name, nor all moves at once."""
+    said, held = [], []
+    for n in (1_000, 20_000):
+        writer = files.NamedFilesWriter(str(tmp_path / str(n)), False)
+        message = writer.write(batches_of([f"part-{k % 7}/{k:06d}" for k in range(n)]))
+        said.append(len(pickle.dumps(message)))
+        tracemalloc.start()
+        writer.commit([message])
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert files.committed(str(tmp_path / str(n)))["files"] == n and sum(len(x) for _, _, x in os.walk(tmp_path / str(n))) == n + 1
+    assert said[1] < said[0] + 100 and held[1] < held[0] + 2_000_000
+
+
+def test_many_lists_of_names_are_merged(tmp_path, monkeypatch):
+    """Lists shorter than a task's files and more of them than are open at once; a name of two tasks is still found."""
+    monkeypatch.setattr(files, "NAMES_A_LIST", 3)
+    monkeypatch.setattr(files, "LISTS_AT_ONCE", 2)
+    names = [f"{c}/{k}\n\u00e9" for k in range(9) for c in "cab"]
+    writer = files.NamedFilesWriter(str(tmp_path / "w"), False)
+    writer.commit([writer.write(batches_of(names[:20])), None, writer.write(batches_of(names[20:])), writer.write(iter([]))])
+    assert sorted(x for x in os.listdir(tmp_path / "w")) == ["_COMMITTED", "a", "b", "c"] and all(len(os.listdir(tmp_path / "w" / c)) == 9 for c in "abc")
+    writer = files.NamedFilesWriter(str(tmp_path / "v"), False)
+    with pytest.raises(ValueError, match="files of one name: .*b/4"):
+        writer.commit([writer.write(batches_of(names)), writer.write(batches_of(["d", names[14]]))])
+    assert files.committed(str(tmp_path / "v")) is None
+
+
+def in_shares(spark, monkeypatch, name):
+    """The query with about two tiles a share and two shares a round against SQL; how many files each read listed."""
+    from test_oracle import SF, plain
+
+    from tilewright.plans import queries as plans
+
+    listed, read = [], images.read_images
+
+    def counted(*args, **kw):
+        listed.append(len((out := read(*args, **kw)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(images, "TILES_A_SHARE", 2)
+    monkeypatch.setattr(images, "SHARES_A_ROUND", 2)
+    monkeypatch.setattr(images, "read_images", counted)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    want = con.sql(plans.SQL[name]).df()
+    got = plans.QUERIES[name](spark, SF).toPandas()
+    assert len(got) and plain(got, list(want.columns)) == plain(want, list(want.columns))
+    return len(want), listed
+
+
+def test_labels_are_read_a_few_shares_at_a_time(spark, monkeypatch):
+    """The driver lists every file of a read, so no read is to list the files of all tiles."""
+    tiles, listed = in_shares(spark, monkeypatch, "picture_mask_labels")
+    assert len(listed) > 1 and sum(listed) == tiles * (3 + len(images.ANOMALIES)) and max(listed) < sum(listed)
+
+
+def test_over_shares_of_a_folder_without_shares(spark, field):
+    found = images.over_shares(spark, str(field), ("rgb", "field", "boundary", *images.ANOMALIES), images.mask_labels)
+    assert {r.stem: r.labels for r in found.collect()} == {"one": ["drydown", "water"], "two": []}
+
+
+def test_a_round_s_frames_are_gone_before_the_next(spark, tmp_path, monkeypatch):
+    """A frame keeps its listing in the driver, and Spark's cache of listings keeps those of frames that are gone."""
+    for k in range(3):
+        (tmp_path / f"share-0000{k}" / "masks").mkdir(parents=True)
+        (tmp_path / f"share-0000{k}" / "masks" / f"t{k}.png").write_bytes(views.png_bytes(np.zeros((2, 2, 3), np.uint8)))
+    monkeypatch.setattr(images, "SHARES_A_ROUND", 1)
+    before, frames = spark.conf.get(images.LISTINGS_KEPT), []
+
+    def found(read):
+        assert not [1 for f in frames if f() is not None] and spark.conf.get(images.LISTINGS_KEPT) == "0"
+        frames.append(weakref.ref(read))
+        return read.select("stem", "height")
+
+    rows = images.over_shares(spark, str(tmp_path), ("field",), found)
+    assert sorted(map(tuple, rows.collect())) == [("t0", 2), ("t1", 2), ("t2", 2)] and len(frames) == 3
+    assert spark.conf.get(images.LISTINGS_KEPT) == before
