@@ -371,6 +371,11 @@ def test_labels_are_read_a_few_shares_at_a_time(spark, monkeypatch):
     assert len(listed) > 1 and sum(listed) == tiles * (3 + len(images.ANOMALIES)) and max(listed) < sum(listed)
 
 
+def test_pixels_are_read_a_few_shares_at_a_time_and_of_two_roles(spark, monkeypatch):
+    tiles, listed = in_shares(spark, monkeypatch, "picture_pixels")
+    assert len(listed) > 1 and sum(listed) == tiles * 2 and max(listed) < sum(listed)
+
+
 def test_over_shares_of_a_folder_without_shares(spark, field):
     found = images.over_shares(spark, str(field), ("rgb", "field", "boundary", *images.ANOMALIES), images.mask_labels)
     assert {r.stem: r.labels for r in found.collect()} == {"one": ["drydown", "water"], "two": []}
